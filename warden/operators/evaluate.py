@@ -8,8 +8,7 @@ matter.
 
 *Joined* serves larger sets.  Requests are reduced to distinct decision keys
 (partial aggregation collapses hot keys before the shuffle), keys meet the
-policies that can match their path root by a broadcast hash join, and the
-decisions are joined back.  The second aggregation reuses the partitioning of
+policies of the folders above them by a broadcast hash join, and the are joined back.  The second aggregation reuses the partitioning of
 the first, so policies cost no further exchange.
 """
 
@@ -17,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +27,10 @@ from warden.functions import conditions as co
 from warden.functions import patterns as pa
 from warden.functions.expressions import with_expressions
 from warden.operators import policyset as ps
-from warden.operators.policyset import PolicySet, effect_code, route_of
+from warden.operators.policyset import PolicySet, effect_code, folders_above
 
 # Patterns plus conditions up to which the compiled plan is used by default.
-COMPILED_TERMS = 400
+COMPILED_TERMS = 300
 
 NO_POLICIES = "No applicable policies"
 NO_RULES = "No rules matched"
@@ -161,8 +161,8 @@ class Engine:
                 "__subject_plain": pa.single_line(F.col("subject")),
             }
         )
-        operands = {n: at.operand(df, n, policies.resolver.attributes) for n in policies.names}
-        codes = [self._policy_code(p, operands) for p in policies.rows]
+        terms = _Terms(self, {n: at.operand(df, n, policies.resolver.attributes) for n in policies.names})
+        codes = [self._policy_code(p, terms) for p in policies.rows]
         if not codes:
             effect, reason = F.lit(schemas.NOT_APPLICABLE), F.lit(NO_POLICIES)
         else:
@@ -197,31 +197,8 @@ class Engine:
         )
         return effect, reason
 
-    def _literal_target(self, holder) -> tuple[Column, Column | None]:
-        """``(matches, fails)`` of a target known as the plan is built.
-
-        A pattern that does not compile fails the request only if it is
-        reached: facets before it matched and no pattern before it did.
-        """
-        match, fails = F.lit(True), F.lit(False)
-        can_fail = False
-        for facet, column in (("resources", "resource"), ("actions", "action"), ("subjects", "subject")):
-            listed = holder[facet]
-            if not listed:
-                continue
-            hit, broken = F.lit(False), F.lit(False)
-            value, plain = F.col(column), F.col(f"__{column}_plain")
-            for pattern in listed:
-                if pattern["text"] in self.policies.bad_patterns and pattern["kind"] == pa.REGEX:
-                    broken, can_fail = broken | ~hit, True
-                else:
-                    hit = hit | (~broken & pa.matches_literal(value, plain, pattern))
-            fails = fails | (match & broken)
-            match = match & hit
-        return match, fails if can_fail else None
-
-    def _policy_code(self, policy, operands) -> Column:
-        match, fails = self._literal_target(policy)
+    def _policy_code(self, policy, terms: _Terms) -> Column:
+        match, fails = terms.target(policy)
         if self.policies.versioned:
             ts = F.col("request_ts")
             valid = ts >= F.lit(policy["valid_from"])
@@ -233,46 +210,17 @@ class Engine:
         code = (code.when if code is not None else F.when)(~match, F.lit(ps.NONE))
         denies = []
         for rule in policy["rules"]:
-            holds = self._literal_rule(rule, operands)
-            rule_match, rule_fails = self._literal_target(rule)
+            rule_match, rule_fails = terms.target(rule)
             if rule_fails is not None:
                 code = code.when(rule_fails, F.lit(ps.RULE_ERROR))
             if rule["effect"] == schemas.PERMIT:
-                code = code.when(rule_match & holds, F.lit(ps.PERMIT))
+                code = code.when(rule_match & terms.rule_holds(rule), F.lit(ps.PERMIT))
             elif rule["effect"] == schemas.DENY:
-                denies.append(rule_match & holds)
+                denies.append(rule_match & terms.rule_holds(rule))
         if denies:
-            any_deny = denies[0]
-            for deny in denies[1:]:
-                any_deny = any_deny | deny
-            code = code.when(any_deny, F.lit(ps.DENY))
+            code = code.when(reduce(lambda a, b: a | b, denies), F.lit(ps.DENY))
         return code.otherwise(F.lit(ps.EFFECT_CODES.get(policy["default_effect"], ps.SILENT)))
 
-    def _literal_rule(self, rule, operands) -> Column:
-        holds = F.lit(True)
-        for condition in rule["conditions"] or ():
-            if condition["expression"]:
-                holds = holds & self._expression_flag(condition["expression"])
-            elif condition["attribute"] is None:
-                holds = F.lit(False)
-            else:
-                expected = condition["expected"]
-                text = expected["text"] if expected is not None else None
-                valid = text not in self.policies.bad_matches
-                if condition["operator"] == "MATCHES" and not valid:
-                    holds = F.lit(False)
-                    continue
-                holds = holds & co.satisfied(
-                    condition["operator"] or "", operands[condition["attribute"]],
-                    co.expected_operand(expected, valid), self.operators,
-                )
-        return holds
-
-    def _expression_flag(self, text: str) -> Column:
-        if text not in self.policies.expressions:
-            return F.lit(False)
-        return F.col(f"__x{self.policies.expressions.index(text)}")
-
     # --- joined plan ------------------------------------------------------------
 
     def _in_key(self, df: DataFrame, name: str) -> bool:
@@ -415,11 +363,11 @@ class Engine:
     def _key_policies(self, keys: DataFrame, key: _Key, extra) -> DataFrame:
         """Keys x candidate policies with target state, code and extra columns.
 
-        Every key keeps at least one row.  Candidates share the key's path root
-        or have no fixed root; the full target test follows.
+        Every key keeps at least one row.  Candidates are the policies of a
+        folder above the key's resource and those without a fixed folder; the
+        full target test follows.
         """
-        routes = F.array_distinct(F.array(route_of(F.col(_RESOURCE)), F.lit(ps.UNROUTED)))
-        candidates = keys.withColumn("__route", F.explode(routes)).join(
+        candidates = keys.withColumn("__route", F.explode(folders_above(F.col(_RESOURCE)))).join(
             self.policies.routed(self._policy_columns()), "__route", "left"
         )
         state = self._target_state(F.col("resources"), F.col("actions"), F.col("subjects"))
@@ -568,6 +516,77 @@ class Engine:
         return [F.when(F.col("state") == 1, step).alias("step")]
 
 
+class _Terms:
+    """Columns of targets and conditions known as the plan is built.
+
+    Policies repeat themselves, so equal targets and conditions share a column.
+    """
+
+    def __init__(self, engine: Engine, operands: dict[str, at.Operand]):
+        self.policies = engine.policies
+        self.operators = engine.operators
+        self.operands = operands
+        self._made: dict = {}
+
+    def _once(self, key, make):
+        if key not in self._made:
+            self._made[key] = make()
+        return self._made[key]
+
+    def target(self, holder) -> tuple[Column, Column | None]:
+        """``(matches, fails)``; ``fails`` is None when every pattern compiles.
+
+        A pattern that does not compile fails the request only if it is
+        reached: facets before it matched and no pattern before it did.
+        """
+        match, fails = F.lit(True), None
+        for facet, column in (("resources", "resource"), ("actions", "action"), ("subjects", "subject")):
+            listed = holder[facet]
+            if not listed:
+                continue
+            texts = tuple(p["text"] + "|" + p["kind"] for p in listed)
+            hit, broken = self._once((facet, texts), lambda: self._facet(listed, column))
+            if broken is not None:
+                fails = (match & broken) if fails is None else fails | (match & broken)
+            match = match & hit
+        return match, fails
+
+    def _facet(self, listed, column: str) -> tuple[Column, Column | None]:
+        value, plain = F.col(column), F.col(f"__{column}_plain")
+        hit, broken = None, None
+        for pattern in listed:
+            if pattern["kind"] == pa.REGEX and pattern["text"] in self.policies.bad_patterns:
+                reached = F.lit(True) if hit is None else ~hit
+                broken = reached if broken is None else broken | reached
+            else:
+                match = pa.matches_literal(value, plain, pattern)
+                match = match if broken is None else ~broken & match
+                hit = match if hit is None else hit | match
+        return (F.lit(False) if hit is None else hit), broken
+
+    def rule_holds(self, rule) -> Column:
+        holds = F.lit(True)
+        for condition in rule["conditions"] or ():
+            holds = holds & self._once(str(condition), lambda c=condition: self._condition(c))
+        return holds
+
+    def _condition(self, condition) -> Column:
+        text = condition["expression"]
+        if text:
+            known = text in self.policies.expressions
+            return F.col(f"__x{self.policies.expressions.index(text)}") if known else F.lit(False)
+        if condition["attribute"] is None:
+            return F.lit(False)
+        expected = condition["expected"]
+        valid = expected is None or expected["text"] not in self.policies.bad_matches
+        if condition["operator"] == "MATCHES" and not valid:
+            return F.lit(False)
+        return co.satisfied(
+            condition["operator"] or "", self.operands[condition["attribute"]],
+            co.expected_operand(expected), self.operators,
+        )
+
+
 _SEEN = (
     "array<struct<attribute:string,operator:string,satisfied:boolean,reason:string,actual:string,expected:string>>"
 )

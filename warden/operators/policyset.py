@@ -34,10 +34,20 @@ def effect_code(effect: Column) -> Column:
     return chain.otherwise(F.lit(SILENT))
 
 
-def route_of(path: Column) -> Column:
-    """``scheme://authority/`` of a path, ``*`` when it has none."""
-    root = F.regexp_extract(path, r"\A[^:/]+://[^/]*/", 0)
-    return F.when(root == "", F.lit(UNROUTED)).otherwise(root)
+def folder_of(lead: Column) -> Column:
+    """Literal text up to its last slash, ``*`` when it has none."""
+    folder = F.regexp_extract(lead, r"(?s)\A.*/", 0)
+    return F.when(folder == "", F.lit(UNROUTED)).otherwise(folder)
+
+
+def folders_above(path: Column) -> Column:
+    """Every prefix of a path that ends in a slash, and ``*``."""
+    parts = F.split(path, "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1),
+        lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")),
+    )
+    return F.concat(F.array(F.lit(UNROUTED)), F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>")))
 
 
 @dataclass
@@ -155,8 +165,16 @@ class PolicySet:
         return self.rows is not None
 
     def routed(self, columns: list[str]) -> DataFrame:
-        """Policies with one row per route their resource patterns can match."""
-        lead_routes = F.array_distinct(F.transform("resources", lambda p: route_of(p["lead"])))
+        """Policies with one row per folder all matches of a resource pattern lie in.
+
+        A path meets a policy at most once per folder of the policy; nested
+        folders of one policy are reduced to the outermost.
+        """
+        folders = F.array_distinct(F.transform("resources", lambda p: folder_of(p["lead"])))
+        lead_routes = F.filter(
+            folders,
+            lambda f: ~F.exists(folders, lambda other: (other != f) & F.startswith(f, other)),
+        )
         anything = F.array(F.lit(UNROUTED))
         open_ended = F.array_contains(lead_routes, UNROUTED)
         if self.bad_patterns:
