@@ -1,0 +1,243 @@
+"""Replaying a cache with time-to-live over an access log.
+
+A write at ``w`` serves its key until ``w + ttl``; the next cacheable access
+from then on writes again.  So the writes of a key form a chain: each is the
+first cacheable access at least ``ttl`` after the one before.
+
+At most one write can fall into a time bucket of length ``ttl``.  A gap of
+``ttl`` or more always starts a new chain (a *run*), and gaps can be found on
+one aggregated row per (key, bucket).  Short runs are folded in one go.  Long
+runs, as a hot key has, are followed by pointer doubling: every access knows
+its successor and log2(chain length) joins reach all writes, without ever
+holding a key in one task.
+"""
+
+from __future__ import annotations
+
+from math import ceil, log2
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from warden.operators.sequences import bucket_of, micros, running_max
+from warden.session import with_checkpoints
+
+# Distinct access times up to which a run is folded as one array.
+FOLD_LIMIT = 2048
+
+DECISION_KEY = ["subject", "resource", "action", "session_id"]
+
+
+def replay_decisions(
+    decided: DataFrame,
+    ttl_seconds: int,
+    invalidations: DataFrame | None = None,
+    clears: DataFrame | None = None,
+    fold_limit: int | None = None,
+) -> DataFrame:
+    """Decided requests as a decision cache would have served them.
+
+    Adds ``hit, decided_at, served_effect, served_reason``.  The environment
+    is not part of the key, so a hit may serve an outdated decision.
+    ``invalidations`` (key columns, ``request_ts, request_id``) drop one key
+    after the access of the same time and id, ``clears`` (``request_ts``) all.
+    """
+    return replay(
+        decided, DECISION_KEY, "request_ts", "request_id", ttl_seconds * 1_000_000,
+        payload={"served_effect": "effect", "served_reason": "reason"},
+        cacheable=F.col("cacheable") if "cacheable" in decided.columns else F.lit(True),
+        invalidations=invalidations, clears=clears, fold_limit=fold_limit,
+    )
+
+
+def replay_grants(accesses: DataFrame, ttl_seconds: int = 300, fold_limit: int | None = None) -> DataFrame:
+    """Grant cache per (path, operation); usable while age <= TTL. Adds ``hit, decided_at``."""
+    return replay(
+        accesses, ["path", "operation"], "request_ts", "request_id", ttl_seconds * 1_000_000 + 1,
+        payload={}, cacheable=F.col("cacheable") if "cacheable" in accesses.columns else F.lit(True),
+        fold_limit=fold_limit,
+    )
+
+
+def replay(
+    events: DataFrame, keys: list[str], ts: str, row_id: str, ttl: int, payload: dict[str, str],
+    cacheable: Column, invalidations: DataFrame | None = None, clears: DataFrame | None = None,
+    fold_limit: int | None = None,
+) -> DataFrame:
+    """Cache replay with entries usable while age < ``ttl`` microseconds."""
+    fold_limit = FOLD_LIMIT if fold_limit is None else fold_limit
+    key = [f"__k{i}" for i in range(len(keys))]
+    log = events.withColumns(
+        {
+            **{k: F.coalesce(F.col(c), F.lit("null")) for k, c in zip(key, keys, strict=True)},
+            "__t": micros(F.col(ts)),
+            "__id": F.col(row_id),
+            "__keep": cacheable,
+        }
+    )
+    if invalidations is not None or clears is not None:
+        log = _with_barrier(log, key, keys, ts, row_id, invalidations, clears, ttl)
+        key = [*key, "__barrier"]
+    log = log.withColumn("__b", bucket_of(F.col("__t"), ttl))
+
+    entry = F.struct(F.col("__id").alias("id"), *[F.col(c).alias(n) for n, c in payload.items()])
+    nodes = (
+        log.filter("__keep").groupBy(*key, "__b", "__t").agg(F.min(entry).alias("__entry"))
+    )  # map-side combine: one row per key and time
+    writes = _writes(nodes, key, ttl, fold_limit)
+    # A write can serve its own bucket and the next one.
+    reach = writes.select(*key, F.explode(F.array(F.col("__b"), F.col("__b") + 1)).alias("__b"),
+                          F.col("__b").alias("__wb"), F.struct("__t", "__entry").alias("__w"))
+    own = F.col("__wb") == F.col("__b")
+    serving = reach.groupBy(*key, "__b").agg(
+        F.max(F.when(own, F.col("__w"))).alias("__own"), F.max(F.when(~own, F.col("__w"))).alias("__last")
+    )
+    joined = log.join(serving, [*key, "__b"], "left")
+    t, i = F.col("__t"), F.col("__id")
+    own, last = F.col("__own"), F.col("__last")
+    by_own = F.coalesce(
+        (own["__t"] < t) | ((own["__t"] == t) & (own["__entry"]["id"] <= i)), F.lit(False)
+    )
+    by_last = F.coalesce(t - last["__t"] < ttl, F.lit(False))
+    served = F.when(by_own, own).when(by_last, last)
+    joined = joined.withColumn("__served", served)
+    served = F.col("__served")
+    hit = F.coalesce(served["__entry"]["id"] != i, F.lit(False))
+    return joined.select(
+        *events.columns,
+        hit.alias("hit"),
+        F.timestamp_micros(F.coalesce(served["__t"], t)).alias("decided_at"),
+        *[F.coalesce(served["__entry"][n], F.col(c)).alias(n) for n, c in payload.items()],
+    )
+
+
+def _with_barrier(log, key, keys, ts, row_id, invalidations, clears, ttl) -> DataFrame:
+    """Number each event by the last invalidation before it: entries do not cross it."""
+    none = F.lit(None).cast("struct<t:bigint,id:bigint>")
+    columns = log.columns
+    barrier = F.lit(None).cast("struct<t:bigint,id:bigint>")
+    if invalidations is not None:
+        drops = invalidations.select(
+            *[F.coalesce(F.col(c), F.lit("null")).alias(k) for k, c in zip(key, keys, strict=True)],
+            micros(F.col(ts)).alias("__t"), F.col(row_id).alias("__id"),
+        ).withColumns({"__mark": F.struct(F.col("__t").alias("t"), F.col("__id").cast("bigint").alias("id")), "__kind": F.lit(1)})
+        marked = log.withColumns({"__mark": none, "__kind": F.lit(0)}).unionByName(drops, allowMissingColumns=True)
+        marked = running_max(marked, key, "__t", ["__id", "__kind"], "__mark", "__dropped", ttl)
+        log = marked.filter("__kind = 0").select(*columns, "__dropped")
+        barrier = F.col("__dropped")
+    if clears is not None:
+        times = clears.select(micros(F.col(ts)).alias("__t")).withColumns(
+            {"__mark": F.struct(F.col("__t").alias("t"), F.lit(-1).cast("bigint").alias("id")), "__kind": F.lit(0)}
+        )
+        marked = log.withColumns({"__mark": none, "__kind": F.lit(1)}).unionByName(times, allowMissingColumns=True)
+        marked = running_max(marked, [], "__t", ["__kind"], "__mark", "__cleared", ttl)
+        log = marked.filter("__kind = 1").drop("__mark", "__kind")
+        barrier = F.greatest(barrier, F.col("__cleared"))
+    text = F.concat_ws("/", barrier["t"].cast("string"), barrier["id"].cast("string"))
+    return log.withColumn("__barrier", text).select(*columns, "__barrier")
+
+
+def _writes(nodes: DataFrame, key: list[str], ttl: int, fold_limit: int) -> DataFrame:
+    """The nodes at which the cache is written, one at most per (key, bucket)."""
+    by_bucket = Window.partitionBy(*key).orderBy("__b")
+    buckets = nodes.groupBy(*key, "__b").agg(
+        F.min("__t").alias("first"), F.max("__t").alias("last"), F.count("*").alias("n")
+    )
+    gap = F.col("first") - F.lag("last").over(by_bucket)
+    buckets = buckets.withColumn("starts", F.when(gap.isNull() | (gap >= ttl), F.col("first")))
+    up_to_here = by_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = buckets.withColumn("__run", F.max("starts").over(up_to_here))
+    run = Window.partitionBy(*key, "__run")
+    follows = Window.partitionBy(*key, "__run").orderBy("__b")
+    after = F.lead("__b").over(follows) == F.col("__b") + 1
+    buckets = buckets.select(
+        *key, "__b", "__run",
+        F.sum("n").over(run).alias("__nodes"),
+        (F.max("last").over(run) - F.col("__run")).alias("__span"),
+        # first access in the run after the next bucket
+        F.when(after, F.lead("first", 2).over(follows)).otherwise(F.lead("first").over(follows)).alias("__beyond"),
+    )
+    buckets = with_checkpoints_of(buckets)
+    longest = (
+        buckets.filter(F.col("__nodes") > fold_limit).agg(F.max("__span").alias("span")).first()["span"]
+    )
+    placed = nodes.join(buckets, [*key, "__b"])
+
+    short = placed if longest is None else placed.filter(F.col("__nodes") <= fold_limit)
+    item = F.struct("__t", "__b", "__entry")
+    lists = short.groupBy(*key, "__run").agg(F.sort_array(F.collect_list(item)).alias("items"))  # <= fold_limit
+    item_type = lists.schema["items"].dataType
+    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast(item_type).alias("kept"))
+    chain = F.aggregate(
+        "items",
+        start,
+        lambda acc, x: F.when(
+            acc["at"].isNull() | (x["__t"] - acc["at"] >= ttl),
+            F.struct(x["__t"].alias("at"), F.concat(acc["kept"], F.array(x)).alias("kept")),
+        ).otherwise(acc),
+    )
+    folded = lists.select(*key, F.explode(chain["kept"]).alias("w")).select(
+        *key, F.col("w.__b").alias("__b"), F.col("w.__t").alias("__t"), F.col("w.__entry").alias("__entry")
+    )
+    if longest is None:
+        return folded
+    long = placed.filter(F.col("__nodes") > fold_limit)
+    followed = _follow(long, [*key, "__run"], ttl, longest)
+    return folded.unionByName(
+        long.join(followed, [*key, "__run", "__t"], "left_semi").select(*key, "__b", "__t", "__entry")
+    )
+
+
+def _follow(nodes: DataFrame, key: list[str], ttl: int, span: int) -> DataFrame:
+    """``(key, __t)`` of every node reached from the start of its run."""
+    # Successor: first node at or after t + ttl, which lies in the next bucket
+    # or is the first node beyond it.
+    asks = nodes.select(*key, (F.col("__b") + 1).alias("g"), (F.col("__t") + ttl).alias("x"),
+                        F.lit(None).cast("bigint").alias("target"), "__t", "__beyond")
+    offers = nodes.select(*key, F.col("__b").alias("g"), F.col("__t").alias("x"), F.col("__t").alias("target"),
+                          F.lit(None).cast("bigint").alias("__t"), F.lit(None).cast("bigint").alias("__beyond"))
+    ahead = Window.partitionBy(*key, "g").orderBy("x").rangeBetween(0, Window.unboundedFollowing)
+    jump = (
+        asks.unionByName(offers)
+        .withColumn("found", F.min("target").over(ahead))
+        .filter(F.col("__t").isNotNull())
+        .select(*key, "__t", F.coalesce("found", "__beyond").alias("next"))
+        .filter(F.col("next").isNotNull())
+    )
+    jump = with_checkpoints_of(jump)
+    reached = nodes.filter(F.col("__t") == F.col("__run")).select(*key, "__t")
+    rounds = ceil(log2(span // ttl + 2))
+    for step in range(rounds):
+        onward = reached.join(jump, [*key, "__t"]).select(*key, F.col("next").alias("__t"))
+        reached = with_checkpoints_of(reached.unionByName(onward))
+        if step < rounds - 1:
+            second = jump.select(*key, F.col("__t").alias("next"), F.col("next").alias("further"))
+            jump = jump.join(second, [*key, "next"]).select(*key, "__t", F.col("further").alias("next"))
+            jump = with_checkpoints_of(jump)
+    return reached
+
+
+def with_checkpoints_of(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder."""
+    with_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def cache_statistics(replayed: DataFrame, *by: str) -> DataFrame:
+    """Requests, hits, misses and hit rate."""
+    return replayed.groupBy(*by).agg(
+        F.count("*").alias("requests"),
+        F.count_if("hit").alias("hits"),
+        F.count_if(~F.col("hit")).alias("misses"),
+        (F.count_if("hit") / F.count("*")).alias("hit_rate"),
+    )
+
+
+def stale_decisions(replayed: DataFrame, current: DataFrame) -> DataFrame:
+    """Hits whose served effect differs from ``current(request_id, effect)``."""
+    now = current.select("request_id", F.col("effect").alias("current_effect"))
+    return (
+        replayed.filter("hit")
+        .join(now, "request_id")
+        .filter(F.col("served_effect") != F.col("current_effect"))
+    )
