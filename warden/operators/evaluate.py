@@ -67,6 +67,12 @@ class _Key:
     def change_times(self) -> Column:
         return F.array(*[F.lit(t) for t in self.changes]).cast("array<timestamp>")
 
+    def in_force(self, valid_from: Column, valid_to: Column) -> Column:
+        """Whether the key's epoch starts within a version's validity."""
+        start = F.get(self.change_times(), F.col("__epoch") - 1)
+        during = (start >= valid_from) & (valid_to.isNull() | (start < valid_to))
+        return F.coalesce(during, F.lit(False))
+
 
 @dataclass
 class Engine:
@@ -133,8 +139,7 @@ class Engine:
 
     def cacheable(self, decided: DataFrame) -> DataFrame:
         """Flag decisions a cache may keep: errors and "no policy" are not kept."""
-        kept = (F.col("reason") != NO_POLICIES) & ~F.startswith(F.col("reason"), F.lit(ERROR))
-        return decided.withColumn("cacheable", kept)
+        return decided.withColumn("cacheable", ~F.rlike("reason", F.lit(rf"\A({NO_POLICIES}\z|{ERROR})")))
 
     def replay(self, requests: DataFrame, decided: DataFrame | None = None) -> DataFrame:
         """Decisions as a cache with the engine's TTL would have served them."""
@@ -162,12 +167,17 @@ class Engine:
             }
         )
         terms = _Terms(self, {n: at.operand(df, n, policies.resolver.attributes) for n in policies.names})
-        codes = [self._policy_code(p, terms) for p in policies.rows]
-        if not codes:
-            effect, reason = F.lit(schemas.NOT_APPLICABLE), F.lit(NO_POLICIES)
-        else:
-            df = df.withColumn("__codes", F.array(*codes))
-            effect, reason = self._combine_codes(F.col("__codes"), [p["name"] for p in policies.rows])
+        scores = _Scores(len(policies.rows))
+        each = [self._policy_score(p, terms, scores, i) for i, p in enumerate(policies.rows)]
+        best = each[0] if len(each) == 1 else F.greatest(*each) if each else F.lit(scores.none)
+        # A filter on the effect would be moved below this projection with a
+        # copy of all policies in it.  Filters on request columns pass a
+        # generator, filters on what it generates do not.
+        df = df.withColumn("__score", best).select(
+            *requests.columns, "__error", F.explode_outer(F.array("__score")).alias("__outcome")
+        )
+        effects, reasons = scores.meanings([p["name"] for p in policies.rows])
+        effect, reason = (F.get(F.array(*[F.lit(v) for v in t]), F.col("__outcome")) for t in (effects, reasons))
         error = F.col("__error")
         return df.select(
             *requests.columns,
@@ -175,29 +185,7 @@ class Engine:
             F.when(error.isNotNull(), F.concat(F.lit(ERROR), error)).otherwise(reason).alias("reason"),
         )
 
-    @staticmethod
-    def _combine_codes(codes: Column, names: list[str]) -> tuple[Column, Column]:
-        """First permit wins, else the last deny, over codes in rank order."""
-        labels = F.array(*[F.lit(n) for n in names])
-        permit, error = F.array_position(codes, ps.PERMIT), F.array_position(codes, ps.RULE_ERROR)
-        deny = F.array_position(F.reverse(codes), ps.DENY)
-        failed = F.array_contains(codes, ps.TARGET_ERROR) | ((error > 0) & ((permit == 0) | (error < permit)))
-        effect = (
-            F.when(failed, F.lit(schemas.DENY))
-            .when(permit > 0, F.lit(schemas.PERMIT))
-            .when(deny > 0, F.lit(schemas.DENY))
-            .otherwise(F.lit(schemas.NOT_APPLICABLE))
-        )
-        reason = (
-            F.when(failed, F.lit(ERROR + _BAD_PATTERN))
-            .when(permit > 0, F.concat(F.lit(GRANTED), F.get(labels, (permit - 1).cast("int"))))
-            .when(deny > 0, F.concat(F.lit(DENIED), F.get(labels, (F.lit(len(names)) - deny).cast("int"))))
-            .when(F.array_contains(codes, ps.SILENT), F.lit(NO_RULES))
-            .otherwise(F.lit(NO_POLICIES))
-        )
-        return effect, reason
-
-    def _policy_code(self, policy, terms: _Terms) -> Column:
+    def _policy_score(self, policy, terms: _Terms, scores: _Scores, i: int) -> Column:
         match, fails = terms.target(policy)
         if self.policies.versioned:
             ts = F.col("request_ts")
@@ -206,20 +194,21 @@ class Engine:
                 valid = valid & (ts < F.lit(policy["valid_to"]))
             match = valid & match
             fails = None if fails is None else valid & fails
-        code = F.when(fails, F.lit(ps.TARGET_ERROR)) if fails is not None else None
-        code = (code.when if code is not None else F.when)(~match, F.lit(ps.NONE))
+        code = F.when(fails, F.lit(scores.target_error)) if fails is not None else None
+        code = (code.when if code is not None else F.when)(~match, F.lit(scores.none))
         denies = []
         for rule in policy["rules"]:
             rule_match, rule_fails = terms.target(rule)
             if rule_fails is not None:
-                code = code.when(rule_fails, F.lit(ps.RULE_ERROR))
+                code = code.when(rule_fails, F.lit(scores.error(i)))
             if rule["effect"] == schemas.PERMIT:
-                code = code.when(rule_match & terms.rule_holds(rule), F.lit(ps.PERMIT))
+                code = code.when(rule_match & terms.rule_holds(rule), F.lit(scores.permit(i)))
             elif rule["effect"] == schemas.DENY:
                 denies.append(rule_match & terms.rule_holds(rule))
         if denies:
-            code = code.when(reduce(lambda a, b: a | b, denies), F.lit(ps.DENY))
-        return code.otherwise(F.lit(ps.EFFECT_CODES.get(policy["default_effect"], ps.SILENT)))
+            code = code.when(reduce(lambda a, b: a | b, denies), F.lit(scores.deny(i)))
+        default = {schemas.PERMIT: scores.permit(i), schemas.DENY: scores.deny(i)}
+        return code.otherwise(F.lit(default.get(policy["default_effect"], scores.silent)))
 
     # --- joined plan ------------------------------------------------------------
 
@@ -373,11 +362,7 @@ class Engine:
         state = self._target_state(F.col("resources"), F.col("actions"), F.col("subjects"))
         in_force = F.col("rank").isNotNull()
         if self.policies.versioned:
-            # In force in an epoch that starts within the version's validity.
-            start = F.get(key.change_times(), F.col("__epoch") - 1)
-            ends = F.col("valid_to")
-            during = (start >= F.col("valid_from")) & (ends.isNull() | (start < ends))
-            in_force = in_force & F.coalesce(during, F.lit(False))
+            in_force = in_force & key.in_force(F.col("valid_from"), F.col("valid_to"))
         candidates = candidates.withColumn("state", F.when(in_force, state).otherwise(F.lit(0)))
         rule_codes = F.transform("rules", self._rule_code)
         candidates = candidates.withColumn("__codes", F.when(F.col("state") == 1, rule_codes))
@@ -420,9 +405,14 @@ class Engine:
             .alias("__code"),
             F.when(~failed, F.coalesce(permit, "__deny")).alias("__rank"),
         )
-        names = self.policies.table.select(F.col("rank").alias("__rank"), "name")
+        versioned = self.policies.versioned
+        named = ["name", "valid_from", "valid_to"] if versioned else ["name"]
+        names = self.policies.table.select("rank", *named)
         names = F.broadcast(names) if self.policies.broadcastable() else names
-        decided = decided.join(names, "__rank", "left")
+        same = F.col("__rank") == F.col("rank")
+        if versioned:  # versions of a policy share its rank
+            same = same & dk.in_force(F.col("valid_from"), F.col("valid_to"))
+        decided = decided.join(names, same, "left").select(*key, "__code", "name")
         found = keyed.join(decided, key, "left")
         code, error = F.coalesce("__code", F.lit(ps.NONE)), F.col("__error")
         effect = (
@@ -516,6 +506,42 @@ class Engine:
         return [F.when(F.col("state") == 1, step).alias("step")]
 
 
+class _Scores:
+    """Numbers for the outcomes of single policies such that the largest decides.
+
+    Policies are counted in rank order: an earlier permit (or error) beats a
+    later one, any of them beats a denial, and a later denial an earlier one.
+    """
+
+    none, silent = 0, 1
+
+    def __init__(self, policies: int):
+        self.n = policies
+        self.target_error = 2 + 3 * policies
+
+    def deny(self, i: int) -> int:
+        return 2 + i
+
+    def permit(self, i: int) -> int:
+        return 2 + self.n + 2 * (self.n - 1 - i)
+
+    def error(self, i: int) -> int:
+        return self.permit(i) + 1
+
+    def meanings(self, names: list[str]) -> tuple[list[str], list[str]]:
+        """Effect and reason of every number."""
+        effects = [schemas.NOT_APPLICABLE] * (self.target_error + 1)
+        reasons = [NO_POLICIES] * (self.target_error + 1)
+        reasons[self.silent] = NO_RULES
+        failed = [self.error(i) for i in range(self.n)] + [self.target_error]
+        for number in failed:
+            effects[number], reasons[number] = schemas.DENY, ERROR + _BAD_PATTERN
+        for i, name in enumerate(names):
+            effects[self.deny(i)], reasons[self.deny(i)] = schemas.DENY, DENIED + name
+            effects[self.permit(i)], reasons[self.permit(i)] = schemas.PERMIT, GRANTED + name
+        return effects, reasons
+
+
 class _Terms:
     """Columns of targets and conditions known as the plan is built.
 

@@ -49,7 +49,7 @@ def answer_requests(requests: DataFrame, rules: NamespaceRules) -> DataFrame:
     granted = F.col("status") == 200
     provider = paths.provider(F.col("path"))
     url = F.when(provider == "azure", paths.blob_url(F.col("ref.account"), F.col("ref.container"), F.col("ref.object")))
-    expires = F.timestampadd("HOUR", F.col("expiry_hours"), F.col("request_ts"))
+    expires = F.timestamp_add("HOUR", F.col("expiry_hours"), F.col("request_ts"))
     return answered.select(
         *[c for c in answered.columns if c not in ("ref", "allowed", "reason")],
         F.when(granted, provider).alias("provider"),

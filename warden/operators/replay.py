@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warden.operators.sequences import bucket_of, micros, running_max
-from warden.session import with_checkpoints
+from warden.session import materialize
 
 # Distinct access times up to which a run is folded as one array.
 FOLD_LIMIT = 2048
@@ -84,6 +84,7 @@ def replay(
     nodes = (
         log.filter("__keep").groupBy(*key, "__b", "__t").agg(F.min(entry).alias("__entry"))
     )  # map-side combine: one row per key and time
+    nodes = materialize(nodes)  # read several times below
     writes = _writes(nodes, key, ttl, fold_limit)
     # A write can serve its own bucket and the next one.
     reach = writes.select(*key, F.explode(F.array(F.col("__b"), F.col("__b") + 1)).alias("__b"),
@@ -157,7 +158,6 @@ def _writes(nodes: DataFrame, key: list[str], ttl: int, fold_limit: int) -> Data
         # first access in the run after the next bucket
         F.when(after, F.lead("first", 2).over(follows)).otherwise(F.lead("first").over(follows)).alias("__beyond"),
     )
-    buckets = with_checkpoints_of(buckets)
     longest = (
         buckets.filter(F.col("__nodes") > fold_limit).agg(F.max("__span").alias("span")).first()["span"]
     )
@@ -204,25 +204,19 @@ def _follow(nodes: DataFrame, key: list[str], ttl: int, span: int) -> DataFrame:
         .select(*key, "__t", F.coalesce("found", "__beyond").alias("next"))
         .filter(F.col("next").isNotNull())
     )
-    jump = with_checkpoints_of(jump)
+    jump = materialize(jump)
     reached = nodes.filter(F.col("__t") == F.col("__run")).select(*key, "__t")
     rounds = ceil(log2(span // ttl + 2))
     for step in range(rounds):
         onward = reached.join(jump, [*key, "__t"]).select(*key, F.col("next").alias("__t"))
-        reached = with_checkpoints_of(reached.unionByName(onward))
+        reached = materialize(reached.unionByName(onward))
         if step < rounds - 1:
             second = jump.select(*key, F.col("__t").alias("next"), F.col("next").alias("further"))
             jump = jump.join(second, [*key, "next"]).select(*key, "__t", F.col("further").alias("next"))
-            jump = with_checkpoints_of(jump)
+            jump = materialize(jump)
     return reached
 
 
-def with_checkpoints_of(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder."""
-    with_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def cache_statistics(replayed: DataFrame, *by: str) -> DataFrame:
     """Requests, hits, misses and hit rate."""
     return replayed.groupBy(*by).agg(

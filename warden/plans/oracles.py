@@ -81,7 +81,7 @@ SUPPLIER_POLICIES = """policies AS (
 
 FOLDER_DECISIONS = f"""{SUPPLIER_POLICIES}, folder_requests AS ({fx.FOLDER_REQUESTS}), pairs AS (
   SELECT r.request_id, p.name, CASE WHEN r.clearance >= p.needed THEN p.rule_effect ELSE p.default_effect END AS effect,
-    -p.priority * 1000000000 + p.ord AS rank
+    CAST(-p.priority AS BIGINT) * 1000000000 + p.ord AS rank
   FROM (SELECT *, CASE WHEN starts_with(subject, 'hr_') THEN 2 WHEN starts_with(subject, 'finance_') THEN 3
                        WHEN starts_with(subject, 'manager_') THEN 4 ELSE 1 END AS clearance FROM folder_requests) r
   JOIN policies p ON p.enabled AND r.action = 'read'

@@ -46,8 +46,16 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
 def engine(spark: SparkSession, listed=None) -> Engine:
-    return Engine.over(fx.policies(spark, listed))
+    """Engine over fixture policies, prepared once per application."""
+    listed = fx.POLICIES if listed is None else listed
+    key = (spark.sparkContext.applicationId, json.dumps(listed))
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine.over(fx.policies(spark, listed))
+    return _ENGINES[key]
 
 
 def decided(spark: SparkSession, sf: str, listed=None, plan: str = "auto") -> DataFrame:
@@ -322,7 +330,7 @@ def user_attributes(spark, sf):
 
 @register(
     "time_attributes",
-    f"""WITH {orc.ATTRS} SELECT request_id, epoch_ms(request_ts) AS "currentTime", CAST(hr AS INTEGER) AS "currentHour",
+    f"""WITH {orc.ATTRS} SELECT request_id, epoch_us(request_ts) // 1000 AS "currentTime", CAST(hr AS INTEGER) AS "currentHour",
       dow AS "currentDay" FROM attrs""",
 )
 def time_attributes(spark, sf):
@@ -514,8 +522,8 @@ _register_path("storage_provider", pt.provider,
 
 @register(
     "object_reference",
-    f"""WITH paths AS ({fx.PATHS}), cut AS (SELECT path, regexp_extract(path, '^[a-z]+://([^/]*)/?(.*)$', 1) AS authority,
-        regexp_extract(path, '^[a-z]+://([^/]*)/?(.*)$', 2) AS rest FROM paths)
+    f"""WITH paths AS ({fx.PATHS}), cut AS (SELECT path, regexp_extract(path, '^[a-z0-9]+://([^/]*)/?(.*)$', 1) AS authority,
+        regexp_extract(path, '^[a-z0-9]+://([^/]*)/?(.*)$', 2) AS rest FROM paths)
       SELECT path, CASE WHEN path LIKE 'abfs://%@%' THEN split_part(split_part(authority, '@', 2), '.', 1)
           WHEN path LIKE 'https://%' THEN split_part(authority, '.', 1) END AS account,
         CASE WHEN path LIKE 's3://%' THEN authority WHEN path LIKE 'abfs://%@%' THEN split_part(authority, '@', 1)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # The JVM does not compile methods above 8000 bytes of bytecode.  With this
 # limit Spark leaves whole-stage code generation for such operators and uses
@@ -34,16 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    import tempfile
-
     folder = tempfile.mkdtemp(prefix="warden-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Make ``DataFrame.checkpoint()`` write below the shared folder."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return spark
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts lineage so that losing executors costs no recomputation.  Unlike
+    ``checkpoint()`` the plan runs once, and later reads prune columns.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
