@@ -1,0 +1,64 @@
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from warden.operators import replay as rp
+
+T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+SCHEMA = "request_id bigint, subject string, resource string, action string, session_id string, request_ts timestamp, effect string, reason string, cacheable boolean"
+
+
+def log(spark, events, uncacheable=()):
+    rows = [(i, k, "r", "read", "s", T0 + dt.timedelta(microseconds=t), str(i), "x", i not in uncacheable) for t, i, k in events]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def result(df):
+    out = {}
+    for r in df.select("request_id", "hit", F.unix_micros("decided_at").alias("at"), "served_effect").collect():
+        out[r["request_id"]] = (r["hit"], r["at"] - int(T0.timestamp()) * 1_000_000)
+    return out
+
+
+def events_of(rng, n, hot):
+    """A third or more of all accesses go to one key; some share a time."""
+    return [(rng.randrange(0, 40_000_000), i, "hot" if rng.random() < hot else f"k{rng.randrange(6)}") for i in range(n)]
+
+
+@pytest.mark.parametrize("fold_limit", [1, 40, 100_000])
+def test_replay_against_brute_force(spark, fold_limit):
+    rng = random.Random(fold_limit)
+    events = events_of(rng, 400, 0.5) + [(5_000_000, 1000, "hot"), (5_000_000, 1001, "hot")]
+    uncacheable = {i for _, i, _ in events if rng.random() < 0.2}
+    found = result(rp.replay_decisions(log(spark, events, uncacheable), 2, fold_limit=fold_limit))
+    assert found == brute.cache(events, 2_000_000, lambda i: i not in uncacheable)
+
+
+@pytest.mark.parametrize("fold_limit", [1, 100_000])
+def test_invalidation_and_clear(spark, fold_limit):
+    rng = random.Random(11)
+    events = events_of(rng, 200, 0.4)
+    drops = [(rng.randrange(0, 40_000_000), 5000 + i, rng.choice(["hot", "k1"])) for i in range(20)]
+    drops.append((events[3][0], events[3][1], events[3][2]))  # same time and id: after the access
+    clear = 17_000_000
+    keys = {k for _, _, k in events}
+    everything = drops + [(clear, -1, k) for k in keys]
+    drop_rows = log(spark, drops).drop("effect", "reason", "cacheable")
+    clears = spark.createDataFrame([(T0 + dt.timedelta(microseconds=clear),)], "request_ts timestamp")
+    found = result(rp.replay_decisions(log(spark, events), 3, drop_rows, clears, fold_limit=fold_limit))
+    assert found == brute.cache(events, 3_000_000, drops=everything)
+
+
+def test_grant_entry_is_usable_at_exactly_its_ttl(spark):
+    events = [(0, 0, "p"), (2_000_000, 1, "p"), (2_000_001, 2, "p"), (4_000_001, 3, "p"), (9_000_000, 4, "p")]
+    df = log(spark, events).select(F.col("subject").alias("path"), F.col("action").alias("operation"), "request_id", "request_ts")
+    found = {r["request_id"]: r["hit"] for r in rp.replay_grants(df, 2).collect()}
+    assert found == {0: False, 1: True, 2: False, 3: True, 4: False}
+
+
+def test_null_session_is_a_key_of_its_own(spark):
+    df = log(spark, [(0, 0, "a"), (1, 1, "a")]).withColumn("session_id", F.lit(None).cast("string"))
+    assert [r["hit"] for r in rp.replay_decisions(df, 1).orderBy("request_id").collect()] == [False, True]

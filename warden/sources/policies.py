@@ -39,10 +39,12 @@ def parse_policies(documents: DataFrame, text: str = "value", order: str | None
 
 def _parse(documents: DataFrame, text: str, order: str | None) -> DataFrame:
     """One row per policy with its list position, typed document and problems."""
+    value = F.col(text)
+    listed = F.when(value.rlike(r"\A\s*\{"), F.concat(F.lit("["), value, F.lit("]"))).otherwise(value)
     docs = documents.select(
         (F.col(order) if order else F.lit(0)).alias("src"),
-        F.from_json(F.col(text), f"array<{schemas.POLICY_JSON}>").alias("docs"),
-        F.from_json(F.col(text), "array<map<string,string>>").alias("raws"),
+        F.from_json(listed, f"array<{schemas.POLICY_JSON}>").alias("docs"),
+        F.from_json(listed, "array<map<string,string>>").alias("raws"),
     )
     zipped = F.arrays_zip("docs", "raws")
     rows = docs.select("src", F.posexplode_outer(zipped).alias("pos", "entry")).select(
