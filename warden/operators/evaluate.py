@@ -435,19 +435,24 @@ class Engine:
     def _trace_columns(self, candidates: DataFrame) -> list[Column]:
         """What was visited of one policy, in the order of its rules and conditions."""
 
+        names = F.array(*[F.lit(n) for n in self.policies.names]).cast("array<string>")
+
         def seen_condition(c: Column) -> Column:
-            by_expression = c["expression"].isNotNull()
-            holds = self._condition_holds(c)
-            names = F.array(*[F.lit(n) for n in self.policies.names]).cast("array<string>")
             value = F.get(F.col("__values"), (F.array_position(names, c["attribute"]) - 1).cast("int"))
-            actual = value["text"]
-            missing = value["kind"].isNull()
+            looked = F.struct(self._condition_holds(c).alias("holds"), value.alias("value"))
+            return _let(looked, lambda v: described(c, v["holds"], v["value"]))
+
+        def described(c: Column, holds: Column, value: Column) -> Column:
+            by_expression = c["expression"].isNotNull()
             expected = F.coalesce(c["expected"]["text"], F.lit("null"))
             outcome = F.when(holds, F.lit("satisfied")).otherwise(F.lit("not satisfied"))
             reason = (
                 F.when(by_expression & holds, F.lit("Expression evaluated to true"))
                 .when(by_expression, F.lit("Expression evaluated to false"))
-                .when(missing, F.concat(F.lit("Attribute not found: "), F.coalesce(c["attribute"], F.lit("null"))))
+                .when(
+                    value["kind"].isNull(),
+                    F.concat(F.lit("Attribute not found: "), F.coalesce(c["attribute"], F.lit("null"))),
+                )
                 .otherwise(F.format_string("Attribute %s %s %s: %s", c["attribute"], c["operator"], expected, outcome))
             )
             return F.struct(
@@ -455,30 +460,28 @@ class Engine:
                 c["operator"].alias("operator"),
                 holds.alias("satisfied"),
                 reason.alias("reason"),
-                F.when(by_expression, holds.cast("string")).otherwise(actual).alias("actual"),
+                F.when(by_expression, holds.cast("string")).otherwise(value["text"]).alias("actual"),
                 F.when(by_expression, F.lit("true")).otherwise(c["expected"]["text"]).alias("expected"),
             )
 
-        def until_first_failure(listed: Column) -> Column:
-            flags = F.transform(listed, lambda s: s["satisfied"])
-            first = F.array_position(flags, False)
-            return F.when(first > 0, F.slice(listed, F.lit(1), first.cast("int"))).otherwise(listed)
-
         def seen_rule(r: Column) -> Column:
-            code = self._rule_code(r)
             state = self._target_state(r["resources"], r["actions"], r["subjects"])
-            seen = until_first_failure(F.transform(r["conditions"], seen_condition))
-            holds = F.coalesce(F.forall(r["conditions"], self._condition_holds), F.lit(True))
-            none = F.array().cast(_SEEN)
+            seen = F.when(state == 1, F.transform(r["conditions"], seen_condition)).cast(_SEEN)
+            looked = F.struct((state == 1).alias("target"), F.coalesce(seen, F.array().cast(_SEEN)).alias("seen"))
+            return _let(looked, lambda v: judged(r, v["target"], v["seen"]))
+
+        def judged(r: Column, target: Column, seen: Column) -> Column:
+            failed = F.array_position(F.transform(seen, lambda s: s["satisfied"]), False)
+            holds = target & (failed == 0)
             return F.struct(
                 r["rule_id"].alias("rule_id"),
                 r["name"].alias("name"),
-                _effect_of(code).alias("effect"),
-                F.when(state != 1, F.lit("Rule target not matched"))
+                F.when(holds, r["effect"]).otherwise(F.lit(schemas.NOT_APPLICABLE)).alias("effect"),
+                F.when(~target, F.lit("Rule target not matched"))
                 .when(holds, F.lit("All conditions satisfied"))
                 .otherwise(F.lit("Conditions not satisfied"))
                 .alias("reason"),
-                F.when(state == 1, F.coalesce(seen.cast(_SEEN), none)).otherwise(none).alias("conditions"),
+                F.when(failed > 0, F.slice(seen, F.lit(1), failed.cast("int"))).otherwise(seen).alias("conditions"),
             )
 
         codes = F.col("__codes")
@@ -613,6 +616,11 @@ class _Terms:
         )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, inside lambda functions too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _SEEN = (
     "array<struct<attribute:string,operator:string,satisfied:boolean,reason:string,actual:string,expected:string>>"
 )

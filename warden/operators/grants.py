@@ -76,7 +76,7 @@ def active(grants: DataFrame, at: Column) -> DataFrame:
     return grants.filter(F.col("expires_at") >= at)
 
 
-def covering_grant(accesses: DataFrame, grants: DataFrame, hour_buckets: int = 1) -> DataFrame:
+def covering_grant(accesses: DataFrame, grants: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     """Accesses with the grant that covered them, if any.
 
     Of the grants issued for the same path and operation up to the access, the
@@ -95,7 +95,7 @@ def covering_grant(accesses: DataFrame, grants: DataFrame, hour_buckets: int = 1
         ).alias("__grant"),
     )
     both = probes.unionByName(offers, allowMissingColumns=True)
-    scanned = running_max(both, key, "__t", ["__kind"], "__grant", "__best", hour_buckets * 3_600_000_000)
+    scanned = running_max(both, key, "__t", ["__kind"], "__grant", "__best", bucket_seconds * 1_000_000)
     best = F.col("__best")
     covers = F.coalesce(best["expires_at"] >= F.col("request_ts"), F.lit(False))
     return scanned.filter("__kind = 1").select(

@@ -103,31 +103,21 @@ def decisions_policy_per_supplier(spark, sf):
     return found.select("request_id", "effect", "reason")
 
 
-_ERRORS = [
-    {**fx.POLICY_4, "id": "bad", "name": "bad", "priority": 50,
-     "target": {"resources": ["s3://public-datasets/*", "s3://data-lake/[*"], "actions": ["read"]}},
-    fx.POLICY_4,
-]
+_BROKEN = {
+    "id": "broken", "name": "broken", "enabled": True, "priority": 50, "target": {"actions": ["read"]},
+    "rules": [fx._rule("r", "r", "DENY", [], {"resources": ["s3://public-datasets/*", "s3://data-lake/[*"]})],
+}
 
 
 @register(
     "decisions_evaluation_error",
-    f"""WITH {orc.ATTRS} SELECT CASE
-      WHEN bad THEN 'subject' WHEN action = 'read' AND NOT starts_with(resource, 's3://public-datasets/') THEN 'pattern'
-      WHEN action = 'query' AND starts_with(resource, 's3://public-datasets/') THEN 'permit'
-      WHEN action = 'read' THEN 'permit' ELSE 'none' END AS outcome, count(*) AS requests FROM (
-        SELECT * FROM attrs) GROUP BY outcome""",
+    f"""WITH {orc.ATTRS} SELECT CASE WHEN bad THEN 'subject'
+        WHEN starts_with(resource, 's3://public-datasets/') THEN CASE WHEN action IN ('read', 'query') THEN 'permit' ELSE 'none' END
+        WHEN action = 'read' THEN 'pattern' ELSE 'none' END AS outcome, count(*) AS requests FROM attrs GROUP BY outcome""",
 )
 def decisions_evaluation_error(spark, sf):
-    """A target pattern that does not compile denies the requests that reach it."""
-    bad = [{**_ERRORS[0], "target": {"resources": ["s3://public-datasets/*", "s3://data-lake/[*"], "actions": ["read"]}}, _ERRORS[1]]
-    bad[0]["target"]["actions"], bad[0]["target"]["resources"] = ["read"], ["*"]
-    bad[0]["target"]["subjects"] = []
-    bad[0]["rules"] = [
-        {"id": "r", "name": "r", "enabled": True, "effect": "DENY", "conditions": [],
-         "target": {"resources": ["s3://public-datasets/*", "s3://data-lake/[*"]}}
-    ]
-    found = engine(spark, bad).evaluate(fx.requests(spark, sf))
+    """A rule pattern that does not compile denies the requests that reach it."""
+    found = engine(spark, [_BROKEN, fx.POLICY_4]).evaluate(fx.requests(spark, sf))
     reason = F.col("reason")
     outcome = (
         F.when(reason.contains("out of bounds"), "subject")
@@ -1026,6 +1016,80 @@ def authorized_query(spark, sf):
     return secured.authorize(query, engine(spark, [_READ_ALL]))
 
 
+_WRITER = {
+    "id": "w", "name": "writers", "enabled": True, "defaultEffect": "DENY", "target": {"subjects": ["etl@corp"]},
+    "rules": [fx._rule("r", "r", "PERMIT", [], {"actions": ["read", "write"]})],
+}
+
+
+@register("secured_read", "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment")
+def secured_read(spark, sf):
+    """A file source read behind the check."""
+    customers = secured.read_secured(
+        spark, engine(spark, [_WRITER]), f"{sf}/customer.parquet", principal=secured.Principal("etl@corp", "s")
+    )
+    return customers.groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
+
+
+def _written_back(spark, sf, fmt: str) -> DataFrame:
+    run, etl = engine(spark, [_WRITER]), secured.Principal("etl@corp", "s")
+    path = f"{shared_folder(spark)}/secured/{uuid.uuid4().hex}"
+    nations = fx.table(spark, sf, "customer").select("c_custkey", "c_name")
+    secured.write_secured(nations, run, path, fmt, principal=etl)
+    return secured.read_secured(spark, run, path, fmt, etl, schema=nations.schema)
+
+
+@register("secured_write_parquet", "SELECT c_custkey, c_name FROM customer")
+def secured_write_parquet(spark, sf):
+    return _written_back(spark, sf, "parquet")
+
+
+@register("secured_write_json", "SELECT c_custkey, c_name FROM customer")
+def secured_write_json(spark, sf):
+    return _written_back(spark, sf, "json")
+
+
+@register("secured_write_csv", "SELECT c_custkey, c_name FROM customer")
+def secured_write_csv(spark, sf):
+    return _written_back(spark, sf, "csv")
+
+
+@register("granted_write_read", "SELECT o_orderstatus, count(*) AS orders FROM orders GROUP BY o_orderstatus")
+def granted_write_read(spark, sf):
+    """``sas://`` paths behind the namespace rules, opened below the shared folder."""
+    driver = "system:serviceaccount:teama:spark-driver"
+    path = f"sas://bucket/teama/{uuid.uuid4().hex}"
+    locate = lambda p: p.replace("s3://", f"{shared_folder(spark)}/granted/")
+    orders = fx.table(spark, sf, "orders").select("o_orderstatus")
+    secured.write_granted(orders, _rules(spark), driver, path, locate=locate)
+    back = secured.read_granted(spark, _rules(spark), driver, path, locate=locate)
+    return back.groupBy("o_orderstatus").agg(F.count("*").alias("orders"))
+
+
+@register(
+    "policy_export_import",
+    f"WITH {orc.SUPPLIER_POLICIES} SELECT policy_id, name, version, CAST(ord AS INTEGER) AS policy_ord FROM policies",
+)
+def policy_export_import(spark, sf):
+    policies, _ = fx.supplier_policies(spark, sf)
+    path = f"{shared_folder(spark)}/policies/{uuid.uuid4().hex}"
+    ps.export_policies(policies, path)
+    return ps.import_policies(spark, path).select("policy_id", "name", "version", "policy_ord")
+
+
+@register(
+    "audit_written",
+    f"""WITH {orc.decided()} SELECT CAST(request_ts AS DATE) AS date, CASE WHEN effect = 'PERMIT' THEN 'ACCESS_GRANTED'
+      ELSE 'ACCESS_DENIED' END AS event, count(*) AS records FROM decided GROUP BY ALL""",
+)
+def audit_written(spark, sf):
+    """Audit lines written in one folder per day and read back."""
+    path = f"{shared_folder(spark)}/audit/{uuid.uuid4().hex}"
+    audit.write_audit(decided(spark, sf), path)
+    lines = spark.read.schema("event string, date date").json(path)
+    return lines.groupBy("date", "event").agg(F.count("*").alias("records"))
+
+
 # --- example analytics ----------------------------------------------------------------------------------
 
 @register(
