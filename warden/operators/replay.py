@@ -196,7 +196,8 @@ def _follow(nodes: DataFrame, key: list[str], ttl: int, span: int) -> DataFrame:
                         F.lit(None).cast("bigint").alias("target"), "__t", "__beyond")
     offers = nodes.select(*key, F.col("__b").alias("g"), F.col("__t").alias("x"), F.col("__t").alias("target"),
                           F.lit(None).cast("bigint").alias("__t"), F.lit(None).cast("bigint").alias("__beyond"))
-    ahead = Window.partitionBy(*key, "g").orderBy("x").rangeBetween(0, Window.unboundedFollowing)
+    # Looking back from the end is one pass; frames that look ahead start over at every row.
+    ahead = Window.partitionBy(*key, "g").orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, 0)
     jump = (
         asks.unionByName(offers)
         .withColumn("found", F.min("target").over(ahead))
@@ -227,11 +228,12 @@ def cache_statistics(replayed: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def stale_decisions(replayed: DataFrame, current: DataFrame) -> DataFrame:
-    """Hits whose served effect differs from ``current(request_id, effect)``."""
-    now = current.select("request_id", F.col("effect").alias("current_effect"))
-    return (
-        replayed.filter("hit")
-        .join(now, "request_id")
-        .filter(F.col("served_effect") != F.col("current_effect"))
+def stale_decisions(replayed: DataFrame) -> DataFrame:
+    """Hits that serve another effect than the request's own decision.
+
+    Replayed requests keep their own ``effect``, decided under the policy valid
+    at their time, so no join is needed.
+    """
+    return replayed.filter(F.col("hit") & (F.col("served_effect") != F.col("effect"))).withColumnRenamed(
+        "effect", "current_effect"
     )

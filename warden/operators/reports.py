@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from warden import schemas
 from warden.functions import attributes, paths
+from warden.operators.evaluate import Engine
 
 # Denial types.
 EXPLICIT_DENY, NO_APPLICABLE_POLICY, UNKNOWN = "EXPLICIT_DENY", "NO_APPLICABLE_POLICY", "UNKNOWN"
@@ -103,8 +104,18 @@ def access_profile(decided: DataFrame) -> DataFrame:
     )
 
 
+def what_if(requests: DataFrame, before: Engine, after: Engine) -> DataFrame:
+    """The same requests under two policy sets, counted by change.
+
+    The second set decides the rows the first has decided: nothing is joined.
+    """
+    old = before.evaluate(requests).withColumnRenamed("effect", "old_effect").drop("reason", "permitted")
+    new = after.evaluate(old).withColumnRenamed("effect", "new_effect")
+    return new.groupBy("old_effect", "new_effect").agg(F.count("*").alias("requests"))
+
+
 def compare_decisions(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What-if: the same requests under two policy sets, counted by change."""
+    """Two decision tables of the same requests, counted by change."""
     old = before.select("request_id", F.col("effect").alias("old_effect"))
     new = after.select("request_id", F.col("effect").alias("new_effect"))
     return old.join(new, "request_id", "full").groupBy("old_effect", "new_effect").agg(F.count("*").alias("requests"))

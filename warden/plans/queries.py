@@ -298,6 +298,12 @@ def decisions_as_of_compiled(spark, sf):
       SELECT old_effect, effect AS new_effect, count(*) AS requests FROM one JOIN decided USING (request_id) GROUP BY ALL""",
 )
 def what_if(spark, sf):
+    return re_.what_if(fx.requests(spark, sf), engine(spark, [fx.POLICY_1]), engine(spark))
+
+
+@register("decision_changes", ORACLES["what_if"])
+def decision_changes(spark, sf):
+    """The same from two decision tables."""
     return re_.compare_decisions(decided(spark, sf, [fx.POLICY_1]), decided(spark, sf))
 
 
@@ -932,8 +938,7 @@ def cache_invalidation(spark, sf):
 def stale_decisions(spark, sf):
     """Hits that serve an effect the policy valid at that time no longer gives."""
     run = Engine.over(_versioned(spark), ttl_seconds=3 * 86400)
-    now = run.evaluate(fx.requests(spark, sf))
-    found = rp.stale_decisions(run.replay(fx.requests(spark, sf), now), now)
+    found = rp.stale_decisions(run.replay(fx.requests(spark, sf)))
     return found.select("request_id", "served_effect", "current_effect")
 
 
