@@ -229,3 +229,28 @@ def test_custom_operator_and_directory(spark):
     df = frame(spark, [request("ann@x", "s3://a", "read"), request("ann@x", "s3:", "read"), request("bob@x", "s3://a", "read")])
     for plan in ("compiled", "joined"):
         assert [e for e, _ in answers(engine, df, plan)] == ["PERMIT", "DENY", "DENY"]
+
+
+def test_cache_settings(spark):
+    from warden.session import decision_ttl, grant_ttl
+
+    assert decision_ttl(spark) is None and grant_ttl(spark) == 300
+    spark.conf.set("spark.abac.cache.enabled", "true")
+    spark.conf.set("spark.abac.cache.ttl", "5m")
+    try:
+        assert Engine.over(fx.policies(spark)).ttl_seconds == 300
+    finally:
+        spark.conf.unset("spark.abac.cache.enabled")
+        spark.conf.unset("spark.abac.cache.ttl")
+
+
+def test_plain_text_or_missing_environment(spark):
+    policy = {"id": "p", "name": "p", "enabled": True, "rules": [
+        {"id": "r", "name": "r", "enabled": True, "effect": "PERMIT", "conditions": [
+            {"attributeName": "app", "operator": "EQUALS", "expectedValue": "nb"}, {"expression": "app == 'nb'"}]}]}
+    engine = Engine.over(fx.policies(spark, [policy]))
+    df = frame(spark, [request("a", "x", "read"), request("b", "x", "read")])
+    text = df.withColumn("environment", F.when(F.col("subject") == "a", F.create_map(F.lit("app"), F.lit("nb"))))
+    for plan in ("compiled", "joined"):
+        assert [e for e, _ in answers(engine, text, plan)] == ["PERMIT", "DENY"]
+        assert [e for e, _ in answers(engine, df.drop("environment"), plan)] == ["DENY", "DENY"]

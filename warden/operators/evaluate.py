@@ -28,6 +28,7 @@ from warden.functions import patterns as pa
 from warden.functions.expressions import with_expressions
 from warden.operators import policyset as ps
 from warden.operators.policyset import PolicySet, effect_code, folders_above
+from warden.session import decision_ttl
 
 # Patterns plus conditions up to which the compiled plan is used by default.
 COMPILED_TERMS = 300
@@ -97,8 +98,12 @@ class Engine:
         operators: Mapping[str, co.Operator] | None = None,
         ttl_seconds: int | None = None,
     ) -> Engine:
-        """Engine over a policy table (optionally with ``valid_from/valid_to``)."""
-        return cls(PolicySet.load(policies, resolver), operators, ttl_seconds)
+        """Engine over a policy table (optionally with ``valid_from/valid_to``).
+
+        Without ``ttl_seconds`` the session's cache settings decide on reuse.
+        """
+        ttl = decision_ttl(policies.sparkSession) if ttl_seconds is None else ttl_seconds
+        return cls(PolicySet.load(policies, resolver), operators, ttl)
 
     # --- public ---------------------------------------------------------------
 

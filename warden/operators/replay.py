@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warden.operators.sequences import bucket_of, micros, running_max
-from warden.session import materialize
+from warden.session import grant_ttl, materialize
 
 # Distinct access times up to which a run is folded as one array.
 FOLD_LIMIT = 2048
@@ -50,8 +50,9 @@ def replay_decisions(
     )
 
 
-def replay_grants(accesses: DataFrame, ttl_seconds: int = 300, fold_limit: int | None = None) -> DataFrame:
+def replay_grants(accesses: DataFrame, ttl_seconds: int | None = None, fold_limit: int | None = None) -> DataFrame:
     """Grant cache per (path, operation); usable while age <= TTL. Adds ``hit, decided_at``."""
+    ttl_seconds = grant_ttl(accesses.sparkSession) if ttl_seconds is None else ttl_seconds
     return replay(
         accesses, ["path", "operation"], "request_ts", "request_id", ttl_seconds * 1_000_000 + 1,
         payload={}, cacheable=F.col("cacheable") if "cacheable" in accesses.columns else F.lit(True),

@@ -36,9 +36,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _prepared(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the oracle's times have no zone
+    return tune(spark)
+
+
 def register(name: str, sql: str | None = None):
     def keep(function: Query) -> Query:
-        QUERIES[name] = lambda spark, sf: function(tune(spark), sf)
+        QUERIES[name] = lambda spark, sf: function(_prepared(spark), sf)
         if sql is not None:
             ORACLES[name] = sql
         return function

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 # compiled policy plan.
 SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
@@ -26,6 +26,29 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Session settings that configure caches, and their defaults.
+CACHE_ENABLED, CACHE_TTL = "spark.abac.cache.enabled", "spark.abac.cache.ttl"
+GRANT_TTL = "spark.hadoop.fs.sas.cache.ttl.seconds"
+_DEFAULT_TTL = "300s"
+_SECONDS = {"": 1, "s": 1, "m": 60, "min": 60, "h": 3600, "d": 86400}
+
+
+def decision_ttl(spark: SparkSession) -> int | None:
+    """Seconds a cached decision lives by the session's settings; None when caching is off."""
+    if spark.conf.get(CACHE_ENABLED, "false").lower() != "true":
+        return None
+    text = spark.conf.get(CACHE_TTL, _DEFAULT_TTL)
+    match = re.fullmatch(r"(\d+)\s*([a-z]*)", text.strip().lower())
+    if not match or match.group(2) not in _SECONDS:
+        raise ValueError(f"{CACHE_TTL} is not a duration: {text}")
+    return int(match.group(1)) * _SECONDS[match.group(2)]
+
+
+def grant_ttl(spark: SparkSession) -> int:
+    """Seconds a cached grant lives by the session's settings."""
+    return int(spark.conf.get(GRANT_TTL, _DEFAULT_TTL.rstrip("s")))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can read, for checkpoints and written intermediate tables.
 
