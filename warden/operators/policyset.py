@@ -140,7 +140,7 @@ class PolicySet:
 
     def _set_lookups(self, names, texts, regexes, matches) -> None:
         self.names = sorted(names)
-        sample = self.resolver.apply(_sample(self.spark)) if texts else None
+        sample = self.resolver.apply(sample_request(self.spark)) if texts else None
         tried = ex.usable(self.spark, sorted(texts), sample, self.resolver.attributes)
         self.expressions = [t for t, error in tried.items() if error is None]
         self.expression_errors = {t: e for t, e in tried.items() if e is not None}
@@ -187,7 +187,7 @@ class PolicySet:
 _FACETS = ("resources", "actions", "subjects")
 
 
-def _sample(spark: SparkSession) -> DataFrame:
+def sample_request(spark: SparkSession) -> DataFrame:
     """One made-up request, for trying expressions out."""
     return spark.range(1).selectExpr(
         "id AS request_id",

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import json
 import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warden import schemas
 from warden.functions import attributes as at
 from warden.functions import conditions as co
 from warden.functions import patterns as pa
 from warden.functions import paths as pt
 from warden.functions import principals as pr
-from warden.functions.expressions import with_expressions
+from warden.functions.expressions import usable, with_expressions
 from warden.operators import grants as gr
 from warden.operators import namespaces as ns
 from warden.operators import policyset
@@ -86,7 +86,7 @@ def decisions_one_policy(spark, sf):
     return _summary(decided(spark, sf, [fx.POLICY_1]))
 
 
-@register("decisions", f"WITH RECURSIVE {orc.decided()} {ROWS}")
+@register("decisions", f"WITH {orc.decided()} {ROWS}")
 def decisions(spark, sf):
     return decided(spark, sf, plan="compiled").select("request_id", "effect", "reason", "permitted")
 
@@ -440,9 +440,7 @@ for _operator, _cases in CASES.items():
 def expressions(spark, sf):
     """Expression conditions; refused, failing and non-boolean ones are false."""
     df = at.resolve_attributes(fx.requests(spark, sf))
-    sample = at.resolve_attributes(policyset._sample(spark))
-    from warden.functions.expressions import usable
-
+    sample = at.resolve_attributes(policyset.sample_request(spark))
     tried = usable(spark, [t for t, _ in EXPRESSIONS], sample, at.ATTRIBUTES)
     good = {f"__x{i}": t for i, (t, _) in enumerate(EXPRESSIONS) if tried[t] is None}
     df = with_expressions(df, good, at.ATTRIBUTES)
@@ -585,8 +583,6 @@ def namespace_decisions(spark, sf):
     f"WITH {orc.NS_DECIDED} SELECT TRUE AS allowed, 'No policies configured - allowing all access' AS reason, count(*) AS requests FROM ns_decided",
 )
 def namespace_no_rules(spark, sf):
-    import warnings
-
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         rules = ns.NamespaceRules.load(ns.standard_rules(spark).limit(0))
