@@ -48,8 +48,22 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.pieces import digests
+
+    return digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": packing,
     "op5_token_files": token_files,
+    "op7_piece_offsets": pieces,
+    "op10_fingerprints": fingerprints,
 }
 ORACLES: dict[str, str] = {}

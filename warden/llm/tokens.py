@@ -15,6 +15,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 CACHE_WORDS = 700_000  # entries a worker keeps before it starts anew
@@ -43,7 +44,7 @@ class WordCachedTokenizer:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.itemsize = array(self.code).itemsize
         self.kind = self._kind(json.loads(self.tokenizer.to_str()))
-        self.words: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         self.marks = dict(zip(["", ".", ","], [b"", *self._plain([".", ","])], strict=True))
         self.as_text = str.maketrans(_byte_letters()) if self.kind == "leading space" else None
@@ -77,7 +78,7 @@ class WordCachedTokenizer:
             word = word if word.isascii() else word.encode().decode("latin-1").translate(_byte_letters())
         return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _encode_words(self, new: list[str], lead: str) -> None:
+    def _encode_words(self, new: Iterable[str], lead: str) -> None:
         words, rest = self.words, []
         for w in new:
             if m := _PLAIN_WORD.fullmatch(w):
@@ -95,33 +96,35 @@ class WordCachedTokenizer:
         if self.kind == "whole":
             return self._plain(texts)
         lead = " " if self.kind == "leading space" else ""
-        split = [t.split(" ") for t in texts]
         words = self.words
         if len(words) > CACHE_WORDS:
             words.clear()
-        new = list({w for s in split for w in s}.difference(words))
-        if lead:
-            # A part that is empty or has white space at an end may belong to a run of white space.
-            safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-            words.update(dict.fromkeys(set(new).difference(safe)))
-            self._encode_words(safe, lead)
-            firsts = self._plain([s[0] for s in split])
-            return [
-                self._leading(t, s, first) for t, s, first in zip(texts, split, firsts, strict=True)
-            ]
-        self._encode_words(new, lead)
-        return [b"".join([words[w] for w in s]) for s in split]
-
-    def _leading(self, text: str, parts: list[str], first: bytes) -> bytes:
+        split = [t.split(" ") for t in texts]
+        known = [list(map(words.get, s)) for s in split]
+        new = {w for s, k in zip(split, known, strict=True) for w, ids in zip(s, k, strict=True) if ids is None}
+        if not lead:
+            self._encode_words(new, lead)
+            return [self._joined(s, k) for s, k in zip(split, known, strict=True)]
+        # A part that is empty or has white space at an end may belong to a run of white space.
+        self._encode_words([w for w in new if w and not w[0].isspace() and not w[-1].isspace()], lead)
+        firsts = self._plain([s[0] for s in split])
+        return [self._leading(*x) for x in zip(texts, split, known, firsts, strict=True)]
+
+    def _joined(self, parts: list[str], known: list[bytes | None]) -> bytes:
         words = self.words
-        if not parts[0] or not parts[0][-1].isspace():
-            ids = [words[w] for w in parts[1:]]
-            if None not in ids and parts[0]:
-                return first + b"".join(ids)
+        return b"".join([words[w] if ids is None else ids for w, ids in zip(parts, known, strict=True)])
+
+    def _leading(self, text: str, parts: list[str], known: list[bytes | None], first: bytes) -> bytes:
+        known[0] = first
+        if parts[0] and not parts[0][-1].isspace():
+            try:
+                return self._joined(parts, known)
+            except KeyError:
+                pass  # a part that is not kept
         parts = _SINGLE_SPACE.split(text)
-        unknown = list({w for w in parts[1:] if words.get(w) is None})
+        unknown = list({w for w in parts[1:] if w not in self.words})
         own = dict(zip(unknown, self._plain([" " + w for w in unknown]), strict=True))
-        return self._plain(parts[:1])[0] + b"".join([own[w] if w in own else words[w] for w in parts[1:]])
+        return self._plain(parts[:1])[0] + b"".join([own[w] if w in own else self.words[w] for w in parts[1:]])
 
 
 @lru_cache(maxsize=4)
