@@ -60,10 +60,17 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.warc import archive_and_read
+
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_best_fit_packing": packing,
     "op5_token_files": token_files,
     "op7_piece_offsets": pieces,
+    "op8_warc": warc,
     "op10_fingerprints": fingerprints,
 }
 ORACLES: dict[str, str] = {}
