@@ -66,11 +66,18 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.ngram_join import linked
+
+    return linked(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": packing,
     "op5_token_files": token_files,
     "op7_piece_offsets": pieces,
     "op8_warc": warc,
+    "op9_ngram_join": ngram_join,
     "op10_fingerprints": fingerprints,
 }
 ORACLES: dict[str, str] = {}
