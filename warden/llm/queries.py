@@ -72,7 +72,14 @@ def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.language_id import predicted_languages
+
+    return predicted_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_language_id": language_id,
     "op2_best_fit_packing": packing,
     "op5_token_files": token_files,
     "op7_piece_offsets": pieces,
