@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,5 +60,19 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             yield batch.slice(a, b - a)
 
 
+def keep_rows(df: DataFrame, decide: Callable[[], Callable[[list[str]], list[bool]]], text_column: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, whose texts ``decide()`` keeps; it is called once in each task.
+
+    Null text is passed as empty.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = decide()
+        for batch in chunks(batches, text_column):
+            yield batch.filter(pa.array(keep([t or "" for t in batch.column(text_column).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

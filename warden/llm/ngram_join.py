@@ -370,3 +370,16 @@ def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     return rows.join(smallest, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, one of each component: that with the smallest doc_id, once if it is repeated.
+
+    Rows without a doc_id cannot be told apart by it and stay.
+    """
+    found = linked(documents.filter("doc_id is not null"), percent)
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    rows = documents.join(kept, "doc_id", "left_semi")
+    number = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    first = rows.withColumn("__number", number).filter("__number = 1").drop("__number")
+    return first.unionByName(documents.filter("doc_id is null"))

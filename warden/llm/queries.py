@@ -78,11 +78,18 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted_languages(table(spark, sf_dir, "documents"))
 
 
+def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_best_fit_packing": packing,
     "op5_token_files": token_files,
     "op7_piece_offsets": pieces,
+    "op6_toxicity": toxic_texts,
     "op8_warc": warc,
     "op9_ngram_join": ngram_join,
     "op10_fingerprints": fingerprints,
