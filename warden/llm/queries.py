@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parents[2]
 
@@ -84,9 +85,23 @@ def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.nearest import QUERY_STEP, nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0)
+
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_best_fit_packing": packing,
+    "op3_license_scans": license_scans,
+    "op4_nearest_vectors": nearest_vectors,
     "op5_token_files": token_files,
     "op7_piece_offsets": pieces,
     "op6_toxicity": toxic_texts,
