@@ -73,6 +73,8 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarra
     the plain recursions over whole texts.
     """
     k = emissions.shape[1]
+    if not k:
+        return emissions, np.zeros((0, 0))
     step = np.exp(transitions - transitions.max())
     score = np.exp(emissions - emissions.max(axis=1, keepdims=True))
     parts = -(-lengths // _SEGMENT)

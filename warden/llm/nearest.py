@@ -56,8 +56,10 @@ def scaled(x: np.ndarray) -> np.ndarray:
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosine of each row of x with the same row of y, in double precision."""
-    plain = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
-    odd = ~np.isfinite(plain)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        plain = (x * y).sum(axis=1) / (np.sqrt(xx) * np.sqrt(yy))
+    odd = ~np.isfinite(plain) | ~np.isfinite(xx) | ~np.isfinite(yy) | (np.minimum(xx, yy) < 1e-280)
     if odd.any():  # squares out of range
         plain[odd] = (scaled(x[odd]) * scaled(y[odd])).sum(axis=1)
     return plain
