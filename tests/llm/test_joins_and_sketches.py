@@ -78,6 +78,9 @@ def test_sketches_bound_the_difference():
             delta = len(np.setxor1d(a, b))
             assert len(x - y) <= delta and len(y - x) <= delta
             assert len(x) > ngram_join.difference(len(a), len(a))
+        p, q = ngram_join.parity(a), ngram_join.parity(b)
+        assert ngram_join.hamming(p, [q, p, p + p]).tolist() == [ngram_join.hamming(q, [p])[0], 0, ngram_join.hamming(p, [bytes(len(p))])[0]]
+        assert ngram_join.hamming(p, [q])[0] <= len(np.setxor1d(a, b))
 
 
 def test_components_of_chains_and_stars(spark):

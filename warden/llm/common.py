@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT_CHUNK = 3 << 20  # bytes of text that a task holds as Python objects at a time
+TEXT_CHUNK = 2 << 20  # bytes of text that a task holds as Python objects at a time
 
 
 def shared_folder(spark: SparkSession) -> str:

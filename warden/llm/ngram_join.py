@@ -11,7 +11,8 @@ Of the filled cells only the rarest are joined on: ordered by how many sets have
 partners is among the first ``difference + 1`` of both. Cells that one set alone has come first in this order and join
 nothing, so a text of its own leaves the join at once, and a passage that many texts share is joined on only by texts
 that consist of it. What still meets is compared with the leader of its cell, then, across the groups found so far, with
-the rest of the cell, and verified on the shingles themselves.
+the rest of the cell, as far as parity sketches of one bit a place let it: their Hamming distance, too, is at most the
+symmetric difference. What is left is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ TINY = 64  # sets below this size have a cell for each shingle
 BAND = 4  # sizes in a band differ by less than this factor
 LOAD = 2.5  # shingles in a cell, at most, on average
 _U = np.uint64
-_FLUSH = 1 << 20  # cells that a task holds before it sends them on
+_FLUSH = 1 << 19  # cells that a task holds before it sends them on
 _CHUNK = 400  # texts compared with their leader in one task
 
 # With LOAD 2.5 a set of n >= 64 shingles fills at least 0.36 n cells but for a chance below 1e-15, as for hashes that
@@ -65,6 +66,23 @@ def sketch(shingles: np.ndarray, band: int) -> np.ndarray:
     return mix(np.bitwise_xor.reduceat(shingles, at) ^ mix(place[at] + _U(band << 48)))
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """One bit for each place: whether an odd number of shingles falls on it. Four to eight places a shingle, at least 64."""
+    bits = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(own: bytes, others: list[bytes]) -> np.ndarray:
+    """Places in which parity sketches differ; of different lengths, the longer one is folded by XOR."""
+    width = min(len(own), *map(len, others)) // 8
+
+    def folded(sketch: bytes) -> np.ndarray:
+        return np.bitwise_xor.reduce(np.frombuffer(sketch, "<u8").reshape(-1, width), axis=0)
+
+    return np.bitwise_count(np.stack([folded(o) for o in others]) ^ folded(own)).sum(axis=1, dtype=np.int64)
+
+
 def set_id(shingles: np.ndarray) -> int:
     """An even number for a set, the same for equal sets."""
     total = mix(shingles ^ _U(0x5BD1E9955BD1E995)).sum(dtype=np.uint64) + _U(len(shingles))
@@ -236,34 +254,61 @@ def leader_pairs(cells: DataFrame, percent: int) -> DataFrame:
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _parities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """set_id and parity sketch of texts; a text that is not of the set (its row shares a doc_id) gives none."""
+    for batch in chunks(batches):
+        rows = [
+            (own, parity(s))
+            for own, s in zip(batch.column("set_id").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True)
+            if own == set_id(s)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["set_id", "parity"]
+        )
+
+
 def _across(percent: int):
-    """A function for mapInArrow on whole cells: pairs of sets from different groups, each pair of a task once."""
+    """A function for mapInArrow on whole cells: pairs of sets from different groups that the sketches do not rule out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "set_id", "n", "place", "component"]
-        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches]
+        parts, sketches = [], {}
+        for batch in batches:
+            parts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            for own, sketch_bytes in zip(batch.column("set_id").to_pylist(), batch.column("parity").to_pylist(), strict=True):
+                sketches.setdefault(own, sketch_bytes)
         if not parts:
             return
         key, sid, n, place, group = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((group, key))
         key, sid, n, place, group = key[order], sid[order], n[order], place[order], group[order]
         cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        sent: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int]] = set()
+        found: list[tuple[int, int]] = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             ends = a + np.searchsorted(group[a:b], group[a:b], side="right")  # the next group begins there
             for i in range(a, b):
                 j = np.arange(ends[i - a], b)
+                most = difference(n[i], n[j], percent)
                 fits = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (
-                    np.maximum(place[i], place[j]) <= difference(n[i], n[j], percent)
+                    np.maximum(place[i], place[j]) <= most
                 )
-                for other in sid[j[fits]].tolist():
-                    own = int(sid[i])
-                    sent.add((own, other) if own < other else (other, own))
-            if len(sent) > 200_000:
-                yield record_batch(_PAIRS, a=[x for x, _ in sent], b=[x for _, x in sent])
-                sent.clear()
-        if sent:
-            yield record_batch(_PAIRS, a=[x for x, _ in sent], b=[x for _, x in sent])
+                own = int(sid[i])
+                pairs = [(own, x) if own < x else (x, own) for x in sid[j[fits]].tolist()]
+                new = [k for k, p in enumerate(pairs) if p not in seen]
+                if not new:
+                    continue
+                if len(seen) > 2_000_000:
+                    seen.clear()  # a pair found twice is dropped later
+                seen.update(pairs)
+                mine = sketches[own]
+                away = hamming(mine, [sketches[pairs[k][0] if pairs[k][1] == own else pairs[k][1]] for k in new])
+                found += [pairs[k] for k, x, m in zip(new, away.tolist(), most[fits][new].tolist(), strict=True) if x <= m]
+            if len(found) > 100_000:
+                yield record_batch(_PAIRS, a=[x for x, _ in found], b=[x for _, x in found])
+                found.clear()
+        if found:
+            yield record_batch(_PAIRS, a=[x for x, _ in found], b=[x for _, x in found])
 
     return run
 
@@ -359,6 +404,8 @@ def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     )
     split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     rest = known.join(split.select("key"), "key", "left_semi").select("key", "set_id", "n", "place", "component")
+    parities = texts.mapInArrow(_parities, "set_id bigint, parity binary").dropDuplicates(["set_id"])
+    rest = rest.join(parities, "set_id")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     across = rest.repartition(parts, "key").mapInArrow(_across(percent), "a bigint, b bigint").distinct()
     more = written(verified(across, texts, percent))
