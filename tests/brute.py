@@ -126,19 +126,3 @@ def decide(request, policies):
     except BadPattern:
         return "DENY", "Evaluation error"
     return ("DENY", "Access denied by policy: " + last) if last else ("NOT_APPLICABLE", "No rules matched")
-
-
-def cache(events, ttl, cacheable=lambda e: True, drops=()):
-    """Replay in time order: ``{id: (hit, decided_at)}``; events and drops are ``(t, id, key)``."""
-    held, out = {}, {}
-    steps = sorted([(t, i, 0, k) for t, i, k in events] + [(t, i, 1, k) for t, i, k in drops])
-    for t, i, kind, key in steps:
-        if kind == 1:
-            held.pop(key, None)
-        elif key in held and t - held[key] < ttl:
-            out[i] = (True, held[key])
-        else:
-            out[i] = (False, t)
-            if cacheable(i):
-                held[key] = t
-    return out

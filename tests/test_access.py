@@ -105,6 +105,39 @@ def test_secured_read_and_write(spark, tmp_path):
         secured.read_secured(spark, engine, path)
 
 
+def test_what_is_opened_is_checked(spark, tmp_path):
+    for name in ("hr", "fin"):
+        spark.range(5).write.parquet(str(tmp_path / name / "f"))
+    policy = open_to("ann", ["read", "write"])
+    policy["target"]["resources"] = [f"{tmp_path}/hr/*"]
+    engine, ann = Engine.over(fx.policies(spark, [policy])), Principal("ann", "s")
+    assert secured.read_secured(spark, engine, f"{tmp_path}/fin/../hr/./f", principal=ann).count() == 5
+    for path in ("hr/../fin/f", "hr/{f,../fin/f}", "hr/*/../../fin/f", "fin/f"):
+        with pytest.raises(PermissionError):
+            secured.read_secured(spark, engine, f"{tmp_path}/{path}", principal=ann)
+    with pytest.raises(PermissionError):
+        secured.write_secured(spark.range(1), engine, f"{tmp_path}/hr/../fin/new", principal=ann)
+    assert not (tmp_path / "fin" / "new").exists()
+    with pytest.raises(PermissionError, match="above its root"):
+        secured.normalised(spark, "/../x")
+
+
+def test_common_table_expressions_are_looked_into(spark, tmp_path):
+    for name in ("open", "closed"):
+        spark.range(5).write.parquet(str(tmp_path / name))
+    policy = open_to("ann", ["read"])
+    policy["target"]["resources"] = ["*/open"]
+    engine, ann = Engine.over(fx.policies(spark, [policy])), Principal("ann", "s")
+    a, b = (spark.read.parquet(str(tmp_path / n)) for n in ("open", "closed"))
+    twice = "WITH c AS (SELECT id + rand() AS id FROM {a}) SELECT count(*) FROM c WHERE id > (SELECT min(id) FROM c)"
+    inner = "SELECT * FROM {a} WHERE id IN (WITH c AS (SELECT id FROM {b}), d AS (SELECT * FROM c) SELECT id FROM d)"
+    assert secured.authorize(spark.sql(twice, a=a), engine, ann).count() == 1
+    assert secured.authorize(spark.sql(inner, a=a, b=a), engine, ann).count() == 5
+    for query in (spark.sql(twice, a=b), spark.sql(inner, a=a, b=b)):
+        with pytest.raises(PermissionError):
+            secured.authorize(query, engine, ann)
+
+
 def test_sessions_are_isolated(spark, tmp_path):
     engine = Engine.over(fx.policies(spark, [open_to("ann", ["read"])]))
     spark.range(2).write.parquet(str(tmp_path / "t"))
@@ -142,6 +175,11 @@ def test_granted_paths(spark, tmp_path):
         secured.write_granted(spark.range(4), rules, driver, "sas://b/teama/t", locate=here)
     with pytest.raises(PermissionError):
         secured.read_granted(spark, rules, user("teamb", "x"), "sas://b/teama/t", locate=here)
+    secured.write_granted(spark.range(4), rules, user("teamb", "spark-driver"), "sas://b/teamb/x", locate=here)
+    for path in ("teama/../teamb/x", "teama/./../teamb/x", "teama/{t,../teamb/x}", "../c/x"):
+        with pytest.raises(PermissionError):
+            secured.read_granted(spark, rules, driver, f"sas://b/{path}", locate=here)
+    assert secured.read_granted(spark, rules, driver, "sas://b/teamb/../teama/t", locate=here).count() == 4
 
 
 def test_audit_lines(spark, sf, tmp_path):

@@ -231,17 +231,52 @@ def test_custom_operator_and_directory(spark):
         assert [e for e, _ in answers(engine, df, plan)] == ["PERMIT", "DENY", "DENY"]
 
 
-def test_cache_settings(spark):
-    from warden.session import decision_ttl, grant_ttl
-
-    assert decision_ttl(spark) is None and grant_ttl(spark) == 300
-    spark.conf.set("spark.abac.cache.enabled", "true")
-    spark.conf.set("spark.abac.cache.ttl", "5m")
-    try:
-        assert Engine.over(fx.policies(spark)).ttl_seconds == 300
-    finally:
-        spark.conf.unset("spark.abac.cache.enabled")
-        spark.conf.unset("spark.abac.cache.ttl")
+def test_no_time_means_no_version(spark):
+    policies = fx.policies(spark, [{
+        "id": "v", "name": "v", "enabled": True, "rules": [{"id": "r", "name": "r", "enabled": True, "effect": "PERMIT"}]}])
+    versions = policies.withColumn("valid_from", F.lit(dt.datetime(2024, 1, 1))).withColumn("valid_to", F.lit(None).cast("timestamp"))
+    engine = Engine.over(versions)
+    rows = [request("a", "x", "read"), request("a", "x", "read") | {"request_ts": None}, request("a", "x", "read") | {"request_ts": dt.datetime(2023, 1, 1)}]
+    expected = [("PERMIT", "Access granted by policy: v")] + [("NOT_APPLICABLE", "No applicable policies")] * 2
+    for plan in ("compiled", "joined"):
+        assert answers(engine, frame(spark, rows), plan) == expected
+
+
+def test_equality_with_absent_values(spark):
+    texts = ["#user_role != 'Manager'", "#user_role == null", "!(#user_role == 'Manager')", "#user_role == 'Manager'",
+             "#user_role != null", "#user_role <> 'x' && !(#user_role == 'y')"]
+    policies = [{"id": f"p{i}", "name": f"p{i}", "enabled": True, "target": {"resources": [f"r{i}"]}, "rules": [
+        {"id": "r", "name": "r", "enabled": True, "effect": "PERMIT", "conditions": [{"expression": t}]}]} for i, t in enumerate(texts)]
+    engine = Engine.over(fx.policies(spark, policies))
+    df = frame(spark, [request("nobody@x", f"r{i}", "read") for i in range(len(texts))])
+    for plan in ("compiled", "joined"):
+        assert [e == "PERMIT" for e, _ in answers(engine, df, plan)] == [True, True, True, False, False, True]
+
+
+def test_bad_expressions_are_found_among_good_ones(spark):
+    texts = ["subject == 'a'", "subject ===", "reflect('java.lang.System', 'exit')", "1 + ", "action == 'read'", "nosuch(1)"]
+    policies = [{"id": f"p{i}", "name": f"p{i}", "enabled": True, "rules": [
+        {"id": "r", "name": "r", "enabled": True, "effect": "PERMIT", "conditions": [{"expression": t}]}]} for i, t in enumerate(texts)]
+    found = PolicySet.load(fx.policies(spark, policies))
+    assert sorted(found.expressions) == sorted([texts[0], texts[4]])
+    assert sorted(found.expression_errors) == sorted(texts[i] for i in (1, 2, 3, 5))
+
+
+@pytest.mark.parametrize("limit", [0, None])
+def test_policies_are_met_by_subject_or_action(spark, limit):
+    def policy(i, target):
+        return {"id": f"p{i}", "name": f"p{i}", "enabled": True, "target": target, "defaultEffect": "PERMIT", "rules": []}
+
+    targets = [{"subjects": ["ann", "bob"]}, {"actions": ["write"]}, {"subjects": ["c*"]}, {"resources": ["s3://a/*"], "subjects": ["dan"]},
+               {"actions": ["delete", "re*"], "subjects": ["eve"]}]
+    policies = fx.policies(spark, [policy(i, t) for i, t in enumerate(targets)])
+    engine = Engine(PolicySet.load(policies, limit=limit))
+    asked = [("ann", "x", "read"), ("bob", "s3://a/b", "write"), ("cat", "y", "query"), ("dan", "s3://a/q", "query"), ("dan", "s3://b/q", "query"),
+             ("eve", "x", "read"), ("eve", "x", "query"), ("fay", "x", "query")]
+    df = frame(spark, [request(*a) for a in asked])
+    expected = ["p0", "p0", "p2", "p3", None, "p4", None, None]
+    for plan in ("compiled", "joined"):
+        assert [r.removeprefix("Access granted by policy: ") if e == "PERMIT" else None for e, r in answers(engine, df, plan)] == expected
 
 
 def test_plain_text_or_missing_environment(spark):

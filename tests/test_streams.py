@@ -4,8 +4,6 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-import brute
-from test_replay import T0, log, result
 from warden import schemas
 from warden.operators.evaluate import Engine
 from warden.plans import fixtures as fx
@@ -13,6 +11,9 @@ from warden.sources.secured import Principal
 from warden.streaming import streams
 
 
+T0 = dt.datetime(2024, 1, 1)
+
+
 def batches(spark, folder, frames):
     """One file per frame, read one per micro-batch in order."""
     for i, df in enumerate(frames):
@@ -54,16 +55,6 @@ def test_policies_refresh_between_batches(spark, tmp_path, sf):
     assert found == {r["request_id"]: r["reason"] for r in first.union(second).collect()} and len(seen) == 2
 
 
-def test_reuse_carries_over_batches(spark, tmp_path):
-    events = [(t * 700_000, t, f"k{t % 3}" if t % 2 else "hot") for t in range(60)]
-    frames = [log(spark, events[:20]), log(spark, events[20:45]), log(spark, events[45:])]
-    source = batches(spark, tmp_path / "in", frames)
-    run(source, streams.reuse_to(spark, str(tmp_path / "out"), str(tmp_path / "state"), 3), tmp_path / "cp", "append")
-    assert result(spark.read.parquet(str(tmp_path / "out"))) == brute.cache(events, 3_000_000)
-    kept = spark.read.parquet(str(tmp_path / "state")).filter("batch_id = 2").count()
-    assert 0 < kept <= 4  # expired entries are gone
-
-
 def test_session_state(spark, tmp_path):
     def rows(*r):
         data = [(q, s, u, op, T0 + dt.timedelta(minutes=q)) for q, s, u, op in r]
@@ -72,7 +63,7 @@ def test_session_state(spark, tmp_path):
     source = batches(spark, tmp_path / "in", [rows((1, "a", "x", "create"), (2, "b", "y", "create")),
                                               rows((3, "a", "x", "remove"), (4, "b", "z", "create"))])
     run(streams.session_state(source), streams.updates_to(str(tmp_path / "out")), tmp_path / "cp")
-    state = streams.latest_updates(spark.read.parquet(str(tmp_path / "out")), ["session_id"])
+    state = streams.current_state(streams.latest_updates(spark.read.parquet(str(tmp_path / "out")), ["session_id", "window_start"]))
     assert {(r["session_id"], r["user_id"], r["open"]) for r in state.collect()} == {("a", "x", False), ("b", "z", True)}
 
 
@@ -80,9 +71,24 @@ def test_stream_start_is_checked(spark, tmp_path):
     policy = {"id": "p", "name": "p", "enabled": True, "defaultEffect": "DENY", "rules": [
         {"id": "r", "name": "r", "enabled": True, "effect": "PERMIT", "target": {"actions": ["read"]}}]}
     engine = Engine.over(fx.policies(spark, [policy]))
-    writer = spark.readStream.format("rate").load().writeStream.format("noop")
+    ann = Principal("u", "s")
+    rate = spark.readStream.format("rate").load()
     with pytest.raises(PermissionError, match="Write access denied"):
-        streams.start_secured(writer, engine, spark, "in", "out", principal=Principal("u", "s"))
+        streams.start_secured(rate.writeStream.format("noop"), engine, str(tmp_path / "out"), principal=ann)
+    # What the stream reads counts, whatever the caller says of it.
+    for name in ("open", "closed"):
+        spark.range(3).write.parquet(str(tmp_path / name))
+    policy["target"] = {"resources": ["*/open", "*/out"]}
+    policy["rules"][0]["target"] = {"actions": ["read", "write"]}
+    engine = Engine.over(fx.policies(spark, [policy]))
+    for name, refused in (("open", False), ("closed", True)):
+        source = spark.readStream.schema("id bigint").parquet(str(tmp_path / name))
+        writer = source.writeStream.format("noop").trigger(availableNow=True)
+        if refused:
+            with pytest.raises(PermissionError, match="Access denied to resource .*closed"):
+                streams.start_secured(writer, engine, str(tmp_path / "out"), principal=ann)
+        else:
+            streams.start_secured(writer, engine, str(tmp_path / "out"), principal=ann).awaitTermination()
 
 
 def test_parse_events(spark):

@@ -10,6 +10,8 @@ import re
 from collections.abc import Mapping
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,43 @@ def to_sql(text: str) -> tuple[str, frozenset[str]]:
         for old, new in _REWRITES:
             pieces[i] = pieces[i].replace(old, new)
         pieces[i] = _NAME.sub(reference, pieces[i])
-    return "".join(pieces), frozenset(names)
+    return _two_valued("".join(pieces)), frozenset(names)
+
+
+_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|\w+(?:\.\w+)*|==|!=|<>|<=>|<=|>=|\s+|.", re.S)
+_EDGES = frozenset("AND OR NOT WHEN THEN ELSE CASE END , !".split())
+
+
+def _two_valued(sql: str) -> str:
+    """Equality that an absent value takes part in: ``==`` is ``<=>``, ``!=`` and ``<>`` its negation."""
+    tokens = _TOKEN.findall(sql)
+
+    def edge(i: int, step: int) -> int:
+        """The last place of the operand that begins next to ``i``."""
+        depth, last = 0, i
+        i += step
+        while 0 <= i < len(tokens):
+            token = tokens[i]
+            if token in "()":
+                depth += step if token == "(" else -step
+                if depth < 0:
+                    break
+            if depth == 0 and token.upper() in _EDGES:
+                break
+            last = i
+            i += step
+        return last
+
+    before, after = {}, {}
+    for i, token in enumerate(tokens):
+        if token in ("==", "="):
+            tokens[i] = "<=>"
+        elif token in ("!=", "<>"):
+            left, right = edge(i, -1), edge(i, 1)
+            before[left] = before.get(left, "") + " NOT ("
+            after[right] = after.get(right, "") + ")"
+            tokens[i] = "<=>"
+    return "".join(before.get(i, "") + t + after.get(i, "") for i, t in enumerate(tokens))
 
 
 @contextmanager
@@ -101,12 +139,19 @@ def _exactly_true(column: str) -> Column:
 
 
 def usable(spark: SparkSession, texts, sample: DataFrame, attributes) -> dict[str, str | None]:
-    """Error message (or None) for each expression, tried on a one-row sample."""
-    result: dict[str, str | None] = {}
-    for text in texts:
-        try:
-            with_expressions(sample, {"__x": text}, attributes).select("__x").collect()
-            result[text] = None
-        except Exception as error:
-            result[text] = str(error).splitlines()[0][:300]
-    return result
+    """Error message (or None) for each expression, tried on a one-row sample.
+
+    All are tried at once; a group that fails is halved until the bad ones are found.
+    """
+    texts = list(texts)
+    if not texts:
+        return {}
+    try:
+        columns = {f"__x{i}": text for i, text in enumerate(texts)}
+        with_expressions(sample, columns, attributes).select(*columns).collect()
+        return dict.fromkeys(texts)
+    except (RefusedExpression, PySparkException, Py4JJavaError) as error:
+        if len(texts) == 1:
+            return {texts[0]: str(error)}
+        mid = len(texts) // 2
+        return usable(spark, texts[:mid], sample, attributes) | usable(spark, texts[mid:], sample, attributes)

@@ -8,6 +8,8 @@ loaded, so that most matches become equality or prefix tests.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,7 +112,9 @@ def compilable(spark, patterns) -> dict[str, bool]:
         try:
             probe.select(*[F.col("v").rlike(p).alias(f"p{i}") for i, p in enumerate(chunk)]).collect()
             return dict.fromkeys(chunk, True)
-        except Exception:  # any failure to compile surfaces as a runtime error
+        except (PySparkException, Py4JJavaError) as error:
+            if "INVALID_PARAMETER_VALUE.PATTERN" not in str(error) and "PatternSyntaxException" not in str(error):
+                raise  # no word about the pattern: a lost executor, say
             if len(chunk) == 1:
                 return {chunk[0]: False}
             mid = len(chunk) // 2

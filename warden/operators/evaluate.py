@@ -8,8 +8,9 @@ matter.
 
 *Joined* serves larger sets.  Requests are reduced to distinct decision keys
 (partial aggregation collapses hot keys before the shuffle), keys meet the
-policies of the folders above them by a broadcast hash join, and the are joined back.  The second aggregation reuses the partitioning of
-the first, so policies cost no further exchange.
+policies that can match them by a hash join on the most selective facet of each
+policy's target, and the decisions are joined back.  The second aggregation
+reuses the partitioning of the first, so policies cost no further exchange.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ from warden.functions import conditions as co
 from warden.functions import patterns as pa
 from warden.functions.expressions import with_expressions
 from warden.operators import policyset as ps
-from warden.operators.policyset import PolicySet, effect_code, folders_above
-from warden.session import decision_ttl
+from warden.operators.policyset import PolicySet, effect_code
 
-# Patterns plus conditions up to which the compiled plan is used by default.
+# Policies, rules, patterns and conditions up to which the compiled plan is used
+# by default.  Both plans give the same answers; only the time differs.
 COMPILED_TERMS = 300
 
+# Texts of decisions.
 NO_POLICIES = "No applicable policies"
 NO_RULES = "No rules matched"
 GRANTED = "Access granted by policy: "
@@ -77,15 +79,10 @@ class _Key:
 
 @dataclass
 class Engine:
-    """Evaluates request tables or micro-batches against a policy set.
-
-    ``ttl_seconds`` switches on decision reuse in :meth:`replay`; plain
-    evaluation never reuses decisions.
-    """
+    """Evaluates request tables or micro-batches against a policy set."""
 
     policies: PolicySet
     operators: Mapping[str, co.Operator] = None
-    ttl_seconds: int | None = None
 
     def __post_init__(self):
         self.operators = self.operators or co.OPERATORS
@@ -96,22 +93,21 @@ class Engine:
         policies: DataFrame,
         resolver: at.Resolver | None = None,
         operators: Mapping[str, co.Operator] | None = None,
-        ttl_seconds: int | None = None,
     ) -> Engine:
-        """Engine over a policy table (optionally with ``valid_from/valid_to``).
-
-        Without ``ttl_seconds`` the session's cache settings decide on reuse.
-        """
-        ttl = decision_ttl(policies.sparkSession) if ttl_seconds is None else ttl_seconds
-        return cls(PolicySet.load(policies, resolver), operators, ttl)
+        """Engine over a policy table (optionally with ``valid_from/valid_to``)."""
+        return cls(PolicySet.load(policies, resolver), operators)
 
     # --- public ---------------------------------------------------------------
 
     def evaluate(self, requests: DataFrame, plan: str = "auto") -> DataFrame:
-        """Requests with ``effect, reason, permitted`` added."""
+        """Requests with ``effect, reason, permitted`` added.
+
+        A policy set that stays distributed is always joined, whatever ``plan``.
+        """
         if plan == "auto":
-            small = self.policies.rows is not None and self.policies.terms <= COMPILED_TERMS
-            plan = "compiled" if small else "joined"
+            plan = "compiled" if self.policies.terms <= COMPILED_TERMS else "joined"
+        if self.policies.rows is None:
+            plan = "joined"
         decided = {"compiled": self._compiled, "joined": self._joined}[plan](requests)
         return decided.withColumn("permitted", F.col("effect") == schemas.PERMIT)
 
@@ -142,25 +138,10 @@ class Engine:
         pairs = pairs.filter(F.col("state") == 1).select(*dk.columns, "policy_id")
         return keyed.join(pairs, dk.columns).select(*requests.columns, "policy_id")
 
-    def cacheable(self, decided: DataFrame) -> DataFrame:
-        """Flag decisions a cache may keep: errors and "no policy" are not kept."""
-        return decided.withColumn("cacheable", ~F.rlike("reason", F.lit(rf"\A({NO_POLICIES}\z|{ERROR})")))
-
-    def replay(self, requests: DataFrame, decided: DataFrame | None = None) -> DataFrame:
-        """Decisions as a cache with the engine's TTL would have served them."""
-        from warden.operators.replay import replay_decisions
-
-        decided = decided if decided is not None else self.evaluate(requests)
-        if self.ttl_seconds is None:
-            return decided.withColumn("hit", F.lit(False)).withColumn("decided_at", F.col("request_ts"))
-        return replay_decisions(self.cacheable(decided), self.ttl_seconds)
-
     # --- compiled plan ----------------------------------------------------------
 
     def _compiled(self, requests: DataFrame) -> DataFrame:
         policies = self.policies
-        if policies.rows is None:
-            raise ValueError("the compiled plan needs a policy set within the snapshot limit")
         df = policies.resolver.apply(requests)
         df = with_expressions(df, policies.expression_columns, policies.resolver.attributes)
         df = df.withColumns(
@@ -197,6 +178,7 @@ class Engine:
             valid = ts >= F.lit(policy["valid_from"])
             if policy["valid_to"] is not None:
                 valid = valid & (ts < F.lit(policy["valid_to"]))
+            valid = F.coalesce(valid, F.lit(False))  # at no known time no version is in force
             match = valid & match
             fails = None if fails is None else valid & fails
         code = F.when(fails, F.lit(scores.target_error)) if fails is not None else None
@@ -355,20 +337,20 @@ class Engine:
         return ["rank", "policy_id", "name", "default_effect", "resources", "actions", "subjects", "rules", *moments]
 
     def _key_policies(self, keys: DataFrame, key: _Key, extra) -> DataFrame:
-        """Keys x candidate policies with target state, code and extra columns.
+        """Keys x matching policies with target state, code and extra columns.
 
-        Every key keeps at least one row.  Candidates are the policies of a
-        folder above the key's resource and those without a fixed folder; the
-        full target test follows.
+        Candidates are the policies whose route the key has; the full target
+        test follows, and only what passes it goes on to the rules.
         """
-        candidates = keys.withColumn("__route", F.explode(folders_above(F.col(_RESOURCE)))).join(
-            self.policies.routed(self._policy_columns()), "__route", "left"
+        routes = ps.routes_of(F.col(_RESOURCE), F.col(_ACTION), F.col(_SUBJECT))
+        candidates = keys.withColumn("__route", F.explode(routes)).join(
+            self.policies.routed(self._policy_columns()), "__route"
         )
         state = self._target_state(F.col("resources"), F.col("actions"), F.col("subjects"))
         in_force = F.col("rank").isNotNull()
         if self.policies.versioned:
             in_force = in_force & key.in_force(F.col("valid_from"), F.col("valid_to"))
-        candidates = candidates.withColumn("state", F.when(in_force, state).otherwise(F.lit(0)))
+        candidates = candidates.withColumn("state", F.when(in_force, state).otherwise(F.lit(0))).filter("state <> 0")
         rule_codes = F.transform("rules", self._rule_code)
         candidates = candidates.withColumn("__codes", F.when(F.col("state") == 1, rule_codes))
         permit = F.array_position("__codes", ps.PERMIT)

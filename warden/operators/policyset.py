@@ -1,9 +1,10 @@
 """A policy table made ready for evaluation.
 
 Policies are configuration: a store holds thousands, a request log holds
-billions.  The size is measured once; a set within ``SNAPSHOT_POLICIES`` is
-read to the driver (one job) so that every plan uses the same snapshot and may
-broadcast it.  A larger set stays distributed and is joined without a hint.
+billions.  The size is measured once, in bytes; a set within ``SNAPSHOT_BYTES``
+is read to the driver (one job) so that every plan uses the same snapshot and
+may broadcast it.  A larger set stays distributed and is joined without a hint.
+Answers do not depend on it.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from warden.functions import patterns
 from warden.functions.attributes import Resolver
 from warden.sources.policies import rank_key
 
-SNAPSHOT_POLICIES = 10_000
+SNAPSHOT_BYTES = 16 << 20  # of the policies as JSON, each counted once for every route it is joined on
 
 # decision codes of one policy or rule
 NONE, PERMIT, DENY, SILENT, RULE_ERROR, TARGET_ERROR = range(6)
 EFFECT_CODES = {schemas.PERMIT: PERMIT, schemas.DENY: DENY, schemas.NOT_APPLICABLE: SILENT}
 UNROUTED = "*"
+_FOLDER, _SUBJECT, _ACTION = "resource ", "subject ", "action "
 
 
 def effect_code(effect: Column) -> Column:
@@ -41,13 +43,22 @@ def folder_of(lead: Column) -> Column:
 
 
 def folders_above(path: Column) -> Column:
-    """Every prefix of a path that ends in a slash, and ``*``."""
+    """Every prefix of a path that ends in a slash."""
     parts = F.split(path, "/")
     above = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1),
         lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")),
     )
-    return F.concat(F.array(F.lit(UNROUTED)), F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>")))
+    return F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
+
+
+def routes_of(resource: Column, action: Column, subject: Column) -> Column:
+    """The routes on which a request meets policies: its folders, its subject, its action, and ``*``."""
+    folders = F.transform(folders_above(resource), lambda f: F.concat(F.lit(_FOLDER), f))
+    return F.concat(
+        folders,
+        F.array(F.concat(F.lit(_SUBJECT), subject), F.concat(F.lit(_ACTION), action), F.lit(UNROUTED)),
+    )
 
 
 @dataclass
@@ -70,7 +81,7 @@ class PolicySet:
     def load(cls, policies: DataFrame, resolver: Resolver | None = None, limit: int | None = None) -> PolicySet:
         resolver = resolver or Resolver()
         spark = policies.sparkSession
-        limit = SNAPSHOT_POLICIES if limit is None else limit
+        limit = SNAPSHOT_BYTES if limit is None else limit
         versioned = "valid_from" in policies.columns
         validity = ["valid_from", "valid_to"] if versioned else []
         enabled = policies.filter("enabled").select(
@@ -84,9 +95,10 @@ class PolicySet:
             F.filter("rules", lambda r: r["enabled"]).alias("rules"),
             *validity,
         )
-        rows = enabled.limit(limit + 1).collect()
-        if len(rows) <= limit:
-            rows.sort(key=lambda r: r["rank"])
+        routes = sum(F.greatest(F.lit(1), F.size(f)) for f in ("resources", "subjects", "actions"))
+        size = F.length(F.to_json(F.struct(*enabled.columns))) * routes
+        if (enabled.agg(F.sum(size)).first()[0] or 0) <= limit:
+            rows = sorted(enabled.collect(), key=lambda r: r["rank"])
             table = spark.createDataFrame(rows, enabled.schema)
             found = cls(spark, table, rows, resolver, versioned)
             found._read_snapshot()
@@ -98,13 +110,14 @@ class PolicySet:
     # --- what the plan must know ---------------------------------------------
 
     def _read_snapshot(self) -> None:
-        conditions, targets = [], []
+        conditions, targets, rules = [], [], 0
         for policy in self.rows:
+            rules += len(policy["rules"])
             targets += [p for facet in _FACETS for p in policy[facet] or ()]
             for rule in policy["rules"]:
                 targets += [p for facet in _FACETS for p in rule[facet] or ()]
                 conditions += rule["conditions"] or ()
-        self.terms = len(targets) + len(conditions)
+        self.terms = len(self.rows) + rules + len(targets) + len(conditions)
         self._set_lookups(
             names={c["attribute"] for c in conditions if not c["expression"] and c["attribute"] is not None},
             texts={c["expression"] for c in conditions if c["expression"]},
@@ -165,21 +178,42 @@ class PolicySet:
         return self.rows is not None
 
     def routed(self, columns: list[str]) -> DataFrame:
-        """Policies with one row per folder all matches of a resource pattern lie in.
+        """Policies with one row for each route on which requests that they can match look for them.
 
-        A path meets a policy at most once per folder of the policy; nested
-        folders of one policy are reduced to the outermost.
+        A policy with resources is met in the folders that all matches lie in;
+        nested folders of one policy are reduced to the outermost.  Without a
+        fixed folder it is met by its literal subjects, else by its literal
+        actions, else by every request.  A policy holding a pattern that does
+        not compile must be seen by all requests that can reach it.
         """
         folders = F.array_distinct(F.transform("resources", lambda p: folder_of(p["lead"])))
         lead_routes = F.filter(
             folders,
             lambda f: ~F.exists(folders, lambda other: (other != f) & F.startswith(f, other)),
         )
-        anything = F.array(F.lit(UNROUTED))
-        open_ended = F.array_contains(lead_routes, UNROUTED)
-        if self.bad_patterns:
-            open_ended = open_ended | F.exists("resources", lambda p: ~self.not_bad(p["text"], self.bad_patterns))
-        routes = F.when(F.col("resources").isNull() | open_ended, anything).otherwise(lead_routes)
+
+        def sound(facet: str) -> Column:
+            if not self.bad_patterns:
+                return F.lit(True)
+            return F.forall(facet, lambda p: (p["kind"] != patterns.REGEX) | self.not_bad(p["text"], self.bad_patterns))
+
+        def literal(facet: str) -> Column:
+            return F.col(facet).isNotNull() & F.forall(facet, lambda p: p["kind"] == patterns.LITERAL)
+
+        def named(facet: str, mark: str) -> Column:
+            return F.array_distinct(F.transform(facet, lambda p: F.concat(F.lit(mark), p["text"])))
+
+        # Facets are tested in the order resource, action, subject: a broken pattern in an earlier one is reached
+        # by requests that a later one does not match.
+        steady = F.col("resources").isNull() | sound("resources")
+        steady_actions = steady & (F.col("actions").isNull() | sound("actions"))
+        by_folder = F.col("resources").isNotNull() & sound("resources") & ~F.array_contains(lead_routes, UNROUTED)
+        routes = (
+            F.when(by_folder, F.transform(lead_routes, lambda f: F.concat(F.lit(_FOLDER), f)))
+            .when(steady_actions & literal("subjects"), named("subjects", _SUBJECT))
+            .when(steady & literal("actions"), named("actions", _ACTION))
+            .otherwise(F.array(F.lit(UNROUTED)))
+        )
         table = self.table.select(F.explode(routes).alias("__route"), *columns)
         return F.broadcast(table) if self.broadcastable() else table
 

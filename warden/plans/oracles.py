@@ -119,26 +119,3 @@ SESSIONS = f"""session_events AS ({fx.SESSION_EVENTS}), sessions AS (
   SELECT session_id, user_id, event_ts FROM (
     SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_ts DESC, seq DESC) AS rn FROM session_events)
   WHERE rn = 1 AND op = 'create')"""
-
-
-def replayed(source: str, keys: str, ttl: str, fresh: str = "<", extra: str = "") -> str:
-    """Recursive replay of a cache over ``source(keys, request_ts, request_id, cacheable)``.
-
-    One step per access of a key; ``fresh`` compares age with the TTL.
-    """
-    columns = ", ".join(f"n.{k.strip()}" for k in keys.split(","))
-    match = " AND ".join(f"n.{k.strip()} = c.{k.strip()}" for k in keys.split(","))
-    return f"""numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY request_ts, request_id) AS rn FROM {source}), chain AS (
-  SELECT {columns}, n.rn, n.request_id, n.request_ts, FALSE AS hit,
-    CASE WHEN n.cacheable THEN n.request_ts END AS written,
-    CASE WHEN n.cacheable THEN n.effect END AS kept, n.request_ts AS decided_at, n.effect AS served_effect{extra}
-  FROM numbered n WHERE n.rn = 1
-  UNION ALL
-  SELECT {columns}, n.rn, n.request_id, n.request_ts,
-    coalesce(n.request_ts - c.written {fresh} {ttl}, FALSE),
-    CASE WHEN coalesce(n.request_ts - c.written {fresh} {ttl}, FALSE) THEN c.written WHEN n.cacheable THEN n.request_ts END,
-    CASE WHEN coalesce(n.request_ts - c.written {fresh} {ttl}, FALSE) THEN c.kept WHEN n.cacheable THEN n.effect END,
-    CASE WHEN coalesce(n.request_ts - c.written {fresh} {ttl}, FALSE) THEN c.written ELSE n.request_ts END,
-    CASE WHEN coalesce(n.request_ts - c.written {fresh} {ttl}, FALSE) THEN c.kept ELSE n.effect END{extra}
-  FROM chain c JOIN numbered n ON {match} AND n.rn = c.rn + 1)"""

@@ -19,7 +19,6 @@ from warden.functions.expressions import usable, with_expressions
 from warden.operators import grants as gr
 from warden.operators import namespaces as ns
 from warden.operators import policyset
-from warden.operators import replay as rp
 from warden.operators import reports as re_
 from warden.operators import sessions as se
 from warden.operators.evaluate import Engine
@@ -865,96 +864,6 @@ def audit_records(spark, sf):
     ).agg(F.count("*").alias("records"))
 
 
-# --- caches --------------------------------------------------------------------------------------
-
-_DAY = "INTERVAL 1 DAY"
-_CACHED = f"""{orc.decided()}, log AS (
-  SELECT subject, resource, action, session_id, request_ts, request_id, effect, reason,
-    reason <> 'No applicable policies' AND NOT starts_with(reason, 'Evaluation error') AS cacheable FROM decided)"""
-_KEYS = "subject, resource, action, session_id"
-_REPLAY_SQL = f"WITH RECURSIVE {_CACHED}, {orc.replayed('log', _KEYS, _DAY)}"
-
-
-def _replayed(spark, sf, **how) -> DataFrame:
-    run = engine(spark)
-    return rp.replay_decisions(run.cacheable(run.evaluate(fx.requests(spark, sf))), 86400, **how)
-
-
-@register(
-    "decision_cache_replay",
-    f"{_REPLAY_SQL} SELECT request_id, hit, epoch_us(decided_at) AS decided_at, served_effect FROM chain",
-)
-def decision_cache_replay(spark, sf):
-    return _replayed(spark, sf).select("request_id", "hit", micros("decided_at"), "served_effect")
-
-
-@register("decision_cache_replay_long_runs", ORACLES["decision_cache_replay"])
-def decision_cache_replay_long_runs(spark, sf):
-    """The same with every run followed by pointer doubling, as hot keys are."""
-    return _replayed(spark, sf, fold_limit=1).select("request_id", "hit", micros("decided_at"), "served_effect")
-
-
-@register(
-    "cache_statistics",
-    f"""{_REPLAY_SQL} SELECT action, count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses,
-      round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM chain GROUP BY ALL""",
-)
-def cache_statistics(spark, sf):
-    return rp.cache_statistics(_replayed(spark, sf), "action").withColumn("hit_rate", F.round("hit_rate", 6))
-
-
-# Writes may carry several accesses of one key and time, so invalidations order by (time, id).
-_INVALIDATED = f"""WITH RECURSIVE {_CACHED}, drops AS (
-    SELECT subject, resource, session_id, request_ts, request_id FROM log WHERE action = 'delete'), barred AS (
-    SELECT l.*, (SELECT count(*) FROM drops d WHERE l.action = 'read' AND d.subject = l.subject AND d.resource = l.resource
-        AND d.session_id = l.session_id AND (d.request_ts < l.request_ts
-          OR (d.request_ts = l.request_ts AND d.request_id < l.request_id)))
-      + CASE WHEN request_ts >= TIMESTAMP '2024-01-15' THEN 1000000 ELSE 0 END AS era FROM log l),
-  {orc.replayed('barred', _KEYS + ', era', _DAY)}"""
-
-
-@register(
-    "cache_invalidation",
-    f"{_INVALIDATED} SELECT request_id, hit, epoch_us(decided_at) AS decided_at FROM chain",
-)
-def cache_invalidation(spark, sf):
-    """Deletes drop the cached read decision of their key; the cache is cleared on 15 January."""
-    requests = fx.requests(spark, sf)
-    drops = requests.filter("action = 'delete'").withColumn("action", F.lit("read"))
-    clears = requests.agg(F.lit("2024-01-15").cast("timestamp").alias("request_ts"))
-    found = _replayed(spark, sf, invalidations=drops, clears=clears)
-    return found.select("request_id", "hit", micros("decided_at"))
-
-
-@register(
-    "stale_decisions",
-    f"""WITH RECURSIVE {_AS_OF}, eff AS (
-        SELECT *, CASE WHEN bad THEN 'DENY' WHEN a3 AND p3 THEN 'PERMIT' WHEN a3 AND d3 THEN 'DENY' ELSE 'NOT_APPLICABLE' END AS effect_now
-        FROM judged), log AS (SELECT subject, resource, action, session_id, request_ts, request_id, effect_now AS effect,
-          NOT bad AND a3 AS cacheable FROM eff),
-      {orc.replayed('log', _KEYS, 'INTERVAL 3 DAY')}
-      SELECT c.request_id, c.served_effect, e.effect_now AS current_effect FROM chain c JOIN eff e USING (request_id)
-      WHERE c.hit AND c.served_effect <> e.effect_now""",
-)
-def stale_decisions(spark, sf):
-    """Hits that serve an effect the policy valid at that time no longer gives."""
-    run = Engine.over(_versioned(spark), ttl_seconds=3 * 86400)
-    found = rp.stale_decisions(run.replay(fx.requests(spark, sf)))
-    return found.select("request_id", "served_effect", "current_effect")
-
-
-@register(
-    "grant_cache_replay",
-    f"""WITH RECURSIVE {orc.NS_DECIDED}, log AS (SELECT path, op AS operation, request_ts, request_id, allowed AS cacheable, '' AS effect FROM ns_decided),
-      {orc.replayed('log', 'path, operation', 'INTERVAL 300 SECOND', fresh='<=')}
-      SELECT request_id, hit, epoch_us(decided_at) AS decided_at FROM chain""",
-)
-def grant_cache_replay(spark, sf):
-    checked = _rules(spark).check(gr.check_requests(fx.ns_requests(spark, sf)))
-    found = rp.replay_grants(checked.withColumn("cacheable", F.col("allowed")), 300)
-    return found.select("request_id", "hit", micros("decided_at"))
-
-
 # --- secured access ---------------------------------------------------------------------------------
 
 @register(
@@ -1215,22 +1124,6 @@ def decision_stream(spark, sf):
     return spark.read.parquet(folder).select("request_id", "effect", "reason")
 
 
-@register(
-    "decision_reuse_stream",
-    f"{_REPLAY_SQL} SELECT request_id, hit, epoch_us(decided_at) AS decided_at, served_effect FROM chain",
-)
-def decision_reuse_stream(spark, sf):
-    """Decided requests answered as a cache with TTL, last writes carried between micro-batches."""
-    run = engine(spark)
-    requests = fx.with_environment(_stream_select(spark, sf, fx.REQUESTS))
-    requests = requests.withColumn("request_ts", F.col("request_ts").cast("timestamp"))
-    ready = run.cacheable(run.evaluate(requests, "compiled"))
-    folder = _run_stream(
-        spark, ready, lambda path: streams.reuse_to(spark, path, f"{path}-state", 86400), "append"
-    )
-    return spark.read.parquet(folder).select("request_id", "hit", micros("decided_at"), "served_effect")
-
-
 @register(
     "session_stream",
     f"WITH {orc.SESSIONS} SELECT session_id, user_id, epoch_us(event_ts) AS created_at FROM sessions",
@@ -1239,5 +1132,6 @@ def session_stream(spark, sf):
     """Open sessions kept as streaming state."""
     events = _stream_select(spark, sf, fx.SESSION_EVENTS).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
     folder = _run_stream(spark, streams.session_state(events), streams.updates_to)
-    state = streams.latest_updates(spark.read.parquet(folder), ["session_id"]).filter("open")
+    states = streams.latest_updates(spark.read.parquet(folder), ["session_id", "window_start"])
+    state = streams.current_state(states).filter("open")
     return state.select("session_id", "user_id", F.unix_micros("changed_at").alias("created_at"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # The JVM does not compile methods above 8000 bytes of bytecode.  With this
 # limit Spark leaves whole-stage code generation for such operators and uses
@@ -26,34 +24,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Session settings that configure caches, and their defaults.
-CACHE_ENABLED, CACHE_TTL = "spark.abac.cache.enabled", "spark.abac.cache.ttl"
-GRANT_TTL = "spark.hadoop.fs.sas.cache.ttl.seconds"
-_DEFAULT_TTL = "300s"
-_SECONDS = {"": 1, "s": 1, "m": 60, "min": 60, "h": 3600, "d": 86400}
-
-
-def decision_ttl(spark: SparkSession) -> int | None:
-    """Seconds a cached decision lives by the session's settings; None when caching is off."""
-    if spark.conf.get(CACHE_ENABLED, "false").lower() != "true":
-        return None
-    text = spark.conf.get(CACHE_TTL, _DEFAULT_TTL)
-    match = re.fullmatch(r"(\d+)\s*([a-z]*)", text.strip().lower())
-    if not match or match.group(2) not in _SECONDS:
-        raise ValueError(f"{CACHE_TTL} is not a duration: {text}")
-    return int(match.group(1)) * _SECONDS[match.group(2)]
-
-
-def grant_ttl(spark: SparkSession) -> int:
-    """Seconds a cached grant lives by the session's settings."""
-    return int(spark.conf.get(GRANT_TTL, _DEFAULT_TTL.rstrip("s")))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can read, for checkpoints and written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session may
-    fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session, as
+    in tests, gets a temporary folder where the setting is absent.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -63,14 +38,3 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="warden-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    Cuts lineage so that losing executors costs no recomputation.  Unlike
-    ``checkpoint()`` the plan runs once, and later reads prune columns.
-    """
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -255,16 +255,22 @@ class PolicyStore:
             raise PermissionError("policy store is read-only")
 
     def upsert(self, changes: DataFrame) -> PolicyStore:
-        """Replace policies by id in their place; new ids go to the end."""
+        """Replace policies in their place, by id and version; new ones go to the end.
+
+        A store with versions keeps the others of a policy; a new version takes
+        the place of its policy in the order.
+        """
         self._check()
-        places = self.policies.select("policy_id", F.col("policy_ord").alias("__place"))
+        own = self.policies.groupBy("policy_id").agg(F.min("policy_ord").alias("__place"))
         added = (
-            changes.join(places, "policy_id", "left")
+            changes.join(own, "policy_id", "left")
             .join(F.broadcast(_next_ord(self.policies)), F.lit(True))  # one row
             .withColumn("policy_ord", F.coalesce("__place", F.col("__base") + F.col("policy_ord")).cast("int"))
             .drop("__place", "__base")
         )
-        kept = self.policies.join(changes.select("policy_id"), "policy_id", "left_anti")
+        identity = changes.select(F.col("policy_id").alias("__id"), F.col("version").alias("__version"))
+        same = (F.col("policy_id") == F.col("__id")) & F.col("version").eqNullSafe(F.col("__version"))
+        kept = self.policies.join(identity, same, "left_anti")
         return self._changed(kept.unionByName(added))
 
     def delete(self, policy_ids: DataFrame) -> PolicyStore:

@@ -1,8 +1,9 @@
 """Reading and writing behind a policy check.
 
-These helpers guard cooperating users: someone holding the raw session can go
-around them.  Each check evaluates all paths at once, as one small request
-table.
+What is checked is what is opened: the resolved root paths of a read, the
+qualified and normalised path that a write is then given.  These helpers guard
+cooperating users: someone holding the raw session can go around them.  Each
+check evaluates all paths at once, as one small request table.
 """
 
 from __future__ import annotations
@@ -92,22 +93,52 @@ def require_write(spark: SparkSession, engine: Engine, path: str, fmt: str = "pa
     _require(spark, engine, principal or Principal.of(spark), [(path, fmt)], "write")
 
 
+def normalised(spark: SparkSession, path: str) -> str:
+    """The path as Hadoop takes it, without ``.`` and ``..``; refused if some are left."""
+    plain = _shown(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toString())
+    if any(part in (".", "..") for part in plain.split("/")):
+        raise PermissionError(f"access control check failed: {path} leads above its root")
+    return plain
+
+
+def _shown(path: str) -> str:
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def _as_typed(path: str, typed: str) -> str:
+    """An opened path as the policies name it: without the scheme of local files if the caller left it out."""
+    return path.removeprefix("file://") if "://" not in typed and not typed.startswith("file:") else path
+
+
 def read_secured(
     spark: SparkSession, engine: Engine, path: str, fmt: str = "parquet", principal: Principal | None = None,
     schema=None, **options,
 ) -> DataFrame:
-    """Read a file source the principal may read, else raise ``PermissionError``."""
-    require_read(spark, engine, path, fmt, principal)
+    """Read a file source the principal may read, else raise ``PermissionError``.
+
+    The path is checked as typed (normalised), and so is every root that it
+    resolves to, globs included, before the frame is handed out.
+    """
+    plain = normalised(spark, path)
+    require_read(spark, engine, plain, fmt, principal)
     reader = spark.read.format(fmt).options(**options)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
+    df = (reader.schema(schema) if schema is not None else reader).load(plain)
+    roots = [(_as_typed(_shown(root), path), fmt) for root, _ in sources_of(df)]
+    _require(spark, engine, principal or Principal.of(spark), roots, "read")
+    return df
 
 
 def write_secured(
     df: DataFrame, engine: Engine, path: str, fmt: str = "parquet", mode: str = "overwrite",
     principal: Principal | None = None, **options,
 ) -> None:
-    require_write(df.sparkSession, engine, path, fmt, principal)
-    df.write.format(fmt).mode(mode).options(**options).save(path)
+    """Write where the principal may write; the path checked is the path written."""
+    plain = normalised(df.sparkSession, path)
+    require_write(df.sparkSession, engine, plain, fmt, principal)
+    df.write.format(fmt).mode(mode).options(**options).save(plain)
+
+
+_HARMLESS = frozenset(("LocalRelation", "Range", "OneRowRelation", "CTERelationRef"))
 
 
 def sources_of(df: DataFrame) -> list[tuple[str, str]]:
@@ -115,9 +146,9 @@ def sources_of(df: DataFrame) -> list[tuple[str, str]]:
 
     Reads the analysed plan through the classic session's JVM handle; it is
     the only place that does.  Leaves that are neither file scans nor made in
-    the query itself are refused.
+    the query itself are refused.  A reference to a common table expression
+    reads nothing of its own: its definition is in the plan and is looked into.
     """
-    harmless = {"LocalRelation", "Range", "OneRowRelation"}
     plan = df._jdf.queryExecution().analyzed()
     plans = [plan]
     nested = plan.subqueriesAll()
@@ -128,17 +159,20 @@ def sources_of(df: DataFrame) -> list[tuple[str, str]]:
         for i in range(leaves.size()):
             leaf = leaves.apply(i)
             name = leaf.getClass().getSimpleName()
-            if name in harmless:
-                continue
-            relation = leaf.relation() if name == "LogicalRelation" else None
-            if relation is None or relation.getClass().getSimpleName() != "HadoopFsRelation":
-                raise PermissionError(f"access control check failed: cannot tell what {name} reads")
-            fmt = _format_label(relation.fileFormat().getClass().getSimpleName())
-            roots = relation.location().rootPaths()
-            found += [(roots.apply(k).toString(), fmt) for k in range(roots.size())]
+            if name not in _HARMLESS:
+                found += _files_of(leaf, name)
     return sorted(set(found))
 
 
+def _files_of(leaf, name: str) -> list[tuple[str, str]]:
+    relation = leaf.relation() if name == "LogicalRelation" else None
+    if relation is None or relation.getClass().getSimpleName() != "HadoopFsRelation":
+        raise PermissionError(f"access control check failed: cannot tell what {name} reads")
+    fmt = _format_label(relation.fileFormat().getClass().getSimpleName())
+    roots = relation.location().rootPaths()
+    return [(roots.apply(k).toString(), fmt) for k in range(roots.size())]
+
+
 def _format_label(class_name: str) -> str:
     for label in ("parquet", "delta", "json", "csv"):
         if label in class_name.lower():
@@ -146,11 +180,30 @@ def _format_label(class_name: str) -> str:
     return schemas.UNKNOWN
 
 
+def stream_sources(df: DataFrame) -> list[tuple[str, str]]:
+    """``(path, format)`` of every file source of a streaming query; sources without a path count by their name."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found: list[tuple[str, str]] = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "StreamingRelation":
+            source = leaf.dataSource()
+            path = source.options().get("path")
+            fmt = source.className()
+            found.append((_shown(path.get()) if path.isDefined() else fmt, fmt))
+        elif kind == "StreamingRelationV2":
+            path = leaf.extraOptions().get("path")
+            found.append((_shown(path) if path else leaf.sourceName(), leaf.sourceName()))
+        elif kind not in _HARMLESS:
+            found += _files_of(leaf, kind)
+    return sorted(set(found))
+
+
 def authorize(df: DataFrame, engine: Engine, principal: Principal | None = None) -> DataFrame:
     """The query unchanged if every file it scans may be read, else an error."""
     spark = df.sparkSession
-    wanted = [(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p, f)
-              for p, f in sources_of(df)]
+    wanted = [(_shown(p), f) for p, f in sources_of(df)]
     _require(spark, engine, principal or Principal.of(spark), wanted, "read")
     return df
 
@@ -185,8 +238,24 @@ def secured_columns(df: DataFrame, path: str, engine: Engine, principal: Princip
 
 # --- grant paths -------------------------------------------------------------------
 
+def _granted_path(path: str) -> str:
+    """The path without ``.`` and ``..``; what leaves its bucket, or could by alternatives in a glob, is refused."""
+    scheme, mark, rest = path.partition("://")
+    parts: list[str] = []
+    for part in rest.split("/"):
+        if part == "..":
+            if len(parts) < 2:
+                raise PermissionError(f"access denied: {path} leads above its bucket")
+            parts.pop()
+        elif part != ".":
+            parts.append(part)
+    if set("{}[]\\") & set(rest):
+        raise PermissionError(f"access denied: {path} does not name one place")
+    return scheme + mark + "/".join(parts)
+
+
 def _require_grant(spark: SparkSession, rules: NamespaceRules, username: str, path: str, operation: str) -> str:
-    one = spark.createDataFrame([(username, path, operation)], "username string, path string, operation string")
+    one = spark.createDataFrame([(username, _granted_path(path), operation)], "username string, path string, operation string")
     actual = paths.to_storage_path(F.col("path"))
     row = rules.check(one.withColumn("path", actual)).first()
     if not row["allowed"]:

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from warden import schemas
 from warden.operators.evaluate import Engine
-from warden.operators.replay import DECISION_KEY, replay_decisions
-from warden.sources.secured import Principal, require_read, require_write
+from warden.sources.secured import Principal, normalised, require_read, require_write, stream_sources
 
 
 def parse_events(messages: DataFrame, schema: str = schemas.STREAM_EVENT) -> DataFrame:
@@ -84,67 +83,37 @@ def start_stream(
 
 
 def start_secured(
-    writer: DataStreamWriter, engine: Engine, spark, source: str, sink: str,
-    source_format: str = "parquet", sink_format: str = "parquet", principal: Principal | None = None,
+    writer: DataStreamWriter, engine: Engine, sink: str, sink_format: str = "parquet", principal: Principal | None = None,
 ) -> StreamingQuery:
-    """Start only if the source may be read and the sink written."""
-    require_read(spark, engine, source, source_format, principal)
-    require_write(spark, engine, sink, sink_format, principal)
+    """Start only if every source of the stream may be read and the sink written.
+
+    The sources are those of the streaming plan itself, not what a caller names.
+    """
+    df = writer._df
+    for path, fmt in stream_sources(df):
+        require_read(df.sparkSession, engine, path, fmt, principal)
+    require_write(df.sparkSession, engine, normalised(df.sparkSession, sink), sink_format, principal)
     return writer.start()
 
 
 # --- state ----------------------------------------------------------------------
 
-_STATE = "subject string, resource string, action string, session_id string, at bigint, id bigint, effect string, reason string"
-
+def session_state(events: DataFrame, idle: str = "1 day") -> DataFrame:
+    """State per session and ``idle`` window from a create/remove stream (update or complete mode).
 
-def reuse_to(
-    spark: SparkSession, path: str, state: str, ttl_seconds: int, fmt: str = "parquet"
-) -> Callable[[DataFrame, int], None]:
-    """Sink that answers decided requests as a cache with a TTL would.
-
-    The batch replay does the work; what crosses micro-batches is one row per
-    key, its last write, kept below ``state`` until it has expired.  Micro-batches
-    must arrive in time order.  A retried batch reads the same earlier state.
+    ``open`` is false once a remove came last.  Only windows the watermark has
+    not passed are kept, so state ends; a session seen in several windows has a
+    row for each, and :func:`current_state` takes the last.
     """
-    ttl = ttl_seconds * 1_000_000
-    spark.createDataFrame([], _STATE).write.mode("ignore").parquet(f"{state}/batch_id=-1")
-
-    def reuse(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        session = batch.sparkSession
-        states = session.read.schema(_STATE + ", batch_id bigint").parquet(state).filter(F.col("batch_id") < batch_id)
-        before = states.agg(F.max("batch_id")).first()[0]
-        seeds = states.filter(F.col("batch_id") == (-1 if before is None else before)).select(
-            "subject", "resource", "action", "session_id",
-            F.timestamp_micros("at").alias("request_ts"), F.col("id").alias("request_id"),
-            "effect", "reason", F.lit(True).alias("cacheable"), F.lit(True).alias("seed"),
-        )
-        columns = [c for c in seeds.columns if c != "seed"]
-        rows = batch.select(*columns).withColumn("seed", F.lit(False)).unionByName(seeds)
-        served = replay_decisions(rows, ttl_seconds).persist()  # read twice below
-        served.filter("NOT seed").drop("seed").write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
-        written = served.filter("NOT hit AND cacheable").groupBy(*DECISION_KEY).agg(
-            F.unix_micros(F.max("request_ts")).alias("at"),
-            F.max_by(F.struct("request_id", "effect", "reason"), "request_ts").alias("e"),
-        )
-        until = batch.agg(F.unix_micros(F.max("request_ts"))).first()[0]
-        written.filter(F.col("at") + ttl > until).select(
-            *DECISION_KEY, "at", F.col("e.request_id").alias("id"), "e.effect", "e.reason"
-        ).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
-        served.unpersist()
-
-    return reuse
-
+    last = F.max_by(F.struct("op", "user_id", "event_ts", "seq"), F.struct("event_ts", "seq"))
+    kept = events.withWatermark("event_ts", idle) if events.isStreaming else events
+    return kept.groupBy("session_id", F.window("event_ts", idle).alias("w")).agg(last.alias("s")).select(
+        "session_id", F.col("w.start").alias("window_start"), F.col("s.user_id").alias("user_id"),
+        F.col("s.event_ts").alias("changed_at"), F.col("s.seq").alias("seq"), (F.col("s.op") == "create").alias("open"),
+    )
 
-def session_state(events: DataFrame) -> DataFrame:
-    """Current state per session from a create/remove stream (update or complete mode).
 
-    ``open`` is false once a remove came last.
-    """
-    last = F.max_by(F.struct("op", "user_id", "event_ts"), F.struct("event_ts", "seq"))
-    return events.groupBy("session_id").agg(last.alias("s")).select(
-        "session_id", F.col("s.user_id").alias("user_id"), F.col("s.event_ts").alias("changed_at"),
-        (F.col("s.op") == "create").alias("open"),
-    )
+def current_state(states: DataFrame) -> DataFrame:
+    """The last state of each session among its windows."""
+    last = F.max_by(F.struct("user_id", "changed_at", "open"), F.struct("changed_at", "seq"))
+    return states.groupBy("session_id").agg(last.alias("s")).select("session_id", "s.*")
