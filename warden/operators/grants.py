@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warden.functions import paths
-from warden.functions.principals import principal_account, principal_namespace
 from warden.operators.namespaces import NamespaceRules
 from warden.operators.sequences import micros, running_max
 
@@ -116,11 +115,10 @@ def plan_moves(moves: DataFrame, inventory: DataFrame, rules: NamespaceRules) ->
     A move reads and deletes the source and writes the target.  It is refused
     if the source does not exist, the target does, or a grant is missing.
     """
-    user = F.col("username")
-    namespace, account = principal_namespace(user), principal_account(user)
 
-    def may(operation: str, column: str) -> Column:
-        return rules.decide(namespace, account, F.lit(operation), paths.to_storage_path(F.col(column)))[0]
+    def with_verdict(df: DataFrame, operation: str, column: str, name: str) -> DataFrame:
+        asked = df.withColumns({"path": paths.to_storage_path(F.col(column)), "operation": F.lit(operation)})
+        return rules.check(asked).withColumnRenamed("allowed", name).drop("path", "operation", "reason")
 
     known = inventory.select(F.col("path").alias("__path")).distinct()
     found = (
@@ -129,10 +127,9 @@ def plan_moves(moves: DataFrame, inventory: DataFrame, rules: NamespaceRules) ->
         .join(known.withColumn("dst_exists", F.lit(True)), F.col("dst") == F.col("__path"), "left")
         .drop("__path")
         .withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("src_exists", "dst_exists")})
-        .withColumns(
-            {"may_read": may("read", "src"), "may_write": may("write", "dst"), "may_delete": may("delete", "src")}
-        )
     )
+    for operation, column, name in (("read", "src", "may_read"), ("write", "dst", "may_write"), ("delete", "src", "may_delete")):
+        found = with_verdict(found, operation, column, name)
     outcome = (
         F.when(~F.col("src_exists"), F.lit("source does not exist"))
         .when(F.col("dst_exists"), F.lit("target exists"))

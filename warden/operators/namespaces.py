@@ -3,8 +3,8 @@
 Rules are a table ``(rule_set, rule_id, operation, match, prefix,
 service_accounts)``.  ``match`` is ``namespace`` (path and principal share the
 namespace), ``prefix`` or ``any``.  A request is allowed as soon as one rule
-of one rule set allows it.  Rule sets are configuration; they become column
-expressions, so requests are decided where they are read.
+of one rule set allows it.  Rules stay a table: distinct requests are joined
+with them on folder, namespace and account.
 
 Kept on purpose: with no rule sets at all everything is allowed, and a
 principal without a namespace matches paths without one.
@@ -16,11 +16,12 @@ import warnings
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warden.functions.paths import path_namespace
 from warden.functions.principals import principal_account, principal_namespace
+from warden.operators.policyset import UNROUTED, folder_of, folders_above
 
 RULES = (
     "rule_set string, rule_id string, operation string, match string, prefix string, service_accounts array<string>"
@@ -68,51 +69,91 @@ def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def write_rules(rules: DataFrame, path: str) -> None:
+    """One JSON file for each rule set, named after it; an existing file is replaced.
+
+    Rules are configuration; the sets go through the driver one at a time.
+    """
+    spark = rules.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    columns = [c for c in rules.columns if c != "rule_set"]
+    sets = rules.groupBy("rule_set").agg(F.to_json(F.collect_list(F.struct(*columns))).alias("text"))
+    for row in sets.toLocalIterator():
+        file = hadoop.Path(path, f"{row['rule_set']}.json")
+        out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file, True)
+        try:
+            out.write(bytearray(row["text"].encode()))
+        finally:
+            out.close()
+
+
 def list_rule_sets(rules: DataFrame) -> DataFrame:
     return rules.select("rule_set").distinct()
 
 
+_PREFIX, _NAMESPACE, _ANY = "prefix ", "namespace", "any"
+
+
 @dataclass
 class NamespaceRules:
-    """Rules ready to be applied to request columns."""
+    """Rules as a table that requests are joined with, however many there are."""
 
-    rows: list
+    table: DataFrame
+    empty: bool
     allow_when_empty: bool = True
 
     @classmethod
     def load(cls, rules: DataFrame, allow_when_empty: bool = True) -> NamespaceRules:
-        rows = rules.orderBy("rule_set", "rule_id").collect()
-        if not rows and allow_when_empty:
+        empty = rules.isEmpty()
+        if empty and allow_when_empty:
             warnings.warn("no namespace rules: every access is allowed", stacklevel=2)
-        return cls(rows, allow_when_empty)
-
-    def _rule(self, rule, namespace: Column, account: Column, operation: Column, path: Column) -> Column:
-        holds = operation == rule["operation"]
-        if rule["match"] == "namespace":
-            holds = holds & F.coalesce(namespace == path_namespace(path), F.lit(False))
-        elif rule["match"] == "prefix":
-            holds = holds & F.startswith(path, F.lit(rule["prefix"]))
-        if rule["service_accounts"] is not None:
-            holds = holds & account.isin(list(rule["service_accounts"]))
-        return F.coalesce(holds, F.lit(False))
-
-    def decide(self, namespace: Column, account: Column, operation: Column, path: Column) -> tuple[Column, Column]:
-        """``(allowed, reason)``; the first rule set by name gives the reason."""
-        if not self.rows:
-            return F.lit(self.allow_when_empty), F.lit(OPEN if self.allow_when_empty else DENIED)
-        sets: dict[str, list[Column]] = {}
-        for rule in self.rows:
-            sets.setdefault(rule["rule_set"], []).append(self._rule(rule, namespace, account, operation, path))
-        allows = {name: reduce(lambda a, b: a | b, rules) for name, rules in sets.items()}
-        reason = F.lit(DENIED)
-        for name in reversed(list(allows)):
-            reason = F.when(allows[name], F.lit(ALLOWED + name)).otherwise(reason)
-        return reduce(lambda a, b: a | b, allows.values()), reason
+        return cls(rules, empty, allow_when_empty)
+
+    def _routed(self) -> DataFrame:
+        """The first rule set by name for each route, account, operation and prefix that a rule allows.
+
+        A prefix is met in the last folder it names, any account as ``*``.
+        """
+        by_prefix = F.col("match") == "prefix"
+        accounts = F.transform("service_accounts", lambda a: F.concat(F.lit("="), a))
+        route = (
+            F.when(by_prefix, F.concat(F.lit(_PREFIX), folder_of(F.col("prefix"))))
+            .when(F.col("match") == "namespace", F.lit(_NAMESPACE))
+            .otherwise(F.lit(_ANY))
+        )
+        return (
+            self.table.select(
+                route.alias("__route"), F.explode(F.coalesce(accounts, F.array(F.lit("*")))).alias("__who"),
+                F.col("operation").alias("__operation"), F.when(by_prefix, F.col("prefix")).alias("__prefix"), "rule_set",
+            )
+            .groupBy("__route", "__who", "__operation", "__prefix")
+            .agg(F.min("rule_set").alias("rule_set"))
+        )
 
     def check(self, requests: DataFrame) -> DataFrame:
-        """``(username, path, operation, ...)`` with ``allowed, reason`` added."""
-        user = F.col("username")
-        allowed, reason = self.decide(
-            principal_namespace(user), principal_account(user), F.col("operation"), F.col("path")
+        """``(username, path, operation, ...)`` with ``allowed, reason`` added.
+
+        Distinct requests meet the rules on their folders, namespace and
+        account; the first allowing rule set by name gives the reason.
+        """
+        if self.empty:
+            allowed = F.lit(self.allow_when_empty)
+            return requests.withColumns({"allowed": allowed, "reason": F.lit(OPEN if self.allow_when_empty else DENIED)})
+        user, path = F.col("__username"), F.col("__path")
+        names = ("username", "path", "operation")
+        keys = requests.select(*[F.col(c).alias(f"__{c}") for c in names]).distinct()
+        own = principal_namespace(user) == path_namespace(path)
+        routes = F.concat(
+            F.array(F.lit(_ANY), F.lit(_PREFIX + UNROUTED)),
+            F.when(own, F.array(F.lit(_NAMESPACE))).otherwise(F.array().cast("array<string>")),
+            F.transform(folders_above(path), lambda f: F.concat(F.lit(_PREFIX), f)),
         )
-        return requests.withColumns({"allowed": allowed, "reason": reason})
+        who = F.array(F.lit("*"), F.concat(F.lit("="), principal_account(user)))
+        met = keys.withColumn("__route", F.explode(routes)).withColumn("__who", F.explode(who))
+        met = met.join(self._routed(), ["__route", "__who", "__operation"])
+        met = met.filter(F.startswith(path, F.coalesce("__prefix", F.lit(""))))
+        found = met.groupBy(*[f"__{c}" for c in names]).agg(F.min("rule_set").alias("__set"))
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]
+        joined = requests.join(found, reduce(lambda a, b: a & b, same), "left")
+        reason = F.coalesce(F.concat(F.lit(ALLOWED), F.col("__set")), F.lit(DENIED))
+        return joined.select(*requests.columns, F.col("__set").isNotNull().alias("allowed"), reason.alias("reason"))

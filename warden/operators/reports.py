@@ -126,11 +126,8 @@ def group_summary(df: DataFrame, group: str, value: str, count_name: str, mean_n
     return df.groupBy(group).agg(F.count("*").alias(count_name), F.avg(value).alias(mean_name))
 
 
-def access_matrix(decided: DataFrame, users: list[str] | None = None) -> DataFrame:
-    """Resources x users: whether each user's session was permitted.
-
-    Names of users are pivot columns; give them to save a pass over the data.
-    """
-    grouped = decided.groupBy("resource", "action")
-    pivoted = grouped.pivot("subject", users) if users else grouped.pivot("subject")
-    return pivoted.agg(F.max(F.col("effect") == schemas.PERMIT))
+def access_matrix(decided: DataFrame) -> DataFrame:
+    """A row for each user, resource and action that was asked for: whether it was permitted."""
+    return decided.groupBy("subject", "resource", "action").agg(
+        F.max(F.col("effect") == schemas.PERMIT).alias("permitted")
+    )

@@ -593,28 +593,49 @@ def namespace_no_rules(spark, sf):
     "namespace_rules_per_nation",
     f"""WITH folder_requests AS ({fx.FOLDER_REQUESTS}), rules AS (
         SELECT 's3://lake/n' || CAST(n_nationkey AS VARCHAR) || '/' AS prefix, 'set' || CAST(n_regionkey AS VARCHAR) AS rule_set
-        FROM nation WHERE n_nationkey % 2 = 0)
+        FROM nation)
       SELECT request_id, rule_set IS NOT NULL AS allowed,
         coalesce('Allowed by policy: ' || rule_set, 'Access denied by all policies') AS reason
       FROM folder_requests LEFT JOIN rules ON action = 'read' AND starts_with(resource, prefix)""",
 )
 def namespace_rules_per_nation(spark, sf):
-    """Rule sets read from a table, one per region; lists the sets through their reasons."""
-    nation = fx.table(spark, sf, "nation").filter("n_nationkey % 2 = 0")
-    rules = nation.selectExpr(
+    """Rule sets, one per region with a rule per nation, read from their files."""
+    rules, _ = ns.read_rules(spark, _rule_files(spark, sf))
+    requests = fx.folder_requests(spark, sf).selectExpr("request_id", "subject AS username", "resource AS path", "action AS operation")
+    return ns.NamespaceRules.load(rules).check(requests).select("request_id", "allowed", "reason")
+
+
+def _rule_files(spark, sf) -> str:
+    rules = fx.table(spark, sf, "nation").selectExpr(
         "concat('set', n_regionkey) AS rule_set", "n_name AS rule_id", "'read' AS operation", "'prefix' AS match",
         "concat('s3://lake/n', n_nationkey, '/') AS prefix", "CAST(NULL AS array<string>) AS service_accounts",
     )
-    requests = fx.folder_requests(spark, sf).selectExpr("request_id", "subject AS username", "resource AS path", "action AS operation")
-    return ns.NamespaceRules.load(rules).check(requests).select("request_id", "allowed", "reason")
+    path = f"{shared_folder(spark)}/rules/{uuid.uuid4().hex}"
+    ns.write_rules(rules, path)
+    return path
 
 
 @register(
     "rule_sets",
-    "SELECT DISTINCT 'set' || CAST(n_regionkey AS VARCHAR) AS rule_set FROM nation",
+    """SELECT 'set' || CAST(n_regionkey AS VARCHAR) AS rule_set, count(*) AS rules, 0 AS errors FROM nation
+       WHERE n_regionkey <> 0 GROUP BY ALL
+       UNION ALL SELECT 'set0', count(*) FILTER (n_nationkey % 2 = 0), 0 FROM nation WHERE n_regionkey = 0
+       UNION ALL SELECT 'bad', 0, count(*) FROM nation WHERE n_regionkey = 1""",
 )
 def rule_sets(spark, sf):
-    return ns.list_rule_sets(fx.table(spark, sf, "nation").selectExpr("concat('set', n_regionkey) AS rule_set"))
+    """Rule sets listed from their files after one has changed and one with bad rules has come."""
+    path = _rule_files(spark, sf)
+    rules, _ = ns.read_rules(spark, path)
+    nations = fx.table(spark, sf, "nation")
+    fewer = rules.join(nations.filter("n_nationkey % 2 = 0"), F.col("rule_id") == F.col("n_name"), "left_semi").filter("rule_set = 'set0'")
+    bad = rules.filter("rule_set = 'set1'").withColumns({"rule_set": F.lit("bad"), "match": F.lit("sometimes")})
+    changed = fewer.unionByName(bad)
+    ns.write_rules(spark.createDataFrame(changed.collect(), changed.schema), path)  # what is read is replaced
+    rules, errors = ns.read_rules(spark, path)
+    listed = rules.select("rule_set", F.lit(1).alias("r"), F.lit(0).alias("e")).unionByName(
+        errors.select("rule_set", F.lit(0).alias("r"), F.lit(1).alias("e"))
+    )
+    return listed.groupBy("rule_set").agg(F.sum("r").alias("rules"), F.sum("e").alias("errors"))
 
 
 _STATUS = """CASE WHEN NOT allowed THEN 'access denied: Access denied by all policies' END"""
@@ -713,10 +734,8 @@ def grant_at_access(spark, sf):
         CASE WHEN request_id % 3 = 0 THEN path ELSE 's3://bucket/teama/moved/' || CAST(request_id % 50 AS VARCHAR) END AS dst
         FROM parts), stock AS (SELECT DISTINCT path FROM ns WHERE starts_with(path, 's3://bucket/')),
       checked AS (SELECT m.*, src IN (SELECT path FROM stock) AS src_exists, dst IN (SELECT path FROM stock) AS dst_exists,
-        (coalesce(ns = CASE WHEN starts_with(src, 's3://') THEN nullif(split_part(substr(src, 6), '/', 2), '') ELSE
-           CASE WHEN contains(src, 'abfs://') THEN split_part(src, '/', 4) ELSE '' END END, FALSE)
-          OR starts_with(src, 's3://shared-bucket/') OR starts_with(src, 's3://public-datasets/'))
-        AND account IN ('spark-driver', 'spark-executor') AND account = 'spark-admin' AS ok FROM moves m)
+        account IN ('spark-driver', 'spark-executor') AND ns = split_part(substr(src, 6), '/', 2)
+          AND ns = split_part(substr(dst, 6), '/', 2) AS ok FROM moves m)
       SELECT CASE WHEN NOT src_exists THEN 'source does not exist' WHEN dst_exists THEN 'target exists'
         WHEN NOT ok THEN 'access denied' ELSE 'move' END AS outcome, count(*) AS moves FROM checked GROUP BY ALL""",
 )
@@ -727,7 +746,9 @@ def move_plan(spark, sf):
         "CASE WHEN request_id % 3 = 0 THEN path ELSE concat('s3://bucket/teama/moved/', request_id % 50) END AS dst",
     )
     inventory = requests.filter(F.startswith("path", F.lit("s3://bucket/"))).select("path")
-    planned = gr.plan_moves(moves, inventory, _rules(spark))
+    movers = spark.createDataFrame(
+        [("movers", "own-delete", "delete", "namespace", None, ["spark-driver", "spark-executor"])], ns.RULES)
+    planned = gr.plan_moves(moves, inventory, ns.NamespaceRules.load(ns.standard_rules(spark).unionByName(movers)))
     return planned.groupBy("outcome").agg(F.count("*").alias("moves"))
 
 
@@ -835,15 +856,11 @@ def access_profile(spark, sf):
 
 @register(
     "access_matrix",
-    f"""WITH {orc.decided()}, users AS (SELECT * FROM decided WHERE subject IN ('hr_u5@company.com', 'finance_u1@company.com', 'svc_u4@company.com'))
-      SELECT resource, action, bool_or(effect = 'PERMIT') FILTER (subject = 'hr_u5@company.com') AS "hr_u5@company.com",
-        bool_or(effect = 'PERMIT') FILTER (subject = 'finance_u1@company.com') AS "finance_u1@company.com",
-        bool_or(effect = 'PERMIT') FILTER (subject = 'svc_u4@company.com') AS "svc_u4@company.com"
-      FROM users GROUP BY ALL""",
+    f"""WITH {orc.decided()} SELECT subject, resource, action, bool_or(effect = 'PERMIT') AS permitted FROM decided
+      GROUP BY subject, resource, action""",
 )
 def access_matrix(spark, sf):
-    users = ["hr_u5@company.com", "finance_u1@company.com", "svc_u4@company.com"]
-    return re_.access_matrix(decided(spark, sf).filter(F.col("subject").isin(users)), users)
+    return re_.access_matrix(decided(spark, sf))
 
 
 @register("audit_lines")
