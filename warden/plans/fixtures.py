@@ -237,6 +237,17 @@ SELECT CAST(s_suppkey AS INT) AS policy_ord,
 FROM supplier
 """
 
+# One JSON policy per customer, met by its subject alone: no resource, no folder.
+SUBJECT_POLICIES = """
+SELECT CAST(c_custkey AS INT) AS policy_ord,
+  '{{"id":"cu-' || CAST(c_custkey AS VARCHAR(20)) || '","name":"Customer ' || CAST(c_custkey AS VARCHAR(20))
+  || '","enabled":true,"defaultEffect":"' || CASE WHEN c_acctbal > 0 THEN 'PERMIT' ELSE 'DENY' END
+  || '","target":{{"subjects":["' || CASE c_custkey % 5 WHEN 0 THEN 'hr_u' WHEN 1 THEN 'finance_u' WHEN 2 THEN 'manager_u'
+                                     WHEN 3 THEN 'analyst_u' ELSE 'svc_u' END
+  || CAST(c_custkey AS VARCHAR(20)) || '@company.com"],"actions":["read","query"]}},"rules":[]}}' AS value
+FROM customer
+"""
+
 # Requests against those folders: one per customer order.
 FOLDER_REQUESTS = """
 SELECT o_orderkey AS request_id,
@@ -258,6 +269,11 @@ def supplier_policies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
     return parse_policy_rows(supplier_documents(spark, sf), "value", "policy_ord")
 
 
+def subject_policies(spark: SparkSession, sf: str) -> DataFrame:
+    documents = spark.sql(SUBJECT_POLICIES.replace("FROM customer", "FROM {source}"), source=table(spark, sf, "customer"))
+    return parse_policy_rows(documents, "value", "policy_ord")[0]
+
+
 def folder_requests(spark: SparkSession, sf: str) -> DataFrame:
     df = select(spark, sf, FOLDER_REQUESTS, "orders")
     return df.withColumn("request_ts", F.col("request_ts").cast("timestamp"))

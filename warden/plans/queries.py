@@ -107,6 +107,22 @@ def decisions_policy_per_supplier(spark, sf):
     return found.select("request_id", "effect", "reason")
 
 
+@register(
+    "decisions_policy_per_subject",
+    f"""WITH {orc.ATTRS}, owners AS (SELECT c_custkey, c_acctbal, CASE c_custkey % 5 WHEN 0 THEN 'hr_u' WHEN 1 THEN 'finance_u'
+        WHEN 2 THEN 'manager_u' WHEN 3 THEN 'analyst_u' ELSE 'svc_u' END || c_custkey || '@company.com' AS owner FROM customer)
+      SELECT request_id, CASE WHEN bad THEN 'DENY' WHEN owner IS NULL THEN 'NOT_APPLICABLE' WHEN c_acctbal > 0 THEN 'PERMIT' ELSE 'DENY' END AS effect,
+        CASE WHEN bad THEN 'error' WHEN owner IS NULL THEN 'No applicable policies' ELSE
+          CASE WHEN c_acctbal > 0 THEN 'Access granted by policy: Customer ' ELSE 'Access denied by policy: Customer ' END || c_custkey END AS reason
+      FROM attrs LEFT JOIN owners ON subject = owner AND action IN ('read', 'query')""",
+)
+def decisions_policy_per_subject(spark, sf):
+    """A policy for each customer, told apart by subject alone: no folder to route by."""
+    found = Engine.over(fx.subject_policies(spark, sf)).evaluate(fx.requests(spark, sf))
+    error = F.startswith("reason", F.lit("Evaluation error"))
+    return found.select("request_id", "effect", F.when(error, F.lit("error")).otherwise(F.col("reason")).alias("reason"))
+
+
 _BROKEN = {
     "id": "broken", "name": "broken", "enabled": True, "priority": 50, "target": {"actions": ["read"]},
     "rules": [fx._rule("r", "r", "DENY", [], {"resources": ["s3://public-datasets/*", "s3://data-lake/[*"]})],
@@ -295,6 +311,26 @@ def decisions_as_of_compiled(spark, sf):
     return Engine.over(_versioned(spark)).evaluate(fx.requests(spark, sf), "compiled").select("request_id", "effect")
 
 
+_NO_TIME = f"""WITH {_AS_OF} SELECT request_id, CASE WHEN bad THEN 'DENY' WHEN request_id % 9 = 0 THEN 'NOT_APPLICABLE'
+      WHEN a3 AND p3 THEN 'PERMIT' WHEN a3 AND d3 THEN 'DENY' ELSE 'NOT_APPLICABLE' END AS effect FROM judged"""
+
+
+def _without_times(spark, sf) -> DataFrame:
+    requests = fx.requests(spark, sf)
+    return requests.withColumn("request_ts", F.when(F.col("request_id") % 9 != 0, F.col("request_ts")))
+
+
+@register("decisions_as_of_no_time", _NO_TIME)
+def decisions_as_of_no_time(spark, sf):
+    """No version is in force for a request without a time."""
+    return Engine.over(_versioned(spark)).evaluate(_without_times(spark, sf), "joined").select("request_id", "effect")
+
+
+@register("decisions_as_of_no_time_compiled", _NO_TIME)
+def decisions_as_of_no_time_compiled(spark, sf):
+    return Engine.over(_versioned(spark)).evaluate(_without_times(spark, sf), "compiled").select("request_id", "effect")
+
+
 @register(
     "what_if",
     f"""WITH {orc.decided()}, one AS (SELECT request_id, CASE WHEN bad THEN 'DENY' WHEN a1 AND p1 THEN 'PERMIT'
@@ -883,17 +919,38 @@ def audit_records(spark, sf):
 
 # --- secured access ---------------------------------------------------------------------------------
 
+@register(
+    "policy_upsert_versions",
+    """WITH v AS (SELECT n_nationkey, version FROM nation, (VALUES ('1.0'), ('2.0'), ('3.0')) AS t(version)
+        UNION ALL SELECT n_nationkey, '4.0' FROM nation WHERE n_nationkey % 3 = 0)
+      SELECT 'n-' || n_nationkey AS policy_id, version, CAST(n_nationkey AS INTEGER) AS policy_ord,
+        CASE WHEN version = '2.0' AND n_nationkey % 2 = 0 THEN 'changed' WHEN version = '4.0' THEN 'new' ELSE 'first' END AS name FROM v""",
+)
+def policy_upsert_versions(spark, sf):
+    """A store with three versions of each policy: one version replaced, one added, the others kept."""
+    base = fx.policies(spark, fx.POLICY_3_VERSIONS[:1]).drop("policy_id", "policy_ord", "version", "name")
+    nations = fx.table(spark, sf, "nation").selectExpr("concat('n-', n_nationkey) AS policy_id", "CAST(n_nationkey AS INT) AS policy_ord")
+    order = fx.policies(spark, []).columns
+
+    def rows(keep: str, versions: list[str], name: str) -> DataFrame:
+        some = nations.filter(keep).withColumn("version", F.explode(F.array(*map(F.lit, versions)))).withColumn("name", F.lit(name))
+        return some.join(F.broadcast(base), F.lit(True)).select(*order)  # base is one row
+
+    store = ps.PolicyStore(rows("true", ["1.0", "2.0", "3.0"], "first"), writable=True)
+    changes = rows("policy_ord % 2 = 0", ["2.0"], "changed").unionByName(rows("policy_ord % 3 = 0", ["4.0"], "new"))
+    return store.upsert(changes).all().select("policy_id", "version", "policy_ord", "name")
+
+
 @register(
     "access_checks",
     f"""WITH {orc.decided()} SELECT request_id, effect, CASE WHEN effect <> 'PERMIT' THEN
         CASE WHEN action = 'write' THEN 'Write access denied' ELSE 'Access denied' END || ' to resource ''' || resource
         || ''' for user ''' || subject || ''' in session ''' || session_id || '''. Reason: ' || reason END AS message
-      FROM decided WHERE action IN ('read', 'write')""",
+      FROM decided""",
 )
 def access_checks(spark, sf):
-    """Read and write checks of an access log, with the error text each would raise."""
-    log = fx.requests(spark, sf).filter("action IN ('read', 'write')")
-    accesses = log.select(
+    """Checks of a whole access log, with the error text each would raise."""
+    accesses = fx.requests(spark, sf).select(
         "request_id", F.col("subject").alias("user_id"), "session_id", F.col("resource").alias("path"), "action",
         pt.data_format(F.col("resource")).alias("format"), F.col("request_ts").alias("access_ts"),
         F.col("environment")["spark.app.name"]["text"].alias("app_name"),
