@@ -10,6 +10,7 @@ from warden.functions import attributes as at
 from warden.operators.evaluate import Engine
 from warden.operators.policyset import PolicySet
 from warden.plans import fixtures as fx
+from warden.sources.policies import parse_policies
 
 BASE = "s3://data-lake/departments/"
 SCENARIO_3 = {
@@ -217,15 +218,11 @@ def test_custom_operator_and_directory(spark):
     policy = {"id": "p", "name": "p", "enabled": True, "rules": [
         {"id": "r", "name": "r", "enabled": True, "effect": "PERMIT", "conditions": [
             {"attributeName": "user.department", "operator": "EQUALS", "expectedValue": "Legal"},
-            {"attributeName": "resource", "operator": "STARTS_WITH", "expectedValue": "s3"}]}]}
+            {"attributeName": "resource", "operator": "LONGER_THAN", "expectedValue": 4}]}]}
     directory = spark.createDataFrame([("ann", "Legal", None, 7)], "username string, department string, role string, clearance int")
-    policies = fx.policies(spark, [policy])
-    widened = policies.withColumn("rules", F.transform("rules", lambda r: r.withField("conditions", F.transform(
-        r["conditions"], lambda c: F.when(c["operator"] == "STARTS_WITH", c.withField("operator", F.lit("LONGER_THAN"))
-                                          .withField("expected", F.struct(F.lit("int").alias("kind"), F.lit("4").alias("text"),
-                                                     F.lit(None).cast("array<struct<kind:string,text:string>>").alias("items"))))
-        .otherwise(c)))))
-    engine = Engine.over(widened, at.directory_resolver(directory), operators)
+    policies, errors = parse_policies(fx.policy_documents(spark, [policy]), operators=operators)
+    assert errors.isEmpty() and fx.policies(spark, [policy]).isEmpty()  # unknown without being named
+    engine = Engine.over(policies, at.directory_resolver(directory), operators)
     df = frame(spark, [request("ann@x", "s3://a", "read"), request("ann@x", "s3:", "read"), request("bob@x", "s3://a", "read")])
     for plan in ("compiled", "joined"):
         assert [e for e, _ in answers(engine, df, plan)] == ["PERMIT", "DENY", "DENY"]

@@ -203,14 +203,17 @@ def directory_resolver(directory: DataFrame, key: str = "username") -> Resolver:
     """Take department, role and clearance from a user directory table.
 
     ``directory(username, department, role, clearance)``; the join is left to
-    the optimiser, which broadcasts the directory only if it is small.
+    the optimiser, which broadcasts the directory only if it is small.  Of
+    several rows of a user that with the lowest clearance counts, then the
+    first department and role by name.
     """
-    users = directory.select(
-        F.col(key).alias("__user"),
-        F.col("department").alias("user_department"),
-        F.col("role").alias("user_role"),
-        F.col("clearance").cast("int").alias("user_clearanceLevel"),
-    ).dropDuplicates(["__user"])
+    row = F.struct(F.col("clearance").cast("int").alias("clearance"), "department", "role")
+    users = directory.groupBy(F.col(key).alias("__user")).agg(F.min(row).alias("r")).select(
+        "__user",
+        F.col("r.department").alias("user_department"),
+        F.col("r.role").alias("user_role"),
+        F.col("r.clearance").alias("user_clearanceLevel"),
+    )
 
     def apply(df: DataFrame) -> DataFrame:
         df = with_resource_attributes(with_time_attributes(df))
@@ -222,6 +225,26 @@ def directory_resolver(directory: DataFrame, key: str = "username") -> Resolver:
     return Resolver(apply, attributes)
 
 
+def session_resolver(sessions: DataFrame) -> Resolver:
+    """Let the attributes of a request's open session stand before those its subject implies.
+
+    ``sessions(session_id, user_attributes map<string,string>)``, one row a
+    session; ``department``, ``role`` and ``clearanceLevel`` are looked up.
+    """
+    held = sessions.select(F.col("session_id").alias("__session"), F.col("user_attributes").alias("__held"))
+
+    def apply(df: DataFrame) -> DataFrame:
+        df = resolve_attributes(df).join(held, F.col("session_id") == F.col("__session"), "left")
+        given = lambda name: F.element_at("__held", F.lit(name))
+        return df.withColumns({
+            "user_department": F.coalesce(given("department"), "user_department"),
+            "user_role": F.coalesce(given("role"), "user_role"),
+            "user_clearanceLevel": F.coalesce(given("clearanceLevel").try_cast("int"), "user_clearanceLevel"),
+        }).drop("__session", "__held")
+
+    return Resolver(apply)
+
+
 # --- reading attributes ------------------------------------------------------
 
 def attr(value: Column, kind: str) -> Column:

@@ -808,6 +808,59 @@ def session_users(spark, sf):
     return se.identified(fx.requests(spark, sf), sessions).select("request_id", "user_id", "session_id")
 
 
+_BADGES = """SELECT *, map('department', CASE WHEN seq % 2 = 0 THEN 'Finance' ELSE 'Legal' END) AS user_attributes
+  FROM {source}"""
+
+
+@register(
+    "session_attribute_decisions",
+    f"""WITH {orc.ATTRS}, session_events AS ({fx.SESSION_EVENTS}), held AS (
+        SELECT session_id, CASE WHEN seq % 2 = 0 THEN 'Finance' ELSE 'Legal' END AS badge FROM (
+          SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_ts DESC, seq DESC) AS rn FROM session_events)
+        WHERE rn = 1 AND op = 'create')
+      SELECT request_id, CASE WHEN bad THEN 'DENY' WHEN coalesce(badge, dept) = 'Finance' THEN 'PERMIT' ELSE 'NOT_APPLICABLE' END AS effect
+      FROM attrs LEFT JOIN held USING (session_id)""",
+)
+def session_attribute_decisions(spark, sf):
+    """The department that a request's session carries decides, that of the subject without one."""
+    events = spark.sql(_BADGES, source=fx.session_events(spark, sf))
+    policy = {"id": "f", "name": "f", "enabled": True, "defaultEffect": "NOT_APPLICABLE", "rules": [
+        fx._rule("r", "r", "PERMIT", [{"attributeName": "user.department", "operator": "EQUALS", "expectedValue": "Finance"}])]}
+    resolver = at.session_resolver(se.current_sessions(events))
+    return Engine.over(fx.policies(spark, [policy]), resolver).evaluate(fx.requests(spark, sf)).select("request_id", "effect")
+
+
+@register(
+    "directory_decisions",
+    f"""WITH {orc.ATTRS}, users AS (SELECT 'hr_u' || c_custkey AS username, c_mktsegment AS segment FROM customer)
+      SELECT request_id, CASE WHEN bad THEN 'DENY' WHEN segment = 'BUILDING' THEN 'PERMIT' ELSE 'NOT_APPLICABLE' END AS effect
+      FROM attrs LEFT JOIN users USING (username)""",
+)
+def directory_decisions(spark, sf):
+    """Departments from a directory table, here one row for each customer, twice."""
+    users = fx.table(spark, sf, "customer").selectExpr(
+        "concat('hr_u', c_custkey) AS username", "c_mktsegment AS department", "CAST(NULL AS string) AS role", "1 AS clearance")
+    more = users.withColumns({"department": F.lit("BUILDING"), "clearance": F.lit(5)})  # the lower clearance counts
+    policy = {"id": "d", "name": "d", "enabled": True, "defaultEffect": "NOT_APPLICABLE", "rules": [
+        fx._rule("r", "r", "PERMIT", [{"attributeName": "user.department", "operator": "EQUALS", "expectedValue": "BUILDING"}])]}
+    resolver = at.directory_resolver(users.unionByName(more))
+    return Engine.over(fx.policies(spark, [policy]), resolver).evaluate(fx.requests(spark, sf)).select("request_id", "effect")
+
+
+@register(
+    "custom_operator_decisions",
+    f"""WITH {orc.ATTRS} SELECT request_id, CASE WHEN bad THEN 'DENY' WHEN length(username) > 7 THEN 'PERMIT' ELSE 'NOT_APPLICABLE' END AS effect
+      FROM attrs""",
+)
+def custom_operator_decisions(spark, sf):
+    """A condition operator of one's own, named by a policy document."""
+    longer = {**co.OPERATORS, "LONGER_THAN": lambda actual, expected: F.length(actual.text) > expected.num}
+    policy = {"id": "l", "name": "l", "enabled": True, "defaultEffect": "NOT_APPLICABLE", "rules": [
+        fx._rule("r", "r", "PERMIT", [{"attributeName": "user.username", "operator": "LONGER_THAN", "expectedValue": 7}])]}
+    policies, _ = ps.parse_policies(fx.policy_documents(spark, [policy]), operators=longer)
+    return Engine.over(policies, operators=longer).evaluate(fx.requests(spark, sf)).select("request_id", "effect")
+
+
 # --- reports ------------------------------------------------------------------------------------
 
 @register("permitted_requests", f"WITH {orc.decided()} SELECT request_id, subject, resource FROM decided WHERE effect = 'PERMIT'")

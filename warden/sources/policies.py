@@ -7,6 +7,8 @@ order of the rule and condition arrays.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +18,32 @@ from warden.functions import conditions, patterns
 
 # --- reading -----------------------------------------------------------------
 
-def read_policies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_policies(
+    spark: SparkSession, path: str, operators: Iterable[str] = schemas.CONDITION_OPERATORS
+) -> tuple[DataFrame, DataFrame]:
     """``(policies, errors)`` from JSON files, each one policy or an array.
 
     Files follow each other by name; read again per batch to pick up changes.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("src"), "value")
-    return parse_policies(files, "value", "src")
+    return parse_policies(files, "value", "src", operators)
 
 
-def parse_policies(documents: DataFrame, text: str = "value", order: str | None = None) -> tuple[DataFrame, DataFrame]:
+def parse_policies(
+    documents: DataFrame, text: str = "value", order: str | None = None, operators: Iterable[str] = schemas.CONDITION_OPERATORS
+) -> tuple[DataFrame, DataFrame]:
     """``(policies, errors)`` from a column of JSON documents.
 
     A document that fails the checks is reported and dropped; the others load.
     ``order`` sorts the documents (ties and absence: one document expected).
     """
-    parsed = _parse(documents, text, order)
+    parsed = _parse(documents, text, order, operators)
     good = parsed.filter((F.size("errors") == 0) & F.col("doc").isNotNull())
     bad = parsed.filter(F.size("errors") > 0)
     return normalise(good), bad.select("policy_ord", F.col("doc.id").alias("policy_id"), "errors")
 
 
-def _parse(documents: DataFrame, text: str, order: str | None) -> DataFrame:
+def _parse(documents: DataFrame, text: str, order: str | None, operators: Iterable[str]) -> DataFrame:
     """One row per policy with its list position, typed document and problems."""
     value = F.col(text)
     listed = F.when(value.rlike(r"\A\s*\{"), F.concat(F.lit("["), value, F.lit("]"))).otherwise(value)
@@ -50,7 +56,7 @@ def _parse(documents: DataFrame, text: str, order: str | None) -> DataFrame:
     rows = docs.select("src", F.posexplode_outer(zipped).alias("pos", "entry")).select(
         "src", F.coalesce("pos", F.lit(0)).alias("pos"), F.col("entry.docs").alias("doc"), F.col("entry.raws").alias("raw")
     )
-    rows = rows.withColumn("errors", document_errors(F.col("doc"), F.col("raw")))
+    rows = rows.withColumn("errors", document_errors(F.col("doc"), F.col("raw"), operators))
     if order is None:
         return rows.withColumn("policy_ord", F.col("pos").cast("int"))
     # Files are numbered by name: a window over one row per file, not per policy.
@@ -63,13 +69,15 @@ def _parse(documents: DataFrame, text: str, order: str | None) -> DataFrame:
     return rows.join(starts, "src").withColumn("policy_ord", (F.col("base") + F.col("pos")).cast("int"))
 
 
-def parse_policy_rows(documents: DataFrame, text: str, policy_ord: str) -> tuple[DataFrame, DataFrame]:
+def parse_policy_rows(
+    documents: DataFrame, text: str, policy_ord: str, operators: Iterable[str] = schemas.CONDITION_OPERATORS
+) -> tuple[DataFrame, DataFrame]:
     """``(policies, errors)`` from one JSON policy per row, with its position."""
     parsed = documents.select(
         F.col(policy_ord).cast("int").alias("policy_ord"),
         F.from_json(text, schemas.POLICY_JSON).alias("doc"),
         F.from_json(text, "map<string,string>").alias("raw"),
-    ).withColumn("errors", document_errors(F.col("doc"), F.col("raw")))
+    ).withColumn("errors", document_errors(F.col("doc"), F.col("raw"), operators))
     good = parsed.filter(F.size("errors") == 0)
     bad = parsed.filter(F.size("errors") > 0)
     return normalise(good), bad.select("policy_ord", F.col("doc.id").alias("policy_id"), "errors")
@@ -82,8 +90,12 @@ def _unknown(keys: Column, known: tuple[str, ...], where: str) -> Column:
     return F.transform(extra, lambda k: F.concat(F.lit(f"unknown {where} field: "), k))
 
 
-def document_errors(doc: Column, raw: Column) -> Column:
-    """Problems of one policy document, an empty array when it is fine."""
+def document_errors(doc: Column, raw: Column, operators: Iterable[str] = schemas.CONDITION_OPERATORS) -> Column:
+    """Problems of one policy document, an empty array when it is fine.
+
+    ``operators`` are the condition operators that documents may name.
+    """
+    known = F.array(*[F.lit(o) for o in operators])
     effects = F.array(*[F.lit(e) for e in schemas.EFFECTS])
     rules_raw = F.from_json(F.element_at(raw, "rules"), "array<map<string,string>>")
     conditions_raw = F.flatten(
@@ -91,10 +103,9 @@ def document_errors(doc: Column, raw: Column) -> Column:
     )
 
     def rule_errors(rule: Column) -> Column:
-        operators = F.array(*[F.lit(o) for o in schemas.CONDITION_OPERATORS])
         bad_operator = F.exists(
             F.coalesce(rule["conditions"], F.array().cast(rule_conditions_type)),
-            lambda c: c["operator"].isNotNull() & ~F.array_contains(operators, c["operator"]),
+            lambda c: c["operator"].isNotNull() & ~F.array_contains(known, c["operator"]),
         )
         return F.array_compact(
             F.array(
@@ -119,7 +130,7 @@ def document_errors(doc: Column, raw: Column) -> Column:
         )
     )
     none = F.array().cast("array<string>")
-    return F.concat(
+    return F.concat(  # fixed values: the messages above
         own,
         F.coalesce(F.flatten(F.transform(doc["rules"], rule_errors)), none),
         F.coalesce(_unknown(F.map_keys(raw), schemas.POLICY_FIELDS, "policy"), none),
