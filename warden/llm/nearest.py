@@ -54,11 +54,19 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Product of each row of x with the same row of y, summed from the first component to the last."""
+    total = np.zeros(len(x))
+    for c in range(x.shape[1]):
+        total += x[:, c] * y[:, c]
+    return total
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosine of each row of x with the same row of y, in double precision."""
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
-        plain = (x * y).sum(axis=1) / (np.sqrt(xx) * np.sqrt(yy))
+        xx, yy = dots(x, x), dots(y, y)
+        plain = dots(x, y) / (np.sqrt(xx) * np.sqrt(yy))
     odd = ~np.isfinite(plain) | ~np.isfinite(xx) | ~np.isfinite(yy) | (np.minimum(xx, yy) < 1e-280)
     if odd.any():  # squares out of range
         plain[odd] = (scaled(x[odd]) * scaled(y[odd])).sum(axis=1)

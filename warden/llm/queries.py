@@ -64,7 +64,8 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from warden.llm.warc import archive_and_read
 
-    return archive_and_read(table(spark, sf_dir, "pages"))
+    found = archive_and_read(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +110,35 @@ QUERIES = {
     "op9_ngram_join": ngram_join,
     "op10_fingerprints": fingerprints,
 }
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: What SQL can express; the others are held to brute force, round trips or held-out accuracy by tests.
+ORACLES = {
+    "op4_nearest_vectors": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+        u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+              WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.n * c.n) AS score
+              FROM u q JOIN u c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM m""",
+    "op9_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+              '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) >= 5
+              THEN list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])
+              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+        each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS n, b.n AS m, count(*) AS c FROM each a JOIN each b USING (shingle)
+                 WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM pairs WHERE 100 * c >= 75 * (n + m - c)),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+        SELECT doc_id, len(s) AS n_shingles, component_id FROM sets
+        JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)""",
+}
