@@ -67,8 +67,8 @@ def sketch(shingles: np.ndarray, band: int) -> np.ndarray:
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """One bit for each place: whether an odd number of shingles falls on it. Four to eight places a shingle, at least 64."""
-    bits = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+    """One bit for each place: whether an odd number of shingles falls on it. Two to four places a shingle, at least 64."""
+    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -397,7 +397,7 @@ def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     needed = cells.select("set_id").distinct().join(distinct.select("set_id", "doc_id"), "set_id")
     # Rows may share a doc_id, or lack one; the comparison takes those whose shingles make the set.
     texts = written(docs.join(needed, docs["doc_id"].eqNullSafe(needed["doc_id"])).select("set_id", "text"))
-    links = written(verified(leader_pairs(cells, percent), texts, percent))
+    links = written(verified(written(leader_pairs(cells, percent)), texts, percent))
     groups = components(links)
     known = cells.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id")
@@ -407,7 +407,7 @@ def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     parities = texts.mapInArrow(_parities, "set_id bigint, parity binary").dropDuplicates(["set_id"])
     rest = rest.join(parities, "set_id")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = rest.repartition(parts, "key").mapInArrow(_across(percent), "a bigint, b bigint").distinct()
+    across = written(rest.repartition(parts, "key").mapInArrow(_across(percent), "a bigint, b bigint").distinct())
     more = written(verified(across, texts, percent))
     if more.limit(1).count():
         groups = components(links.unionByName(more))
