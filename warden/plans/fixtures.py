@@ -63,10 +63,12 @@ FROM events WHERE event_type IN ('signup', 'error')
 
 PATHS = """
 SELECT event_id AS path_id, CASE event_id % 9
-  WHEN 0 THEN 'sas://bkt/ns/a//b.parquet' WHEN 1 THEN 's3://bkt/ns/dir/' WHEN 2 THEN 's3://bkt'
-  WHEN 3 THEN 'abfs://c@acct.dfs.core.windows.net/ns/f.csv' WHEN 4 THEN 'https://acct.blob.core.windows.net/c/ns/f.json'
-  WHEN 5 THEN '//rel//path/' WHEN 6 THEN 'abfs://c' WHEN 7 THEN 'hdfs://nn/tmp' ELSE '' END AS path
-FROM events
+  WHEN 0 THEN 'sas://bkt' || u || '/ns' || e || '/a//b.parquet' WHEN 1 THEN 's3://bkt/ns' || u || '/dir' || e || '/'
+  WHEN 2 THEN 's3://bkt' || e WHEN 3 THEN 'abfs://c' || u || '@acct.dfs.core.windows.net/ns' || e || '/f.csv'
+  WHEN 4 THEN 'https://acct' || u || '.blob.core.windows.net/c/ns' || e || '/f.json'
+  WHEN 5 THEN '//rel' || u || '//path' || e || '/' WHEN 6 THEN 'abfs://c' || e WHEN 7 THEN 'hdfs://nn/tmp//' || e || '//'
+  ELSE '' END AS path
+FROM (SELECT event_id, CAST(event_id AS VARCHAR(20)) AS e, CAST(user_id AS VARCHAR(20)) AS u FROM events)
 """
 
 STREAM_EVENTS = """

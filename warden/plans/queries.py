@@ -952,9 +952,25 @@ def access_matrix(spark, sf):
     return re_.access_matrix(decided(spark, sf))
 
 
-@register("audit_lines")
+_VISITED = """array_to_string(list_filter([
+      CASE WHEN a1 THEN 'policy-001' END, CASE WHEN a2 AND NOT (a1 AND p1) THEN 'policy-002' END, CASE WHEN a3 THEN 'policy-003' END,
+      CASE WHEN a4 THEN 'policy-004' END, CASE WHEN a6 THEN 'policy-006' END], lambda x: x IS NOT NULL), '","')"""
+
+
+@register(
+    "audit_lines",
+    f"""WITH {orc.decided()} SELECT CAST(request_ts AS DATE) AS date,
+      '{{"timestamp":"' || strftime(request_ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","event":"'
+      || CASE WHEN effect = 'PERMIT' THEN 'ACCESS_GRANTED' ELSE 'ACCESS_DENIED' END || '","user":"' || subject
+      || '","session":"' || session_id || '","resource":"' || resource || '","action":"' || action || '","reason":"' || reason
+      || '","policy_evaluated":[' || CASE WHEN bad OR NOT (a1 OR a2 OR a3 OR a4 OR a6) THEN '' ELSE '"' || {_VISITED} || '"' END
+      || '],"user_attributes":{{' || CASE WHEN dept IS NULL THEN '' ELSE '"department":"' || dept || '",' END
+      || '"clearance_level":' || clearance || '}},"resource_attributes":{{"sensitivity_level":' || sens || '}}}}' AS line FROM decided""",
+)
 def audit_lines(spark, sf):
-    return audit.audit_lines(decided(spark, sf))
+    """A line of JSON for each decision, with the policies that its trace visited."""
+    run = engine(spark)
+    return audit.audit_lines(run.evaluate(run.trace(fx.requests(spark, sf))))
 
 
 @register(
