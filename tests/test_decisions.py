@@ -17,8 +17,8 @@ SCENARIO_3 = {
     "id": "hours", "name": "Business Hours Only Access", "enabled": True,
     "rules": [{"id": "r", "name": "r", "effect": "PERMIT", "conditions": [{"expression": fx._HOURS}]}],
 }
-GRANTED = "Access granted by policy: Department Data Access Policy"
-REFUSED = "Access denied by policy: Department Data Access Policy"
+GRANTED = "Access granted by policy: Staff folders"
+REFUSED = "Access denied by policy: Staff folders"
 
 
 def frame(spark, rows):

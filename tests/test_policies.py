@@ -22,7 +22,7 @@ def test_read_defaults_order_and_errors(spark, tmp_path):
                                {"id": "o", "name": "o", "rules": [], "priority": "high"}])
     good, bad = ps.read_policies(spark, str(tmp_path))
     rows = good.orderBy("policy_ord").collect()
-    assert [(r["policy_ord"], r["policy_id"]) for r in rows] == [(0, "policy-001"), (1, "policy-003"), (3, "policy-004")]
+    assert [(r["policy_ord"], r["policy_id"]) for r in rows] == [(0, "staff-folders"), (1, "policy-003"), (3, "policy-004")]
     assert rows[2]["version"] == "1.0" and rows[2]["default_effect"] == "DENY" and rows[2]["rules"][0]["conditions"] is None
     problems = {r["policy_ord"]: list(r["errors"]) for r in bad.collect()}
     assert problems[2] == ["Policy rules cannot be null"]
@@ -40,7 +40,7 @@ def test_refresh_sees_new_policies(spark, tmp_path):
 def test_store_is_read_only_unless_opened_for_writing(spark):
     store = ps.PolicyStore(fx.policies(spark))
     with pytest.raises(PermissionError):
-        store.delete(spark.createDataFrame([("policy-001",)], "policy_id string"))
+        store.delete(spark.createDataFrame([("staff-folders",)], "policy_id string"))
     assert store.get("nothing").count() == 0
     changed = ps.PolicyStore(fx.policies(spark), writable=True).upsert(
         fx.policies(spark, [{**fx.POLICY_2, "name": "new"}, {**fx.POLICY_4, "id": "policy-100"}]))

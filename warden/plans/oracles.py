@@ -31,7 +31,7 @@ def judged(hours: str = "hr BETWEEN 8 AND 18", third: str = "TRUE") -> str:
     return f"""judged AS (
   SELECT *,
     starts_with(resource, 's3://data-lake/departments/') AND action IN ('read', 'query') AS a1,
-    coalesce(starts_with(resource, '{_HR}') AND dept = 'HR' AND hr BETWEEN 8 AND 18, FALSE)
+    coalesce(starts_with(resource, '{_HR}') AND dept = 'HR' AND hr BETWEEN 7 AND 19, FALSE)
       OR coalesce(starts_with(resource, '{_FIN}') AND dept = 'Finance' AND clearance >= 3, FALSE)
       OR coalesce(role = 'Manager' AND clearance >= 4, FALSE) AS p1,
     starts_with(resource, '{_FIN}') AND action IN ('read', 'write') AS a2,
@@ -48,7 +48,7 @@ def judged(hours: str = "hr BETWEEN 8 AND 18", third: str = "TRUE") -> str:
 def decided(first_only: bool = False, **how) -> str:
     """CTEs ending in ``decided(request_id, subject, ..., effect, reason)``."""
     names = {
-        1: "Department Data Access Policy", 2: "Finance Data Restriction", 3: "Business Hours Only Access",
+        1: "Staff folders", 2: "Finance Data Restriction", 3: "Business Hours Only Access",
         4: "Public Data", 6: "Pattern Users",
     }
     used = [1] if first_only else [1, 2, 3, 4, 6]

@@ -151,7 +151,7 @@ def decisions_evaluation_error(spark, sf):
 @register(
     "policy_targets",
     f"""WITH {orc.decided()}, hits AS (
-      SELECT request_id, unnest([CASE WHEN a1 THEN 'policy-001' END, CASE WHEN a2 THEN 'policy-002' END,
+      SELECT request_id, unnest([CASE WHEN a1 THEN 'staff-folders' END, CASE WHEN a2 THEN 'policy-002' END,
         CASE WHEN a3 THEN 'policy-003' END, CASE WHEN a4 THEN 'policy-004' END, CASE WHEN a6 THEN 'policy-006' END]) AS policy_id
       FROM judged WHERE NOT bad)
     SELECT policy_id, count(*) AS requests FROM hits WHERE policy_id IS NOT NULL GROUP BY policy_id""",
@@ -169,7 +169,7 @@ def _trace(spark, sf):
     "trace_policies",
     f"""WITH {orc.decided()}, steps AS (
       SELECT request_id, unnest([
-        CASE WHEN a1 THEN {{'policy_id': 'policy-001', 'effect': CASE WHEN p1 THEN 'PERMIT' ELSE 'DENY' END, 'seen': TRUE}} END,
+        CASE WHEN a1 THEN {{'policy_id': 'staff-folders', 'effect': CASE WHEN p1 THEN 'PERMIT' ELSE 'DENY' END, 'seen': TRUE}} END,
         CASE WHEN a2 THEN {{'policy_id': 'policy-002', 'effect': CASE WHEN p2 THEN 'PERMIT' ELSE 'DENY' END, 'seen': NOT (a1 AND p1)}} END,
         CASE WHEN a3 THEN {{'policy_id': 'policy-003', 'effect': CASE WHEN p3 THEN 'PERMIT' WHEN d3 THEN 'DENY' ELSE 'NOT_APPLICABLE' END, 'seen': TRUE}} END,
         CASE WHEN a4 THEN {{'policy_id': 'policy-004', 'effect': 'PERMIT', 'seen': TRUE}} END,
@@ -188,16 +188,16 @@ def trace_policies(spark, sf):
 @register(
     "trace_conditions",
     f"""WITH {orc.decided()}, first_rule AS (
-      SELECT starts_with(resource, '{orc._HR}') AS target, coalesce(dept = 'HR', FALSE) AS c1, hr BETWEEN 8 AND 18 AS c2
+      SELECT starts_with(resource, '{orc._HR}') AS target, starts_with(username, 'hr_') AS c1, hr > 6 AS c2, hr < 20 AS c3
       FROM judged WHERE NOT bad AND a1)
     SELECT reason, conditions, count(*) AS requests FROM (
-      SELECT CASE WHEN NOT target THEN 'Rule target not matched' WHEN c1 AND c2 THEN 'All conditions satisfied'
+      SELECT CASE WHEN NOT target THEN 'Rule target not matched' WHEN c1 AND c2 AND c3 THEN 'All conditions satisfied'
                   ELSE 'Conditions not satisfied' END AS reason,
-        CASE WHEN NOT target THEN 0 WHEN c1 THEN 2 ELSE 1 END AS conditions FROM first_rule) GROUP BY ALL""",
+        CASE WHEN NOT target THEN 0 WHEN NOT c1 THEN 1 WHEN NOT c2 THEN 2 ELSE 3 END AS conditions FROM first_rule) GROUP BY ALL""",
 )
 def trace_conditions(spark, sf):
     """First rule of the first policy: what was visited before the first failure."""
-    steps = _trace(spark, sf).select(F.explode("trace").alias("s")).filter("s.policy_id = 'policy-001'")
+    steps = _trace(spark, sf).select(F.explode("trace").alias("s")).filter("s.policy_id = 'staff-folders'")
     rules = steps.select(F.col("s.rules")[0].alias("r"))
     return rules.groupBy(F.col("r.reason").alias("reason"), F.size("r.conditions").alias("conditions")).agg(
         F.count("*").alias("requests")
@@ -953,7 +953,7 @@ def access_matrix(spark, sf):
 
 
 _VISITED = """array_to_string(list_filter([
-      CASE WHEN a1 THEN 'policy-001' END, CASE WHEN a2 AND NOT (a1 AND p1) THEN 'policy-002' END, CASE WHEN a3 THEN 'policy-003' END,
+      CASE WHEN a1 THEN 'staff-folders' END, CASE WHEN a2 AND NOT (a1 AND p1) THEN 'policy-002' END, CASE WHEN a3 THEN 'policy-003' END,
       CASE WHEN a4 THEN 'policy-004' END, CASE WHEN a6 THEN 'policy-006' END], lambda x: x IS NOT NULL), '","')"""
 
 
