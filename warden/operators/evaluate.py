@@ -420,7 +420,10 @@ class Engine:
     # --- trace --------------------------------------------------------------------
 
     def _trace_columns(self, candidates: DataFrame) -> list[Column]:
-        """What was visited of one policy, in the order of its rules and conditions."""
+        """What was visited of one policy, in the order of its rules and conditions.
+
+        The texts of the reasons are fixed values.
+        """
 
         names = F.array(*[F.lit(n) for n in self.policies.names]).cast("array<string>")
 

@@ -23,6 +23,7 @@ def denial_type(effect: Column) -> Column:
 
 
 def denial_message(action: Column, resource: Column, user: Column, session: Column, reason: Column) -> Column:
+    # The wording of denials.
     opening = F.when(action == "write", F.lit("Write access denied")).otherwise(F.lit("Access denied"))
     return F.format_string(
         "%s to resource '%s' for user '%s' in session '%s'. Reason: %s", opening, resource, user, session, reason
@@ -54,7 +55,7 @@ def denials(decided: DataFrame) -> DataFrame:
 
 def security_alerts(decided: DataFrame) -> DataFrame:
     """Accesses no policy was found for."""
-    text = F.format_string(
+    text = F.format_string(  # fixed value: the wording of the alert
         "SECURITY ALERT: User %s attempted to access resource %s but no policies were found. "
         "This could indicate a misconfiguration or unauthorized access attempt.",
         F.col("subject"), F.col("resource"),

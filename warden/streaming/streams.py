@@ -32,7 +32,7 @@ def transaction_summary(
     return (
         events.withWatermark("timestamp", lateness)
         .groupBy(F.window("timestamp", window), "department")
-        .agg(
+        .agg(  # fixed values: the names of the summary's columns
             F.count("*").alias("transactionCount"),
             F.sum("amount").alias("totalAmount"),
             F.avg("amount").alias("avgAmount"),
