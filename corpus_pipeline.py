@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from warden.llm import language_id, ngram_join, packing, toxicity
-from warden.llm.common import keep_rows, shared_folder
+from warden.llm.common import keep_rows, shared_folder, take_memory
 from warden.llm.queries import ship, table, tokenizer_file
 
 #: A text goes if no language holds this share of its words.
@@ -19,6 +19,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     def decide():
         own = model.value
+        take_memory(own)
         return lambda texts: [score >= LEAST_SCORE for _, score, _ in own.predict(texts)]
 
     return keep_rows(docs, decide)
@@ -30,6 +31,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def decide():
         own = model.value
+        take_memory(own)
         return lambda texts: [score < toxicity.THRESHOLD for score in own.score(texts).tolist()]
 
     return keep_rows(docs, decide)

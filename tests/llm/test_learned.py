@@ -88,7 +88,7 @@ def made_up_insults():
     clean = sorted({"".join(rng.choice(syllables, rng.integers(1, 5))) for _ in range(3000)})
     insults = ["zwackel", "fripnox", "zwackeln", "hujuxi"]
     toxic = {i: [insults[i % 4], insults[(i // 4) % 4], "".join(rng.choice(syllables, 6))] for i in range(60)}
-    return toxic, clean
+    return toxic, dict.fromkeys(clean, 3)
 
 
 def test_kernel_tolerates_gaps_and_inserted_characters():
@@ -96,7 +96,7 @@ def test_kernel_tolerates_gaps_and_inserted_characters():
     model = toxicity.fit(toxic, clean, {n: 2000 // n**2 for n in range(1, 20)})
     likely = model.score(["a zwackel b", "zw-ackel", "zwaackel", "zwa.ckel", "z w a c k e l", "FRIPNOX!", "fri*pnox"])
     assert (likely >= toxicity.THRESHOLD).all()
-    assert (model.score([*clean[:500], "", "  "]) < toxicity.THRESHOLD).all()
+    assert (model.score([*list(clean)[:500], "", "  ", "zw"]) < toxicity.THRESHOLD).all()
 
 
 def test_kernel_is_that_of_weighted_subsequences():

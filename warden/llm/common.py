@@ -15,6 +15,20 @@ from pyspark.sql import functions as F
 TEXT_CHUNK = 2 << 20  # bytes of text that a task holds as Python objects at a time
 
 
+_holder = None
+
+
+def take_memory(holder) -> None:
+    """Lets ``holder`` (or nobody) be the one in this worker that keeps what it has learned from words.
+
+    Spark uses a worker again for other operators; the one before forgets.
+    """
+    global _holder
+    if _holder is not None and _holder is not holder:
+        _holder.forget()
+    _holder = holder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 

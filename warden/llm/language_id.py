@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from warden.llm.common import chunks, id_and_text, record_batch
+from warden.llm.common import chunks, id_and_text, record_batch, take_memory
 from warden.llm.shingles import mix
 
 SAMPLE_TEXTS = 250
@@ -30,7 +30,7 @@ SWITCHED = 0.4  # share of training sequences with several languages
 LEXICON = 200  # words in the list of a language
 BUCKETS = 1 << 15
 EPOCHS = 40
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _SEGMENT = 64
 _U = np.uint64
 
@@ -140,6 +140,9 @@ class Model:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "known": {}, "table": None}
 
+    def forget(self) -> None:
+        self.known, self.table = {}, None
+
     def _learn(self, words: list[str]) -> None:
         ids, starts = features(words, self.lexicons)
         rows = np.add.reduceat(self.weights[ids], starts, axis=0)
@@ -152,7 +155,7 @@ class Model:
     def label(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text the marginals of its words and which words have a letter."""
         if len(self.known) > CACHE_WORDS:
-            self.known, self.table = {}, None
+            self.forget()
         split = [t.lower().split() for t in texts]
         words = [w for s in split for w in s]
         lengths = np.array([len(s) for s in split], dtype=np.int64)
@@ -279,6 +282,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        take_memory(own)
         for batch in chunks(batches, size=1 << 20):
             found = list(own.predict(batch.column("text").to_pylist()))
             second = [float(np.sort(m)[-2]) if len(m) > 1 else 0.0 for _, _, m in found]
@@ -297,6 +301,7 @@ def label_words(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        take_memory(own)
         for batch in chunks(batches, size=1 << 20):
             texts = batch.column("text").to_pylist()
             tags = [

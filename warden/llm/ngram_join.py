@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warden.llm.common import chunks, id_and_text, record_batch, written
+from warden.llm.common import chunks, id_and_text, record_batch, take_memory, written
 from warden.llm.shingles import mix, shingle_sets
 
 THRESHOLD = 75  # per cent
@@ -96,6 +96,7 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int6
 
 def _sets(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory(None)
         for batch in chunks(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
             yield record_batch(
@@ -160,13 +161,14 @@ def _cells(percent: int, labels: list[int]):
         return record_batch(_BLOCKS, label=[x for x, _ in found], block=[b for _, b in found])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory(None)
         seen: set[int] = set()
         keys, owners, held = [], [], 0
         for batch in chunks(batches):
             for shingles in shingle_sets(batch.column("text").to_pylist()):
                 if not len(shingles) or (own := set_id(shingles)) in seen:
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 300_000:
                     seen.clear()  # a set sent twice counts once where its cells meet
                 seen.add(own)
                 for up, band in enumerate(bands(len(shingles), percent)):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from warden.llm.common import chunks, id_and_text, record_batch, written
+from warden.llm.common import chunks, id_and_text, record_batch, take_memory, written
 from warden.llm.tokens import tokenizer
 
 CAPACITY = 2048
@@ -223,6 +223,7 @@ def token_pieces(path: str, capacity: int, end_id: int = END_ID):
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, shard = tokenizer(path), TaskContext.get().partitionId()
+        take_memory(tok)
         seen = np.zeros(capacity + 1, dtype=np.int64).tolist()
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in chunks(batches):

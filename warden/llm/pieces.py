@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from warden.llm.common import chunks, id_and_text, record_batch
+from warden.llm.common import chunks, id_and_text, record_batch, take_memory
 
 SPACE_MARK = "▁"
 CACHE_WORDS = 500_000  # parts a worker keeps before it starts anew
@@ -121,6 +121,9 @@ class OffsetEncoder:
         self.digits = [f"{i}," for i in range(len(proto.pieces))]
         self.opens = np.array([p.piece.startswith(SPACE_MARK) for p in proto.pieces])
 
+    def forget(self) -> None:
+        self.words.clear()
+
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the original byte."""
         data = text.encode()
@@ -213,6 +216,7 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(model_path)
+        take_memory(model)
         for batch in chunks(batches):
             found = list(model.encode(batch.column("text").to_pylist()))
             columns = {n: [f[i].astype(np.int32) for f in found] for i, n in enumerate(("ids", "begins", "ends"))}
@@ -233,6 +237,7 @@ def digests(documents: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(model_path)
+        take_memory(model)
         for batch in chunks(batches):
             rows = []
             for found, begins, ends in model.encode(batch.column("text").to_pylist()):

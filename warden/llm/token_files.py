@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from warden.llm.common import chunks, id_and_text, record_batch, shared_folder, written
+from warden.llm.common import chunks, id_and_text, record_batch, shared_folder, take_memory, written
 from warden.llm.tokens import tokenizer
 
 BLOCK = 256
@@ -207,6 +207,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, out, context = tokenizer(tokenizer_path), None, TaskContext.get()
+        take_memory(tok)
         end = np.array([end_id], np.uint32)
         for batch in chunks(batches):
             if out is None:

@@ -49,6 +49,9 @@ class WordCachedTokenizer:
         self.marks = dict(zip(["", ".", ","], [b"", *self._plain([".", ","])], strict=True))
         self.as_text = str.maketrans(_byte_letters()) if self.kind == "leading space" else None
 
+    def forget(self) -> None:
+        self.words.clear()
+
     @staticmethod
     def _kind(spec: dict) -> str:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")

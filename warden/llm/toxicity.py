@@ -24,19 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warden.llm.common import chunks, id_and_text, record_batch
+from warden.llm.common import chunks, id_and_text, record_batch, take_memory
 from warden.llm.language_id import held_out
 
 SAMPLE_TOXIC = 500  # labelled texts that are learned from, at most
 SAMPLE_CLEAN = 2500
-SAMPLE_WORDS = 60_000  # distinct words of clean texts, at most
+SAMPLE_WORDS = 60_000  # distinct words of clean texts, the most frequent ones, at most
 LANDMARKS = 128
 DECAY = 0.6
 SPAN = 7  # characters between the first and the last of a subsequence, at most
 LETTERS = 47  # characters with a number of their own
 WINDOW = 24  # longer words are scored in overlapping windows
+SHORTEST = 3  # a shorter word has no subsequence of three characters of its own
+NO_WORD = -2.0  # decision for what has no word to score
 THRESHOLD = 0.7
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 _BASE = LETTERS + 1
 _SPACED = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 _PAIRS = [(j, k) for k in range(2, SPAN + 1) for j in range(1, k)]
@@ -106,6 +108,9 @@ class Model:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "known": {}}
 
+    def forget(self) -> None:
+        self.known.clear()
+
     def decide(self, words: list[str]) -> np.ndarray:
         """The machine's decision for each word: above 0 for insults."""
         out = np.empty(len(words))
@@ -113,10 +118,11 @@ class Model:
         for a in range(0, len(words), 2000):
             own = order[a : a + 2000]
             out[own] = self.subsequences.score([words[i] for i in own], self.weights) + self.bias
+        out[[len(w) < SHORTEST for w in words]] = NO_WORD
         return out
 
     def worst(self, texts: list[str]) -> list[float]:
-        """The largest decision over the words of each text; -2 for none."""
+        """The largest decision over the words of each text, ``NO_WORD`` for none."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         split = [text_words(t) for t in texts]
@@ -129,7 +135,7 @@ class Model:
             value = dict(zip(flat, self.decide(flat).tolist(), strict=True))
             known.update((w, max(value[c] for c in p)) for w, p in zip(new, parts, strict=True))
         return [
-            max((known[w] if x is None else x for w, x in zip(s, f, strict=True)), default=-2.0)
+            max((known[w] if x is None else x for w, x in zip(s, f, strict=True)), default=NO_WORD)
             for s, f in zip(split, found, strict=True)
         ]
 
@@ -140,10 +146,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _separate(x: np.ndarray, y: np.ndarray, cost: float = 5000.0) -> np.ndarray:
-    """Weights of a linear machine with squared hinge loss, both classes of equal weight, by Newton steps."""
+def _separate(x: np.ndarray, y: np.ndarray, share: np.ndarray, cost: float = 5000.0) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss, by Newton steps.
+
+    Both classes weigh the same; within a class examples weigh as ``share``.
+    """
     x = np.column_stack([x, np.ones(len(x))])
-    balance = np.where(y > 0, len(y) / max(1, (y > 0).sum()), len(y) / max(1, (y < 0).sum())) * cost / len(y)
+    balance = cost * share / np.where(y > 0, share[y > 0].sum(), share[y < 0].sum())
     w = np.zeros(x.shape[1])
     ridge = np.diag([1.0] * (x.shape[1] - 1) + [1e-3])
     for _ in range(30):
@@ -221,13 +230,14 @@ def _explaining(toxic: dict[int, set[str]], unseen: set[str], by_texts: dict[int
 
 
 def fit(
-    toxic: dict[int, list[str]], clean: list[str], by_texts: dict[int, int] | None = None, share: float = 0.2, seed: int = 3
+    toxic: dict[int, list[str]], clean: dict[str, int], by_texts: dict[int, int] | None = None, share: float = 0.2, seed: int = 3
 ) -> Model:
-    """A model from the words of toxic texts (those in no clean text) and words of clean texts.
+    """A model from the words of toxic texts (those in no clean text) and words of clean texts with how many have them.
 
     ``by_texts`` has for each number of texts how many words are in so many, ``share`` is that of toxic texts.
     """
     rng = np.random.default_rng(seed)
+    texts_with, clean = clean, sorted(w for w in clean if len(w) >= SHORTEST)
     toxic = {d: w for d, ws in toxic.items() if (w := sorted({x for x in ws if len(x) > 2}))}
     counts: dict[str, int] = {}
     for c in "".join([*clean, *(w for ws in toxic.values() for w in ws)]):
@@ -236,7 +246,7 @@ def fit(
     sub = Subsequences({c: i + 1 for i, c in enumerate(letters)})
     if not toxic or not clean:
         return Model(sub, None)
-    unseen = set(clean)
+    unseen = set(texts_with)
     positives = _explaining(_apart(toxic), unseen, by_texts or {}, share)
     negatives = [clean[i] for i in rng.choice(len(clean), min(len(clean), 3000), replace=False)]
     model = Model(sub, None)
@@ -252,7 +262,8 @@ def fit(
         words = own + _variants(own, rng) + negatives
         y = np.array([1.0] * (len(words) - len(negatives)) + [-1.0] * len(negatives))
         kernel = np.concatenate([sub.score(words[a : a + 500], vectors) for a in range(0, len(words), 500)])
-        w = _separate(kernel @ root, y)
+        weigh = [1.0] * (len(words) - len(negatives)) + [np.sqrt(texts_with[w]) for w in negatives]
+        w = _separate(kernel @ root, y, np.array(weigh))
         model = Model(sub, (vectors @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
         model.weights[0] = 0
         decided = model.decide(clean)
@@ -265,15 +276,18 @@ def fit(
                 if values.max() > 0:
                     positives.append(fresh[int(values.argmax())])
     worst_toxic = np.array([max(model.decide(ws)) for ws in toxic.values()])
-    worst_clean = np.sort(model.decide(clean))[-max(20, len(worst_toxic)) :]
+    decided = model.decide(clean)
+    last = np.argsort(decided, kind="stable")[-max(20, len(worst_toxic)) :]
+    worst_clean = decided[last]
     x = np.concatenate([worst_toxic, worst_clean])
+    weigh = np.array([1.0] * len(worst_toxic) + [np.sqrt(texts_with[clean[i]]) for i in last])
     t = np.array([1 - 1 / (len(worst_toxic) + 2)] * len(worst_toxic) + [1 / (len(worst_clean) + 2)] * len(worst_clean))
     a, b = 1.0, 0.0
     for _ in range(100):  # logistic curve by Newton steps
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        v = p * (1 - p) + 1e-9
+        v = weigh * (p * (1 - p) + 1e-9)
         h = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-3]])
-        da, db = np.linalg.solve(h, [((p - t) * x).sum(), (p - t).sum()])
+        da, db = np.linalg.solve(h, [(weigh * (p - t) * x).sum(), (weigh * (p - t)).sum()])
         a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
     model.slope, model.shift = float(a), float(b)
     return model
@@ -314,7 +328,7 @@ def train(documents: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1
     )
     found = found.persist()
     by_texts = {r.n: r["count"] for r in found.groupBy((F.size("toxic") + F.col("clean")).alias("n")).count().collect()}
-    clean = [r.word for r in found.filter("clean > 0").orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).select("word").collect()]
+    clean = {r.word: r.clean for r in found.filter("clean > 0").orderBy(F.desc("clean"), F.xxhash64("word"), "word").limit(SAMPLE_WORDS).select("word", "clean").collect()}
     toxic: dict[int, list[str]] = {}
     for r in found.filter("clean = 0").select(F.explode("toxic").alias("d"), "word").collect():
         toxic.setdefault(r.d, []).append(r.word)
@@ -335,6 +349,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        take_memory(own)
         for batch in chunks(batches):
             yield record_batch(_SCORED, doc_id=batch.column("doc_id"), score=own.score(batch.column("text").to_pylist()))
 
