@@ -170,7 +170,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = 2, gr
         sizes = group_sizes(large, [left[x] for x in large], groups)
         # Pieces of a group, longest first: runs (length, count) that its rounded places use up.
         runs: dict[int, list[list[int]]] = {s: [] for s, _ in sizes}
-        tops, lengths = sorted(runs, reverse=True), iter(large)
+        lengths = iter(large)
         rest, length = 0, 0
         for top, items in sorted(sizes, reverse=True):
             while items:
