@@ -193,6 +193,31 @@ def test_license_scan_equals_exact_containment(documents):
     assert licenses.scan_licenses(documents([]).limit(0)).collect() == []
 
 
+def test_license_with_inserted_words_is_found_at_every_start(documents):
+    rng, rows = random.Random(5), []
+    for _, notice in licenses.TEMPLATES:
+        for at in range(0, 45):
+            words = notice.split()
+            for _ in range(rng.choice([0, 1, 1, 2])):  # at places of their own, as line numbers and comment words are
+                place = rng.randrange(1, len(words))
+                words[place:place] = [f"i{k}" for k in range(rng.randrange(1, 1 + len(words) // 2))]
+            rows.append((len(rows), " ".join([f"a{k}" for k in range(at)] + words + [f"b{k}" for k in range(45 - at)])))
+    mit = licenses.TEMPLATES[1][1].split()
+    spread = [*mit[:11], *"lorem ipsum dolor sit amet consectetur adipiscing elit sed do".split(), *mit[11:]]
+    rows += [(1000 + at, " ".join(["x"] * at + spread)) for at in range(20)]
+    scanner, want = licenses.Scanner(), set()
+    for doc, text in rows:
+        own, words = licenses.ordered_shingles(text.encode().translate(licenses._PLAIN))
+        for t, n in enumerate(scanner.sizes):
+            best = max(len(np.intersect1d(own[a : a + 3 * n - 4], scanner.sets[t])) for a in range(max(1, words))) / len(scanner.sets[t])
+            if best >= 0.75:
+                want.add((doc, licenses.TEMPLATES[t][0], t, best))
+    got = licenses.scan_licenses(documents(rows)).collect()
+    assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)
+    assert {r.doc_id for r in got if r.doc_id >= 1000} == set(range(1000, 1020))
+    assert {(r.first_word, r.window_words) for r in got if r.doc_id == 1007} == {(7, 30)}
+
+
 def test_bands_make_a_miss_rare():
     for template, window in ((1, 6), (8, 20), (30, 64)):
         least = -(-75 * template // 100) / (template + window - (-(-75 * template // 100)))

@@ -1,15 +1,17 @@
 """License notices in texts: MinHash bands over overlapping windows retrieve templates, shingle containment verifies them.
 
-Words are runs of letters and digits in lower case. A template of ``n`` words is looked for in windows of ``2 n`` words
-that start every ``n`` words, so that each occurrence lies in some window as a whole. A window that holds a template has
-at least a known Jaccard similarity to it; the number of bands follows from that similarity and from ``MISSED``, the
-chance that no band of the two signatures agrees. What the bands retrieve is verified: the share of the template's
-five-word shingles that the window holds must reach ``CONTAINED``.
+Words are runs of letters and digits in lower case. A template of ``n`` words may be spread over ``SPREAD * n`` words of a
+text, by words inserted anywhere, and is found wherever it starts: grid windows of ``(SPREAD + 1) * size`` words start
+every ``size >= n`` words, so that each run of ``SPREAD * n`` words lies in some grid window as a whole. A grid window
+that holds a template has at least a known Jaccard similarity to it; the number of bands follows from that similarity and
+from ``MISSED``, the chance that no band of the two signatures agrees. What the bands retrieve is verified at all starts
+in the grid window: the share of the template's five-word shingles in ``SPREAD * n`` words must reach ``CONTAINED``.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +24,7 @@ from warden.llm.shingles import SHINGLE, combine, mix, word_hashes
 
 CONTAINED = 0.75
 MISSED = 1e-6
+SPREAD = 3  # an occurrence spans at most so many times the words of its template
 #: Notices as the licenses themselves word them.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -63,6 +66,12 @@ def signature(shingles: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def grid(words: int) -> int:
+    """The distance of the grid windows for a template: its words, rounded up by less than a quarter."""
+    step = 1 << max(0, words.bit_length() - 3)
+    return -(-words // step) * step
+
+
 @dataclass
 class Scanner:
     templates: tuple[tuple[str, str], ...] = TEMPLATES
@@ -71,8 +80,8 @@ class Scanner:
     sets: list[np.ndarray] = field(init=False)
 
     def __post_init__(self):
-        self.sets, self.sizes, self.bands = [], [], []
-        self.at_band: dict[tuple[int, int], set[int]] = {}
+        self.sets, self.sizes = [], []
+        self.levels: dict[int, list[int]] = {}  # templates by the distance of their grid windows
         holders: dict[int, list[int]] = {}
         for t, (name, text) in enumerate(self.templates):
             shingles, words = ordered_shingles(text.encode().translate(_PLAIN))
@@ -81,52 +90,74 @@ class Scanner:
             own = np.unique(shingles)
             self.sets.append(own)
             self.sizes.append(words)
-            self.bands.append(bands_for(len(own), 2 * words - SHINGLE + 1, self.contained, self.missed))
-            for b, value in enumerate(signature(own, self.bands[t]).tolist()):
-                self.at_band.setdefault((b, value), set()).add(t)
+            self.levels.setdefault(grid(words), []).append(t)
             for s in own.tolist():
                 holders.setdefault(s, []).append(t)
+        self.bands = {
+            size: max(bands_for(len(self.sets[t]), (SPREAD + 1) * size - SHINGLE + 1, self.contained, self.missed) for t in own)
+            for size, own in self.levels.items()
+        }
+        self.at_band: dict[tuple[int, int, int], set[int]] = {}
+        for size, own in self.levels.items():
+            for t in own:
+                for b, value in enumerate(signature(self.sets[t], self.bands[size]).tolist()):
+                    self.at_band.setdefault((size, b, value), set()).add(t)
         self.holders = holders
         self.all = np.array(sorted(holders), dtype=np.uint64)
 
-    def retrieve(self, shingles: np.ndarray, bands: int) -> set[int]:
-        """Templates whose signature agrees with that of these shingles in some band."""
+    def retrieve(self, shingles: np.ndarray, size: int) -> set[int]:
+        """Templates with grid windows of this size whose signature agrees with that of these shingles in some band."""
         found: set[int] = set()
-        for b, value in enumerate(signature(shingles, bands).tolist()):
-            found |= self.at_band.get((b, value), set())
+        for b, value in enumerate(signature(shingles, self.bands[size]).tolist()):
+            found |= self.at_band.get((size, b, value), set())
         return found
 
+    def densest(self, t: int, places: list[int], shingles: list[int]) -> tuple[float, int, int]:
+        """(containment, first word, words) of the best run of words: the largest containment, then the shortest, the first.
+
+        ``places`` are those of the template's shingles in a text, in order.
+        """
+        held: dict[int, int] = {}
+        best, first = (0, 0, 0), 0
+        for place, shingle in zip(places, shingles, strict=True):
+            held[shingle] = held.get(shingle, 0) + 1
+            while place - places[first] > SPREAD * self.sizes[t] - SHINGLE or held[shingles[first]] > 1:
+                held[shingles[first]] -= 1
+                if not held[shingles[first]]:
+                    del held[shingles[first]]
+                first += 1
+            best = max(best, (len(held), places[first] - place, -places[first]))
+        return best[0] / len(self.sets[t]), -best[2], SHINGLE - best[1]
+
     def scan(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(template, containment, first word, words) of the best window of each template that the text holds.
+        """(template, containment, first word, words) of the best run of each template that the text holds.
 
-        A window without a shingle of any template cannot hold one, so it gets no signature.
+        Only a shingle of a template can make a band agree with it, so a window without one gets no signature.
         """
-        shingles, words = ordered_shingles(text.encode().translate(_PLAIN))
+        shingles, _ = ordered_shingles(text.encode().translate(_PLAIN))
         place = np.minimum(np.searchsorted(self.all, shingles), len(self.all) - 1) if len(self.all) else shingles
         hits = np.flatnonzero(self.all[place] == shingles) if len(self.all) else []
-        starts: dict[int, set[int]] = {}
+        at: dict[int, list[int]] = {}
         for h in [] if not len(hits) else hits.tolist():
             for t in self.holders[int(shingles[h])]:
-                n = self.sizes[t]
-                # The windows of 2 n words that hold the words from h to h + SHINGLE - 1.
-                last = h // n
-                starts.setdefault(t, set()).update(
-                    i * n for i in range(max(0, last - 1), last + 1) if h + SHINGLE <= i * n + 2 * n
-                )
-        found = []
-        for t, own in sorted(starts.items()):
-            n, best = self.sizes[t], None
-            for a in sorted(own):
-                window = np.unique(shingles[a : a + 2 * n - SHINGLE + 1])
-                if t not in self.retrieve(window, self.bands[t]):
-                    continue
-                held = np.intersect1d(window, self.sets[t], assume_unique=True)
-                share = len(held) / len(self.sets[t])
-                if share >= self.contained and (best is None or share > best[0]):
-                    best = share, a, min(2 * n, words - a)
-            if best:
-                found.append((t, *best))
-        return found
+                at.setdefault(t, []).append(h)
+        best: dict[int, tuple[float, int, int]] = {}
+        for size, own in self.levels.items():
+            reach = (SPREAD + 1) * size - SHINGLE + 1  # shingles in a grid window
+            starts = {
+                i * size for t in own for h in at.get(t, ()) for i in range(max(0, h // size - SPREAD), h // size + 1)
+                if h < i * size + reach
+            }
+            for a in sorted(starts):
+                cuts = {t: (bisect_left(at[t], a), bisect_left(at[t], a + reach)) for t in own if t in at}
+                if all(x == y or best.get(t, ())[::2] == (1, len(self.sets[t]) + SHINGLE - 1) for t, (x, y) in cuts.items()):
+                    continue  # no run here can be better: those found are whole, without a word between
+                for t in self.retrieve(np.unique(shingles[a : a + reach]), size):
+                    places = at[t][slice(*cuts[t])]
+                    run = self.densest(t, places, shingles[places].tolist())
+                    if run[0] >= self.contained and (t not in best or (-run[0], run[2], run[1]) < (-best[t][0], best[t][2], best[t][1])):
+                        best[t] = run
+        return [(t, *best[t]) for t in sorted(best)]
 
 
 _MATCH = pa.schema([
@@ -138,7 +169,8 @@ _MATCH = pa.schema([
 def scan_licenses(documents: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """doc_id, license, template, containment, first_word, window_words: a row for each template that a text holds.
 
-    The best window of a template counts, the first of equal ones. Null and empty texts hold none. Rows with one doc_id,
+    The best run of words for a template counts: the largest containment, then the shortest, the first of equal ones.
+    It begins and ends with words of the template. Null and empty texts hold none. Rows with one doc_id,
     or none, are each scanned; whole texts are, at any length. Other columns are not read.
     """
     scanner = scanner or Scanner()
