@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from odd_rows import ODD
-from warden.llm import fingerprints, licenses, nearest, ngram_join, shingles, warc
+from warden.llm import fingerprints, license_notices, licenses, nearest, ngram_join, shingles, warc
+from warden.llm.queries import QUERIES
 
 
 def word_shingles(text):
@@ -218,6 +219,24 @@ def test_license_with_inserted_words_is_found_at_every_start(documents):
     assert {(r.first_word, r.window_words) for r in got if r.doc_id == 1007} == {(7, 30)}
 
 
+def test_license_versions_and_families_are_told_apart(spark, documents, tmp_path):
+    later = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public "
+             "License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+    short = "This work is licensed under the GNU {}General Public License, version {}."
+    texts = [(later.format("", "2"), {"GPL-2.0"}), (later.format("", "3"), {"GPL-3.0"}), (later.format("Affero ", "3"), {"AGPL-3.0"}),
+             (later.format("Lesser ", "3"), {"LGPL-3.0"}), (later.format("Lesser ", "2.1"), {"LGPL-2.1"}), (later.format("Library ", "2"), {"LGPL-2.0"}),
+             (short.format("", "2"), {"GPL-2.0"}), (short.format("", "3"), {"GPL-3.0"}), (short.format("Lesser ", "2"), {"LGPL-2.0"}),
+             (short.format("", "4"), set()), (later.format("", "9"), set()),  # a version that nothing lists is not another one
+             (later.format("", "2") + " " + later.format("", "3"), {"GPL-2.0", "GPL-3.0"}),
+             ("Licensed under CC BY-NC-SA 4.0.", {"CC-BY-NC-SA-4.0"}), ("Licensed under CC BY-NC 3.0.", {"CC-BY-NC-3.0"})]
+    texts += [("x y z " + text + " and more words", {name}) for name, text in license_notices.catalogue(licenses.TEMPLATES)]
+    documents([(i, text) for i, (text, _) in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(set)
+    for r in QUERIES["op3_license_scans"](spark, str(tmp_path)).collect():
+        got[r.doc_id].add(r.license)
+    assert [got[i] for i in range(len(texts))] == [want for _, want in texts]
+
+
 def test_bands_make_a_miss_rare():
     for template, window in ((1, 6), (8, 20), (30, 64)):
         least = -(-75 * template // 100) / (template + window - (-(-75 * template // 100)))

@@ -6,6 +6,11 @@ every ``size >= n`` words, so that each run of ``SPREAD * n`` words lies in some
 that holds a template has at least a known Jaccard similarity to it; the number of bands follows from that similarity and
 from ``MISSED``, the chance that no band of the two signatures agrees. What the bands retrieve is verified at all starts
 in the grid window: the share of the template's five-word shingles in ``SPREAD * n`` words must reach ``CONTAINED``.
+
+Templates of other licenses that share much are siblings, such as those of another version. A run of words counts for a
+template only if it holds a larger share of the shingles that the template has before a sibling than of those that the
+sibling has before it, or half of the former if there are none of the latter. A template without any before a sibling
+yields to the sibling where both are found.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from warden.llm.shingles import SHINGLE, combine, mix, word_hashes
 CONTAINED = 0.75
 MISSED = 1e-6
 SPREAD = 3  # an occurrence spans at most so many times the words of its template
-#: Notices as the licenses themselves word them.
+SIBLING = 0.25  # share of the smaller of two templates' shingles that the other has, at least
+#: Short notices, four of them the license lines of the given documents. ``license_notices`` has the rest.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -74,6 +80,8 @@ def grid(words: int) -> int:
 
 @dataclass
 class Scanner:
+    """Finds ``templates``, pairs of license and text."""
+
     templates: tuple[tuple[str, str], ...] = TEMPLATES
     contained: float = CONTAINED
     missed: float = MISSED
@@ -103,6 +111,7 @@ class Scanner:
                 for b, value in enumerate(signature(self.sets[t], self.bands[size]).tolist()):
                     self.at_band.setdefault((size, b, value), set()).add(t)
         self.holders = holders
+        self._set_siblings()
         self.all = np.array(sorted(holders), dtype=np.uint64)
 
     def retrieve(self, shingles: np.ndarray, size: int) -> set[int]:
@@ -112,22 +121,68 @@ class Scanner:
             found |= self.at_band.get((size, b, value), set())
         return found
 
-    def densest(self, t: int, places: list[int], shingles: list[int]) -> tuple[float, int, int]:
-        """(containment, first word, words) of the best run of words: the largest containment, then the shortest, the first.
-
-        ``places`` are those of the template's shingles in a text, in order.
+    def _set_siblings(self) -> None:
+        """For each template: sizes of what it and its siblings have alone, who has which shingle, what it yields to."""
+        common: dict[tuple[int, int], int] = {}
+        for own in self.holders.values():
+            for t in own:
+                for u in own:
+                    if self.templates[t][0] != self.templates[u][0]:
+                        common[t, u] = common.get((t, u), 0) + 1
+        self.alone: list[list[tuple[int, int]]] = [[] for _ in self.sets]
+        self.marks: list[dict[int, list[int]]] = [{s: [] for s in own.tolist()} for own in self.sets]
+        self.yields: list[list[int]] = [[] for _ in self.sets]
+        for (t, u), n in sorted(common.items()):
+            mine, other = len(self.sets[t]) - n, len(self.sets[u]) - n
+            if n < SIBLING * min(len(self.sets[t]), len(self.sets[u])):
+                continue
+            if not mine:
+                self.yields[t] += [u] * (other > 0)
+                continue
+            k = len(self.alone[t])
+            self.alone[t].append((mine, other))
+            for x, y, counter in ((t, u, 2 * k), (u, t, 2 * k + 1)):
+                for s in np.setdiff1d(self.sets[x], self.sets[y], assume_unique=True).tolist():
+                    self.marks[t].setdefault(s, []).append(counter)
+        self.looked_at = [np.array(sorted(m), dtype=np.uint64) for m in self.marks]
+
+    def densest(self, t: int, shingles: np.ndarray) -> tuple[float, int, int] | None:
+        """(containment, first place, words) of the best run of words: the largest containment, then the shortest, the first.
+
+        Runs that do not tell the template from its siblings are left out. Shorter runs are tried where there are
+        siblings, so that a notice is not mixed with that of a sibling beside it.
         """
-        held: dict[int, int] = {}
-        best, first = (0, 0, 0), 0
-        for place, shingle in zip(places, shingles, strict=True):
-            held[shingle] = held.get(shingle, 0) + 1
-            while place - places[first] > SPREAD * self.sizes[t] - SHINGLE or held[shingles[first]] > 1:
-                held[shingles[first]] -= 1
-                if not held[shingles[first]]:
-                    del held[shingles[first]]
-                first += 1
-            best = max(best, (len(held), places[first] - place, -places[first]))
-        return best[0] / len(self.sets[t]), -best[2], SHINGLE - best[1]
+        look, marks, alone = self.looked_at[t], self.marks[t], self.alone[t]
+        places = np.flatnonzero(look[np.minimum(np.searchsorted(look, shingles), len(look) - 1)] == shingles)
+        met = list(zip(places.tolist(), shingles[places].tolist(), strict=True))
+        mine = set(self.sets[t].tolist())
+        best = None
+        for spread in range(SPREAD, 0, -1) if alone else (SPREAD,):
+            held: dict[int, int] = {}
+            counts, own, first = [0] * (2 * len(alone)), 0, 0
+            for place, shingle in met:
+                held[shingle] = held.get(shingle, 0) + 1
+                if held[shingle] == 1:
+                    own += shingle in mine
+                    for k in marks[shingle]:
+                        counts[k] += 1
+                while (a := met[first])[0] < place and (
+                    place - a[0] > spread * self.sizes[t] - SHINGLE or held[a[1]] > 1 or a[1] not in mine
+                ):
+                    held[a[1]] -= 1
+                    if not held[a[1]]:
+                        own -= a[1] in mine
+                        for k in marks[a[1]]:
+                            counts[k] -= 1
+                    first += 1
+                if shingle not in mine or own < self.contained * len(mine):
+                    continue
+                run = own, a[0] - place, -a[0]
+                if (best is None or run > best) and all(
+                    counts[2 * k] * other > counts[2 * k + 1] * size if other else 2 * counts[2 * k] >= size for k, (size, other) in enumerate(alone)
+                ):
+                    best = run
+        return best and (best[0] / len(mine), -best[2], SHINGLE - best[1])
 
     def scan(self, text: str) -> list[tuple[int, float, int, int]]:
         """(template, containment, first word, words) of the best run of each template that the text holds.
@@ -153,11 +208,18 @@ class Scanner:
                 if all(x == y or best.get(t, ())[::2] == (1, len(self.sets[t]) + SHINGLE - 1) for t, (x, y) in cuts.items()):
                     continue  # no run here can be better: those found are whole, without a word between
                 for t in self.retrieve(np.unique(shingles[a : a + reach]), size):
-                    places = at[t][slice(*cuts[t])]
-                    run = self.densest(t, places, shingles[places].tolist())
-                    if run[0] >= self.contained and (t not in best or (-run[0], run[2], run[1]) < (-best[t][0], best[t][2], best[t][1])):
+                    run = self.densest(t, shingles[a : a + reach])
+                    if run is None:
+                        continue
+                    run = run[0], a + run[1], run[2]
+                    if t not in best or (-run[0], run[2], run[1]) < (-best[t][0], best[t][2], best[t][1]):
                         best[t] = run
-        return [(t, *best[t]) for t in sorted(best)]
+
+        def meet(t: int, u: int) -> bool:
+            (_, a, n), (_, b, m) = best[t], best[u]
+            return a < b + m and b < a + n
+
+        return [(t, *best[t]) for t in sorted(best) if not any(u in best and meet(t, u) for u in self.yields[t])]
 
 
 _MATCH = pa.schema([
@@ -173,9 +235,10 @@ def scan_licenses(documents: DataFrame, scanner: Scanner | None = None) -> DataF
     It begins and ends with words of the template. Null and empty texts hold none. Rows with one doc_id,
     or none, are each scanned; whole texts are, at any length. Other columns are not read.
     """
-    scanner = scanner or Scanner()
+    shared = documents.sparkSession.sparkContext.broadcast(scanner or Scanner())  # its size is that of the templates
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = shared.value
         for batch in chunks(batches):
             rows = [
                 (doc, scanner.templates[t][0], t, share, first, size)

@@ -87,9 +87,10 @@ def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from warden.llm.licenses import scan_licenses
+    from warden.llm.license_notices import catalogue
+    from warden.llm.licenses import TEMPLATES, Scanner, scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), Scanner(catalogue(TEMPLATES)))
 
 
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
