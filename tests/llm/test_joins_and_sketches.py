@@ -39,6 +39,32 @@ def brute_components(rows):
     return [(d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)]
 
 
+def shared_passage(share, texts=60, size=200):
+    """Texts with one passage for ``share`` of their words, and near copies of some."""
+    rng, rows = random.Random(6), []
+    passage = [f"p{i}" for i in range(int(size * share))]
+    for i in range(texts):
+        own = [f"o{i}.{k}" for k in range(size - len(passage))]
+        rows.append((2 * i, " ".join(passage + own)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join(passage + own[:-rng.randrange(1, 9)])))
+    return rows
+
+
+def test_hot_cells_are_cut_into_block_pairs(documents, monkeypatch):
+    """No task compares more sets than two blocks hold, and the answer stays that of brute force."""
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    dealt, cut = [], ngram_join.block_pairs
+    monkeypatch.setattr(ngram_join, "block_pairs", lambda cells: dealt.append(cut(cells)) or dealt[-1])
+    for share in (0.4, 0.7, 0.8):
+        rows = shared_passage(share)
+        got = [tuple(r) for r in ngram_join.linked(documents(rows)).collect()]
+        assert sorted(got) == sorted(brute_components(rows))
+        sizes = [r["count"] for r in dealt[-1].groupBy("key", "low", "high").count().collect()]
+        assert max(sizes, default=0) <= 4 * ngram_join.HOT  # blocks are dealt by hash
+    assert dealt[-1].filter("low <> high").count() > 0
+
+
 def near_copies(seed):
     rng, rows = random.Random(seed), []
     words = [f"w{i}" for i in range(2000)]

@@ -13,6 +13,10 @@ nothing, so a text of its own leaves the join at once, and a passage that many t
 that consist of it. What still meets is compared with the leader of its cell, then, across the groups found so far, with
 the rest of the cell, as far as parity sketches of one bit a place let it: their Hamming distance, too, is at most the
 symmetric difference. What is left is verified on the shingles themselves.
+
+A cell with more than ``HOT`` sets in several groups is cut twice. Its sets are joined again on their rarest shingles: linked
+sets have all but a quarter of each in common, so they meet in that quarter and one shingle more. What is still hot (texts
+that consist of one passage for three quarters) is dealt into blocks, and each pair of blocks is compared on its own.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ BAND = 4  # sizes in a band differ by less than this factor
 LOAD = 2.5  # shingles in a cell, at most, on average
 _U = np.uint64
 _FLUSH = 1 << 19  # cells that a task holds before it sends them on
+HOT = 4096  # sets of a cell that are compared across groups in one task; above, the cell is cut
 _CHUNK = 400  # texts compared with their leader in one task
 
 # With LOAD 2.5 a set of n >= 64 shingles fills at least 0.36 n cells but for a chance below 1e-15, as for hashes that
@@ -269,24 +274,59 @@ def _parities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _across(percent: int):
-    """A function for mapInArrow on whole cells: pairs of sets from different groups that the sketches do not rule out."""
+def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """set_id and shingles of texts; a text that is not of the set gives none."""
+    for batch in chunks(batches):
+        rows = [
+            (own, s.view(np.int64))
+            for own, s in zip(batch.column("set_id").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True)
+            if own == set_id(s)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
+            ["set_id", "shingles"],
+        )
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "set_id", "n", "place", "component"]
-        parts, sketches = [], {}
-        for batch in batches:
-            parts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-            for own, sketch_bytes in zip(batch.column("set_id").to_pylist(), batch.column("parity").to_pylist(), strict=True):
-                sketches.setdefault(own, sketch_bytes)
-        if not parts:
-            return
-        key, sid, n, place, group = (np.concatenate(p) for p in zip(*parts, strict=True))
-        order = np.lexsort((group, key))
-        key, sid, n, place, group = key[order], sid[order], n[order], place[order], group[order]
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        seen: set[tuple[int, int]] = set()
-        found: list[tuple[int, int]] = []
+
+def hot_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("key")
+
+
+def rarest_shingles(hot: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """key, set_id, n, place, component: the sets of hot cells on their rarest shingles, in the place of the cells.
+
+    Linked sets have ``percent`` of each in common. In one order of all shingles the first that both have is preceded by
+    no more than the rest in either.
+    """
+    members = hot.select("set_id", "n", "component").distinct()
+    own = texts.join(members.select("set_id"), "set_id", "left_semi").mapInArrow(_shingles, "set_id bigint, shingles array<bigint>")
+    own = written(own.dropDuplicates(["set_id"]).select("set_id", F.explode("shingles").alias("key")))
+    ranked = own.join(own.groupBy("key").agg(F.count("*").alias("sets")), "key")
+    rank = F.row_number().over(Window.partitionBy("set_id").orderBy("sets", "key")) - 1
+    placed = ranked.withColumn("place", rank.cast("bigint")).filter("sets > 1").join(members, "set_id")
+    return placed.filter(F.col("place") * 100 <= F.col("n") * (100 - percent)).select("key", "set_id", "n", "place", "component")
+
+
+def block_pairs(cells: DataFrame) -> DataFrame:
+    """The rows with block, low, high: each row once for every pair (low, high) of its cell's blocks that has its own."""
+    counts = cells.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"), F.count("*").alias("c"))
+    rows = cells.join(counts.filter("c > 1"), "key").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "c", "other")
+
+
+def _across(percent: int):
+    """A function for mapInArrow on rows sorted by key, low, high: pairs of sets from different groups that the sketches do
+    not rule out, in one block or from two.
+    """
+    names = ["key", "low", "high", "block", "set_id", "n", "place", "component"]
+
+    def pairs_in(columns: list[np.ndarray], sketches: dict[int, bytes], seen: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        key, low, high, block, sid, n, place, group = columns
+        order = np.lexsort((group, high, low, key))
+        key, low, high, block, sid, n, place, group = (c[order] for c in (key, low, high, block, sid, n, place, group))
+        new_cell = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        cuts = [0, *(np.flatnonzero(new_cell) + 1).tolist(), len(key)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             ends = a + np.searchsorted(group[a:b], group[a:b], side="right")  # the next group begins there
             for i in range(a, b):
@@ -295,6 +335,8 @@ def _across(percent: int):
                 fits = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (
                     np.maximum(place[i], place[j]) <= most
                 )
+                if low[a] != high[a]:
+                    fits &= block[j] != block[i]
                 own = int(sid[i])
                 pairs = [(own, x) if own < x else (x, own) for x in sid[j[fits]].tolist()]
                 new = [k for k, p in enumerate(pairs) if p not in seen]
@@ -305,12 +347,43 @@ def _across(percent: int):
                 seen.update(pairs)
                 mine = sketches[own]
                 away = hamming(mine, [sketches[pairs[k][0] if pairs[k][1] == own else pairs[k][1]] for k in new])
-                found += [pairs[k] for k, x, m in zip(new, away.tolist(), most[fits][new].tolist(), strict=True) if x <= m]
-            if len(found) > 100_000:
+                yield from (pairs[k] for k, x, m in zip(new, away.tolist(), most[fits][new].tolist(), strict=True) if x <= m)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        held: list[pa.RecordBatch] = []  # rows whose last cell may go on
+
+        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in names]
+            sketches: dict[int, bytes] = {}
+            for p in parts:
+                sketches.update(zip(p.column("set_id").to_pylist(), p.column("parity").to_pylist(), strict=True))
+            found: list[tuple[int, int]] = []
+            for pair in pairs_in(columns, sketches, seen):
+                found.append(pair)
+                if len(found) > 100_000:
+                    yield record_batch(_PAIRS, a=[x for x, _ in found], b=[x for _, x in found])
+                    found.clear()
+            if found:
                 yield record_batch(_PAIRS, a=[x for x, _ in found], b=[x for _, x in found])
-                found.clear()
-        if found:
-            yield record_batch(_PAIRS, a=[x for x, _ in found], b=[x for _, x in found])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:3])
+            starts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            last = int(starts[-1]) if len(starts) else 0  # the batch's last cell begins there
+            if held and not last:
+                before = held[-1].slice(held[-1].num_rows - 1)
+                if any(before.column(c)[0].as_py() != batch.column(c)[0].as_py() for c in names[:3]):
+                    yield from flush(held)
+                    held = []
+            if last:
+                yield from flush([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -405,11 +478,15 @@ def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         "component", F.coalesce("component", "set_id")
     )
     split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    rest = known.join(split.select("key"), "key", "left_semi").select("key", "set_id", "n", "place", "component")
+    rest = written(known.join(split.select("key"), "key", "left_semi").select("key", "set_id", "n", "place", "component"))
+    hot = rest.join(hot_cells(rest), "key", "left_semi")
+    if not hot.isEmpty():
+        rest = written(rest.join(hot_cells(rest), "key", "left_anti").unionByName(rarest_shingles(hot, texts, percent)))
     parities = texts.mapInArrow(_parities, "set_id bigint, parity binary").dropDuplicates(["set_id"])
-    rest = rest.join(parities, "set_id")
+    rest = block_pairs(rest).join(parities, "set_id")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = written(rest.repartition(parts, "key").mapInArrow(_across(percent), "a bigint, b bigint").distinct())
+    dealt = rest.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    across = written(dealt.mapInArrow(_across(percent), "a bigint, b bigint").distinct())
     more = written(verified(across, texts, percent))
     if more.limit(1).count():
         groups = components(links.unionByName(more))
