@@ -99,6 +99,24 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0)
 
 
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.ranked import search_texts
+
+    return search_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.chat import formatted_digests, with_control_conversation
+
+    return formatted_digests(with_control_conversation(table(spark, sf_dir, "conversations")))
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warden.llm.middle import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_best_fit_packing": packing,
@@ -110,7 +128,11 @@ QUERIES = {
     "op8_warc": warc,
     "op9_ngram_join": ngram_join,
     "op10_fingerprints": fingerprints,
+    "op11_lexical_search": lexical_search,
+    "op12_chat_format": chat_format,
+    "op13_fill_in_middle": fill_in_middle,
 }
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: What SQL can express; the others are held to brute force, round trips or held-out accuracy by tests.
@@ -129,6 +151,39 @@ ORACLES = {
         SELECT page_id, payload_bytes, payload_digest,
           CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM m""",
+    "op11_lexical_search": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') AS t FROM documents),
+        c AS (SELECT count(*) AS nn, CAST(sum(len(t)) AS BIGINT) AS ll FROM d WHERE len(t) > 0),
+        p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS t FROM d) GROUP BY ALL),
+        w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t, nn),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS t FROM benchmark),
+        s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+              FROM q JOIN p USING (t) JOIN w USING (t), c GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+        WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10""",
+    "op12_chat_format": """
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS r(i)),
+        e AS (SELECT *, length(role || text) + 32 + length(role || text) - length(replace(role || text, chr(92), ''))
+          + len(regexp_extract_all(role || chr(10) || text, '</?s>|\\[/?INST\\]|<</?SYS>>|<\\|(im_start|im_sep|im_end|endoftext|system|user|assistant'
+            || '|end|begin_of_text|start_header_id|end_header_id|eot_id)\\|>|<(unk|pad|bos|eos|start_of_turn|end_of_turn)>')) AS n FROM c),
+        g AS (SELECT conv_id, count(*) AS n_turns, CAST(sum(n) AS BIGINT) AS formatted_chars,
+          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss FROM e GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op13_fill_in_middle": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+              regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u FROM documents),
+        r AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+              CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+        c AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+              array_to_string(u[greatest(a, b) + 1:n], '') AS s FROM r)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+          CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c""",
     "op9_ngram_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
               '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
