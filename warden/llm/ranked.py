@@ -73,7 +73,6 @@ def term_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(), owner[full.to_numpy(zero_copy_only=False)]
 
 
-@F.arrow_udf("bigint")
 def number_of_terms(texts: pa.Array) -> pa.Array:
     """Terms of each text, with repeats; a library call over a batch of texts, several times as fast as the JVM's patterns."""
     return pc.count_substring_regex(texts, TERM).cast(pa.int64())
@@ -150,7 +149,7 @@ def build(documents: DataFrame, path: str | None = None) -> Index:
     rows, or one text repeated, is split); each task writes segments of what it gets.
     """
     spark = documents.sparkSession
-    docs = id_and_text(documents).withColumn("n", number_of_terms("text")).filter("n > 0")
+    docs = id_and_text(documents).withColumn("n", F.arrow_udf(number_of_terms, "bigint")("text")).filter("n > 0")
     total = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     index = Index(path or f"{shared_folder(spark)}/index", total.documents, total.terms)
     m = F.expr(f"{100 - LENGTH_SHARE} + ({LENGTH_SHARE} * n * {index.documents}L) div {max(index.terms, 1)}L")
