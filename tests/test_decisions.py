@@ -286,3 +286,33 @@ def test_plain_text_or_missing_environment(spark):
     for plan in ("compiled", "joined"):
         assert [e for e, _ in answers(engine, text, plan)] == ["PERMIT", "DENY"]
         assert [e for e, _ in answers(engine, df.drop("environment"), plan)] == ["DENY", "DENY"]
+
+
+INNER = ["*/pii/*", "*@x.com", "a*b.c*", "*.pdf", "s3://b/*/raw/*", "*/raw", "*[xy]/z", "lake*", "*", "*ab*", "s3://b/k", "*é/ü.*", "*a|*b"]
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_inner_text_routes_equal_brute_force(spark, limit, monkeypatch):
+    """Policies met by grams, folders and by every request, as a snapshot and as a table."""
+    rng = random.Random(11)
+    parts = ["pii", "raw", "x", "é", "ü.d", "z", "a.pdf", "k", "abb.c", "lake"]
+    rows = [
+        request(rng.choice(["u", "hr_a", "é"]) + "@" + rng.choice(["x.com", "xacom", "y.org"]),
+                rng.choice(["s3://b/", "lake", ""]) + "/".join(rng.choices(parts, k=rng.randrange(1, 4))), "read")
+        for _ in range(150)
+    ]
+    policies = []
+    for i in range(60):
+        target = {"resources": rng.sample(INNER, rng.randrange(3)), "subjects": rng.sample(["*@x.com", "hr_*", "*a@x*", "u@y.org", "*"], rng.randrange(3))}
+        policies.append({
+            "id": f"p{i}", "name": f"p{i}", "enabled": True, "priority": i % 7, "target": {k: v for k, v in target.items() if v},
+            "rules": [{"id": "r", "name": "r", "enabled": True, "effect": rng.choice(["PERMIT", "DENY"]), "conditions": []}],
+        })
+    engine = Engine(PolicySet.load(fx.policies(spark, policies), limit=limit))
+    df = frame(spark, rows)
+    assert answers(engine, df, "joined") == [brute.decide(r, policies) for r in rows]
+    pairs = {(r.request_id, r.policy_id) for r in engine.applicable(df).select("request_id", "policy_id").collect()}
+    assert engine.applicable(df).count() == len(pairs)
+    assert pairs == {(i, p["id"]) for i, r in enumerate(rows) for p in policies if brute.target(r, p["target"])}
+    routes = engine.policies.routed(["policy_id"])
+    assert routes.filter("__route LIKE '% gram %'").count() > 0

@@ -61,6 +61,42 @@ def classify(pattern: Column) -> Column:
     )
 
 
+# A pattern without any of these holds stars, dots and plain text alone: it always compiles.
+NOT_PLAIN = r"[\\^$|?+()\[\]{}]"
+
+# Grams: windows of a value in which one character, or none, is left open.  Form 0 keeps all characters, form n leaves
+# the n-th open.  A pattern of stars, dots and plain text matches only values that hold each of its grams.
+GRAM = 4
+_GRAM_FORMS = range(GRAM + 1)
+
+
+def _windows(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))  # overlapping, in one pass
+
+
+def pattern_grams(pattern: Column) -> Column:
+    """Grams (form digit and window) that every value matching the pattern holds; empty where none is sure.
+
+    Each star may stand for anything and each dot for one character, so a window lies between stars and holds a dot at most.
+    """
+    pieces = F.split(pattern, r"\*")
+    windows = F.flatten(F.transform(pieces, _windows))
+    marked = F.transform(windows, lambda w: F.concat(F.instr(w, ".").cast("string"), w))
+    clear = F.filter(marked, lambda g: F.length(F.replace(g, F.lit("."), F.lit(""))) >= GRAM)
+    return F.when(pattern.rlike(NOT_PLAIN), F.array().cast("array<string>")).otherwise(F.array_distinct(clear))
+
+
+def value_grams(value: Column, forms=_GRAM_FORMS) -> Column:
+    """Grams of a value in the given forms."""
+
+    def variants(w: Column) -> Column:
+        return F.array(*[
+            F.concat(F.lit(str(n)), w) if n == 0 else F.concat(F.lit(str(n)), F.overlay(w, F.lit("."), n, 1)) for n in forms
+        ])
+
+    return F.array_distinct(F.flatten(F.transform(_windows(value), variants)))
+
+
 def single_line(value: Column) -> Column:
     """Whether ``.*`` can run to the end of the value (it stops at line breaks)."""
     return ~value.rlike(_LINE_BREAK)

@@ -342,10 +342,13 @@ class Engine:
         Candidates are the policies whose route the key has; the full target
         test follows, and only what passes it goes on to the rules.
         """
-        routes = ps.routes_of(F.col(_RESOURCE), F.col(_ACTION), F.col(_SUBJECT))
-        candidates = keys.withColumn("__route", F.explode(routes)).join(
+        routes = self.policies.routes_of(F.col(_RESOURCE), F.col(_ACTION), F.col(_SUBJECT))
+        candidates = keys.withColumn("__met", routes).withColumn("__route", F.explode("__met")).join(
             self.policies.routed(self._policy_columns()), "__route"
         )
+        # of several routes of a policy that a key has, the first counts
+        several = (F.size("__routes") > 1) & (F.col("__route") != F.array_min(F.array_intersect("__routes", "__met")))
+        candidates = candidates.filter(~several).drop("__met", "__routes")
         state = self._target_state(F.col("resources"), F.col("actions"), F.col("subjects"))
         in_force = F.col("rank").isNotNull()
         if self.policies.versioned:

@@ -9,7 +9,9 @@ Answers do not depend on it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ NONE, PERMIT, DENY, SILENT, RULE_ERROR, TARGET_ERROR = range(6)
 EFFECT_CODES = {schemas.PERMIT: PERMIT, schemas.DENY: DENY, schemas.NOT_APPLICABLE: SILENT}
 UNROUTED = "*"
 _FOLDER, _SUBJECT, _ACTION = "resource ", "subject ", "action "
+_GRAMS = {"resources": "resource gram ", "subjects": "subject gram "}
 
 
 def effect_code(effect: Column) -> Column:
@@ -52,15 +55,6 @@ def folders_above(path: Column) -> Column:
     return F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
 
 
-def routes_of(resource: Column, action: Column, subject: Column) -> Column:
-    """The routes on which a request meets policies: its folders, its subject, its action, and ``*``."""
-    folders = F.transform(folders_above(resource), lambda f: F.concat(F.lit(_FOLDER), f))
-    return F.concat(
-        folders,
-        F.array(F.concat(F.lit(_SUBJECT), subject), F.concat(F.lit(_ACTION), action), F.lit(UNROUTED)),
-    )
-
-
 @dataclass
 class PolicySet:
     """Enabled policies with everything evaluation looks up."""
@@ -121,7 +115,7 @@ class PolicySet:
         self._set_lookups(
             names={c["attribute"] for c in conditions if not c["expression"] and c["attribute"] is not None},
             texts={c["expression"] for c in conditions if c["expression"]},
-            regexes={p["text"] for p in targets if p["kind"] == patterns.REGEX},
+            regexes={p["text"] for p in targets if p["kind"] == patterns.REGEX and re.search(patterns.NOT_PLAIN, p["text"])},
             matches={
                 c["expected"]["text"]
                 for c in conditions
@@ -130,7 +124,7 @@ class PolicySet:
         )
 
     def _read_table(self) -> None:
-        """The same for a distributed table: only distinct texts reach the driver."""
+        """The same for a distributed table: only distinct texts that must be tried or looked up reach the driver."""
         rules = self.table.select(F.explode("rules").alias("r"))
         conditions = rules.select(F.explode("r.conditions").alias("c")).select("c.*")
         targets = self.table.select(*_FACETS).unionByName(rules.select(*[f"r.{f}" for f in _FACETS]))
@@ -145,7 +139,7 @@ class PolicySet:
         self._set_lookups(
             names=distinct(conditions.filter(F.col("expression").isNull()), "attribute"),
             texts=distinct(conditions, "expression"),
-            regexes=distinct(listed.filter(F.col("kind") == patterns.REGEX), "text"),
+            regexes=distinct(listed.filter((F.col("kind") == patterns.REGEX) & F.col("text").rlike(patterns.NOT_PLAIN)), "text"),
             matches=distinct(
                 conditions.filter(F.col("operator") == "MATCHES").select(F.col("expected.text").alias("m")), "m"
             ),
@@ -177,14 +171,55 @@ class PolicySet:
     def broadcastable(self) -> bool:
         return self.rows is not None
 
-    def routed(self, columns: list[str]) -> DataFrame:
-        """Policies with one row for each route on which requests that they can match look for them.
+    @cached_property
+    def grams(self) -> dict[str, str]:
+        """Of a snapshot with policies that need them: target pattern to its rarest gram."""
+        if self.rows is None or not self._without_grams().filter(F.array_contains("__routes", UNROUTED)).limit(1).count():
+            return {}
+        return {r.text: r.gram for r in self._rarest_grams().collect()}  # one for each pattern at most
 
-        A policy with resources is met in the folders that all matches lie in;
-        nested folders of one policy are reduced to the outermost.  Without a
-        fixed folder it is met by its literal subjects, else by its literal
-        actions, else by every request.  A policy holding a pattern that does
-        not compile must be seen by all requests that can reach it.
+    def routes_of(self, resource: Column, action: Column, subject: Column) -> Column:
+        """The routes on which a request meets policies: its folders, subject and action, grams of both values, and ``*``.
+
+        Against a snapshot only the grams that some policy is met by are kept; else the join drops the others.
+        """
+        routes = [
+            _marked(_FOLDER, folders_above(resource)),
+            F.array(F.concat(F.lit(_SUBJECT), subject), F.concat(F.lit(_ACTION), action), F.lit(UNROUTED)),
+        ]
+        known = sorted(set(self.grams.values()))
+        if known:
+            forms = sorted({int(g[0]) for g in known})
+        for facet, value in (("resources", resource), ("subjects", subject)):
+            if known:
+                grams = F.filter(patterns.value_grams(value, forms), lambda g: g.isin(*known))
+            elif self.rows is None:
+                grams = patterns.value_grams(value)
+            else:
+                continue
+            routes.append(_marked(_GRAMS[facet], grams))
+        return F.concat(*routes)
+
+    def _rarest_grams(self) -> DataFrame:
+        """``text, gram`` for every target pattern that has grams: the one that the fewest patterns share."""
+        listed = F.flatten(F.array_compact(F.array("resources", "subjects")))
+        texts = self.table.select(F.explode(F.transform(listed, lambda p: p["text"])).alias("text")).distinct()
+        grams = texts.select("text", F.explode(patterns.pattern_grams(F.col("text"))).alias("gram"))
+        rarity = grams.groupBy("gram").agg(F.count("*").alias("patterns"))
+        least = F.min(F.struct("patterns", "gram"))
+        return grams.join(rarity, "gram").groupBy("text").agg(least.alias("least")).select("text", F.col("least.gram").alias("gram"))
+
+    def _sound(self, facet: str) -> Column:
+        if not self.bad_patterns:
+            return F.lit(True)
+        return F.forall(facet, lambda p: (p["kind"] != patterns.REGEX) | self.not_bad(p["text"], self.bad_patterns))
+
+    def _without_grams(self) -> DataFrame:
+        """The policies with ``__routes`` by folder, subject or action, ``*`` where there is none.
+
+        A policy with resources is met in the folders that all matches lie in; nested folders of one policy are reduced
+        to the outermost.  Without a fixed folder it is met by its literal subjects, else by its literal actions.  A
+        policy holding a pattern that does not compile must be seen by all requests that can reach it.
         """
         folders = F.array_distinct(F.transform("resources", lambda p: folder_of(p["lead"])))
         lead_routes = F.filter(
@@ -192,11 +227,6 @@ class PolicySet:
             lambda f: ~F.exists(folders, lambda other: (other != f) & F.startswith(f, other)),
         )
 
-        def sound(facet: str) -> Column:
-            if not self.bad_patterns:
-                return F.lit(True)
-            return F.forall(facet, lambda p: (p["kind"] != patterns.REGEX) | self.not_bad(p["text"], self.bad_patterns))
-
         def literal(facet: str) -> Column:
             return F.col(facet).isNotNull() & F.forall(facet, lambda p: p["kind"] == patterns.LITERAL)
 
@@ -205,19 +235,60 @@ class PolicySet:
 
         # Facets are tested in the order resource, action, subject: a broken pattern in an earlier one is reached
         # by requests that a later one does not match.
-        steady = F.col("resources").isNull() | sound("resources")
-        steady_actions = steady & (F.col("actions").isNull() | sound("actions"))
-        by_folder = F.col("resources").isNotNull() & sound("resources") & ~F.array_contains(lead_routes, UNROUTED)
+        steady = F.col("resources").isNull() | self._sound("resources")
+        steady_actions = steady & (F.col("actions").isNull() | self._sound("actions"))
+        by_folder = F.col("resources").isNotNull() & self._sound("resources") & ~F.array_contains(lead_routes, UNROUTED)
         routes = (
             F.when(by_folder, F.transform(lead_routes, lambda f: F.concat(F.lit(_FOLDER), f)))
             .when(steady_actions & literal("subjects"), named("subjects", _SUBJECT))
             .when(steady & literal("actions"), named("actions", _ACTION))
             .otherwise(F.array(F.lit(UNROUTED)))
         )
-        table = self.table.select(F.explode(routes).alias("__route"), *columns)
+        return self.table.withColumn("__routes", routes).withColumn("__may", F.struct(
+            self._sound("resources").alias("resources"),
+            (steady_actions & F.coalesce(self._sound("subjects"), F.lit(False))).alias("subjects"),
+        ))
+
+    def _by_grams(self, policies: DataFrame) -> DataFrame:
+        """Routes by the rarest gram of every pattern, for policies that have no other route.
+
+        By resources first, else by subjects; each pattern of the facet must have a gram (or, of resources, a folder).
+        """
+        rarest = self._rarest_grams()
+        if self.broadcastable():
+            rarest = F.broadcast(self.spark.createDataFrame(sorted(self.grams.items()), "text string, gram string"))
+        routed = policies
+        for facet in ("resources", "subjects"):
+            open_yet = F.array_contains("__routes", UNROUTED) & F.col(f"__may.{facet}") & F.col(facet).isNotNull()
+            each = routed.select("__row", F.explode(F.when(open_yet, F.col(facet))).alias("p"))
+            folder = folder_of(F.col("p.lead")) if facet == "resources" else F.lit(UNROUTED)
+            each = each.select("__row", F.when(folder != UNROUTED, F.concat(F.lit(_FOLDER), folder)).alias("folder"), F.col("p.text").alias("text"))
+            each = each.join(rarest, "text", "left")
+            route = F.coalesce("folder", F.concat(F.lit(_GRAMS[facet]), "gram"))
+            found = each.groupBy("__row").agg(
+                F.collect_set(route).alias("__found"), F.max(route.isNull()).alias("__lacks")
+            ).filter("NOT __lacks").drop("__lacks")  # as many routes as one policy has patterns
+            routed = routed.join(found, "__row", "left")
+            routed = routed.withColumn("__routes", F.coalesce("__found", "__routes")).drop("__found")
+        return routed
+
+    def routed(self, columns: list[str]) -> DataFrame:
+        """Policies with one row for each route on which requests that they can match look for them.
+
+        ``__route`` by folder, literal subject or action, else by the rarest gram of each pattern; a policy that has none
+        of these is met by every request.  ``__routes`` is all of them: one request can meet a policy on several.
+        """
+        table = self._without_grams()
+        if self.grams or not self.broadcastable():
+            table = self._by_grams(table.withColumn("__row", F.monotonically_increasing_id()))
+        table = table.select(F.explode("__routes").alias("__route"), "__routes", *columns)
         return F.broadcast(table) if self.broadcastable() else table
 
 
+def _marked(mark: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(mark), v))
+
+
 _FACETS = ("resources", "actions", "subjects")
 
 

@@ -248,6 +248,24 @@ FROM customer
 """
 
 # Requests against those folders: one per customer order.
+# A policy for each customer by text inside a path or a name alone, and requests that meet them.
+INNER_POLICIES = """
+SELECT '{{"id":"w' || c_custkey || '","name":"Inner ' || c_custkey || '","enabled":true,"defaultEffect":"DENY","target":{{'
+    || CASE WHEN c_custkey % 2 = 0 THEN '"resources":["*/u' || c_custkey || '/*"]'
+            ELSE '"subjects":["*_u' || c_custkey || '@mail*.org","nobody*@' || c_custkey || '"]' END
+    || '}},"rules":[' || CASE WHEN c_acctbal > 0 THEN '{{"id":"r","name":"r","enabled":true,"effect":"PERMIT","conditions":[]}}' ELSE '' END
+    || ']}}' AS value, CAST(c_custkey AS INT) AS policy_ord
+FROM customer
+"""
+
+INNER_REQUESTS = """
+SELECT event_id AS request_id,
+  'p_u' || CAST(user_id AS VARCHAR(20)) || '@mail' || CAST(user_id % 7 AS VARCHAR(20)) || '.example.org' AS subject,
+  's3://lake/' || CAST(event_id % 13 AS VARCHAR(20)) || '/u' || CAST(user_id AS VARCHAR(20)) || '/' || event_type || '.parquet' AS resource,
+  'read' AS action, 's' AS session_id, ts AS request_ts
+FROM events
+"""
+
 FOLDER_REQUESTS = """
 SELECT o_orderkey AS request_id,
   CASE o_custkey % 4 WHEN 0 THEN 'hr_u' WHEN 1 THEN 'finance_u' WHEN 2 THEN 'manager_u' ELSE 'svc_u' END
@@ -276,3 +294,13 @@ def subject_policies(spark: SparkSession, sf: str) -> DataFrame:
 def folder_requests(spark: SparkSession, sf: str) -> DataFrame:
     df = select(spark, sf, FOLDER_REQUESTS, "orders")
     return df.withColumn("request_ts", F.col("request_ts").cast("timestamp"))
+
+
+def inner_policies(spark: SparkSession, sf: str) -> DataFrame:
+    documents = spark.sql(INNER_POLICIES.replace("FROM customer", "FROM {source}"), source=table(spark, sf, "customer"))
+    return parse_policy_rows(documents, "value", "policy_ord")[0]
+
+
+def inner_requests(spark: SparkSession, sf: str) -> DataFrame:
+    df = select(spark, sf, INNER_REQUESTS, "events")
+    return df.withColumn("request_ts", F.col("request_ts").cast("timestamp"))

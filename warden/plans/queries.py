@@ -123,6 +123,20 @@ def decisions_policy_per_subject(spark, sf):
     return found.select("request_id", "effect", F.when(error, F.lit("error")).otherwise(F.col("reason")).alias("reason"))
 
 
+@register(
+    "decisions_wildcard_policies",
+    f"""WITH r AS ({fx.INNER_REQUESTS}) SELECT request_id,
+        CASE WHEN c_custkey IS NULL THEN 'NOT_APPLICABLE' WHEN c_acctbal > 0 THEN 'PERMIT' ELSE 'DENY' END AS effect,
+        CASE WHEN c_custkey IS NULL THEN 'No applicable policies' WHEN c_acctbal > 0 THEN 'Access granted by policy: Inner ' || c_custkey
+          ELSE 'Access denied by policy: Inner ' || c_custkey END AS reason
+      FROM r LEFT JOIN customer ON CAST(regexp_extract(subject, '_u([0-9]+)@', 1) AS BIGINT) = c_custkey""",
+)
+def decisions_wildcard_policies(spark, sf):
+    """A policy for each customer, told apart by text inside a path or a name: met by its rarest gram."""
+    found = Engine.over(fx.inner_policies(spark, sf)).evaluate(fx.inner_requests(spark, sf), "joined")
+    return found.select("request_id", "effect", "reason")
+
+
 _BROKEN = {
     "id": "broken", "name": "broken", "enabled": True, "priority": 50, "target": {"actions": ["read"]},
     "rules": [fx._rule("r", "r", "DENY", [], {"resources": ["s3://public-datasets/*", "s3://data-lake/[*"]})],
