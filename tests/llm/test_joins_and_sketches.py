@@ -95,6 +95,27 @@ def test_one_document_of_each_group_stays(documents):
     assert kept == sorted({c for _, _, c in brute_components(rows)})
 
 
+def test_rows_without_or_with_one_id_cost_a_row_each(documents, monkeypatch):
+    """Many rows that share an id, or have none, meet by their texts: nothing grows with their product."""
+    rows = [(None, f"a{i} b c d e f g h{i % 9} text of its own") for i in range(120)] + [(7, f"q{i // 2} r s t u v w x y z") for i in range(80)]
+    seen, keep = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, *a: seen.append(keep(df, *a)) or seen[-1])
+    got = [tuple(r) for r in ngram_join.linked(documents(rows)).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(got, key=key) == sorted(brute_components(rows), key=key)
+    assert all(df.count() <= len(rows) for df in seen if "text" in df.columns)
+
+
+def test_rows_without_an_id_are_deduplicated(documents):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (None, text), (4, text.upper()), (5, text), (6, "other words that stand alone in here"), (6, text),
+            (None, ""), (None, None), (8, ""), (8, ""), (None, "no id but words of its own"), (None, "no id but words of its own")]
+    kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(documents(rows)).collect()]
+    assert sorted(kept, key=repr) == sorted(
+        [(4, text.upper()), (6, rows[4][1]), (None, ""), (None, None), (8, ""), (None, "no id but words of its own")], key=repr
+    )
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     for n in (5, 70, 300, 2000):

@@ -96,7 +96,9 @@ def set_id(shingles: np.ndarray) -> int:
 
 # --- sets of the documents -----------------------------------------------------------------------------------------
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("filled", pa.list_(pa.int32()))])
+_SETS = pa.schema(
+    [("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("filled", pa.list_(pa.int32()))]
+)
 
 
 def _sets(percent: int):
@@ -105,7 +107,7 @@ def _sets(percent: int):
         for batch in chunks(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
             yield record_batch(
-                _SETS, doc_id=batch.column("doc_id"), n=[len(s) for s in sets],
+                _SETS, doc_id=batch.column("doc_id"), row=batch.column("row"), n=[len(s) for s in sets],
                 set_id=[set_id(s) if len(s) else None for s in sets],
                 filled=[[len(sketch(s, b)) for b in bands(len(s), percent)] if len(s) else [] for s in sets],
             )
@@ -452,26 +454,21 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
-
-    Documents link when the Jaccard similarity of their sets of distinct five-word shingles is at least ``percent``;
-    component_id is the smallest doc_id reachable by links, the document's own included. Fewer than five words are one
-    shingle. Null or empty texts, and texts of white space, have none and link with nothing. Rows with one doc_id are
-    documents of their own; a null doc_id is never smallest unless all in a component are null. No documents: no rows.
-    Equal sets (copies) are one set from the start: they cost their row and no more.
-    """
+def classes(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """doc_id, row (hash of the text), n, component of every document; the component of texts without a shingle is null."""
     docs = id_and_text(documents)
-    sets = written(docs.mapInArrow(_sets(percent), "doc_id bigint, n bigint, set_id bigint, filled array<int>"))
+    rows = docs.withColumn("row", F.xxhash64("text"))
+    sets = written(rows.mapInArrow(_sets(percent), "doc_id bigint, row bigint, n bigint, set_id bigint, filled array<int>"))
     distinct = sets.filter("set_id is not null").groupBy("set_id").agg(
-        F.first("n").alias("n"), F.first("filled").alias("filled"), F.min("doc_id").alias("doc_id")
+        F.first("n").alias("n"), F.first("filled").alias("filled"), F.min(F.struct("doc_id", "row")).alias("one")
     )
     cells = written(joined_cells(docs, distinct, percent))
     met = cells.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     cells = written(cells.join(met, "key", "left_semi"))
-    needed = cells.select("set_id").distinct().join(distinct.select("set_id", "doc_id"), "set_id")
-    # Rows may share a doc_id, or lack one; the comparison takes those whose shingles make the set.
-    texts = written(docs.join(needed, docs["doc_id"].eqNullSafe(needed["doc_id"])).select("set_id", "text"))
+    needed = cells.select("set_id").distinct().join(distinct.select("set_id", "one.doc_id", "one.row"), "set_id")
+    # Each set takes the text of one row. Rows may share a doc_id, or lack one: the text's hash tells them apart.
+    same = rows["doc_id"].eqNullSafe(needed["doc_id"]) & (rows["row"] == needed["row"])
+    texts = written(rows.join(needed, same).select("set_id", "text"))
     links = written(verified(written(leader_pairs(cells, percent)), texts, percent))
     groups = components(links)
     known = cells.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
@@ -491,7 +488,19 @@ def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     if more.limit(1).count():
         groups = components(links.unionByName(more))
     of_set = groups.withColumnRenamed("node", "set_id")
-    rows = sets.join(of_set, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    return sets.join(of_set, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+
+def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document.
+
+    Documents link when the Jaccard similarity of their sets of distinct five-word shingles is at least ``percent``;
+    component_id is the smallest doc_id reachable by links, the document's own included. Fewer than five words are one
+    shingle. Null or empty texts, and texts of white space, have none and link with nothing. Rows with one doc_id are
+    documents of their own; a null doc_id is never smallest unless all in a component are null. No documents: no rows.
+    Equal sets (copies) are one set from the start: they cost their row and no more.
+    """
+    rows = classes(documents, percent)
     smallest = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(smallest, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
@@ -499,13 +508,22 @@ def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """The rows of ``documents``, one of each component: that with the smallest doc_id, once if it is repeated.
+    """The rows of ``documents``, one of each component: that with the smallest doc_id, then the smallest hash of its text.
 
-    Rows without a doc_id cannot be told apart by it and stay.
+    Rows without a doc_id count like others and come last. Rows without a word link with nothing and stay. Of rows that
+    share doc_id and text one stays, but for rows that have neither a doc_id nor a word, which all stay.
     """
-    found = linked(documents.filter("doc_id is not null"), percent)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = documents.join(kept, "doc_id", "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    first = rows.withColumn("__number", number).filter("__number = 1").drop("__number")
-    return first.unionByName(documents.filter("doc_id is null"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.withColumns({"__row": F.xxhash64(text), "__id": F.col("doc_id").cast("bigint")})
+    nothing = F.col("__id").isNull() & ~text.rlike(r"[^\x20\x09-\x0D]")
+    found = classes(rows.filter(~nothing), percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    kept = found.filter("component is not null").groupBy("component").agg(first).select("first.doc_id", "first.row")
+    kept = kept.unionByName(found.filter("component is null").select("doc_id", "row").distinct())
+    chosen = rows.filter(~nothing).join(
+        kept.select(F.col("doc_id").alias("__kept"), F.col("row").alias("__kept_row")),
+        F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__row") == F.col("__kept_row")), "left_semi",
+    )
+    number = F.row_number().over(Window.partitionBy("__id", "__row").orderBy(F.lit(1)))
+    once = chosen.withColumn("__number", number).filter("__number = 1")
+    return once.select(*documents.columns).unionByName(rows.filter(nothing).select(*documents.columns))
