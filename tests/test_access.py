@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import json
 
 import pytest
@@ -60,8 +61,9 @@ def test_rules_from_files(spark, tmp_path):
 def test_move_needs_three_grants(spark):
     everything = spark.createDataFrame(
         [("s", op, op, "any", None, None) for op in ("read", "write", "delete")], ns.RULES)
-    moves = spark.createDataFrame([("u", "s3://b/1", "s3://b/9"), ("u", "s3://b/1", "s3://b/2"), ("u", "s3://b/7", "s3://b/8")],
-                                  "username string, src string, dst string")
+    moves = spark.createDataFrame(
+        [(1, "u", "s3://b/1", "s3://b/9"), (2, "u", "s3://b/1", "s3://b/2"), (3, "u", "s3://b/7", "s3://b/8")],
+        "request_id long, username string, src string, dst string")
     stock = spark.createDataFrame([("s3://b/1",), ("s3://b/2",)], "path string")
     plan = gr.plan_moves(moves, stock, ns.NamespaceRules.load(everything))
     assert {r["dst"]: r["outcome"] for r in plan.collect()} == {
@@ -70,6 +72,40 @@ def test_move_needs_three_grants(spark):
     assert gr.plan_moves(moves, stock, fewer).filter("outcome = 'move'").count() == 0
 
 
+def test_settled_moves_can_be_made_in_their_steps(spark):
+    """Steps made in order never write over a path; what is refused waits for a path that stays, or in a circle."""
+    rng = random.Random(4)
+    stock = set(range(60))
+    wanted = [(i, rng.randrange(60), rng.randrange(90)) for i in range(90)] + [(200 + i, 300 + i, 301 + i) for i in range(40)]
+    stock |= set(range(300, 340))
+    wanted = [w for w in wanted if w[1] != w[2]]
+    df = spark.createDataFrame([(i, f"p{a}", f"p{b}", b in stock) for i, a, b in wanted], "id long, src string, dst string, dst_exists boolean")
+    found = {r["id"]: r for r in gr.settle_moves(df).collect()}
+    assert set(found) == {w[0] for w in wanted}
+    made = sorted((found[i]["step"], i, a, b) for i, a, b in wanted if found[i]["outcome"] == "move")
+    assert len({m[2] for m in made}) == len({m[3] for m in made}) == len(made) and made[-1][0] == 40
+    now = set(stock)
+    for _, _, a, b in made:
+        assert a in now and b not in now
+        now = now - {a} | {b}
+    source = {a for i, a, b in wanted}
+    first = {}
+    for i, a, b in sorted(wanted):
+        if b not in stock or b in source:
+            first.setdefault(a, (i, b))
+    target = {}
+    for a, (i, b) in sorted(first.items(), key=lambda x: x[1]):
+        target.setdefault(b, (i, a))
+    waits = {a: b for b, (i, a) in target.items()}
+    for b, (i, a) in target.items():
+        seen, at = {a}, b
+        while at in waits and at not in seen:
+            seen.add(at)
+            at = waits[at]
+        want = "cycle" if at in seen else ("target exists" if at in stock else "move")
+        assert found[i]["outcome"] == want, (i, a, b)
+
+
 def test_covering_grant_prefers_the_one_that_lasts(spark):
     t = lambda h: dt.datetime(2024, 1, 1, h)
     grants = spark.createDataFrame([(1, "p", "read", t(0), t(9)), (2, "p", "read", t(1), t(2)), (3, "p", "write", t(0), t(9))],

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from warden.functions import paths
 from warden.operators.namespaces import NamespaceRules
 from warden.operators.sequences import micros, running_max
+from warden.session import written
 
 # Operations, default lifetime and messages.
 OPERATIONS = ("read", "write", "delete")
@@ -109,11 +110,20 @@ def _no_grant() -> Column:
     return F.lit(None).cast("struct<expires_at:timestamp,grant_id:bigint>")
 
 
-def plan_moves(moves: DataFrame, inventory: DataFrame, rules: NamespaceRules) -> DataFrame:
-    """Moves ``(username, src, dst)`` with the grants they need and the verdict.
+# Outcomes of moves.
+MOVE = "move"
+_NO_SOURCE, _TARGET_EXISTS, _REFUSED = "source does not exist", "target exists", "access denied"
+_SOURCE_TAKEN, _TARGET_TAKEN, _CYCLE = "source taken by another move", "target taken by another move", "cycle"
 
-    A move reads and deletes the source and writes the target.  It is refused
-    if the source does not exist, the target does, or a grant is missing.
+
+def plan_moves(moves: DataFrame, inventory: DataFrame, rules: NamespaceRules, order: str = "request_id") -> DataFrame:
+    """Moves ``(username, src, dst)`` with the grants they need, the ``outcome``, and the ``step`` in which to make them.
+
+    A move reads and deletes the source and writes the target, so it needs three grants.  Of the moves that have them and
+    an existing source, the first by ``order`` (a column without repeats) has the source, and of those that have their
+    source, the first has the target.  A target that exists must be moved away first, by a move that is itself made:
+    such chains are made from their free end, one step a move.  Moves that wait for each other in a circle, or for a
+    target that stays, are refused.  A move to an existing path that nobody moves claims nothing.
     """
 
     def with_verdict(df: DataFrame, operation: str, column: str, name: str) -> DataFrame:
@@ -130,10 +140,55 @@ def plan_moves(moves: DataFrame, inventory: DataFrame, rules: NamespaceRules) ->
     )
     for operation, column, name in (("read", "src", "may_read"), ("write", "dst", "may_write"), ("delete", "src", "may_delete")):
         found = with_verdict(found, operation, column, name)
+    may = F.col("may_read") & F.col("may_write") & F.col("may_delete")
+    refused = (
+        F.when(~F.col("src_exists"), F.lit(_NO_SOURCE))
+        .when(~may, F.lit(_REFUSED))
+        .when(F.col("src") == F.col("dst"), F.lit(_TARGET_EXISTS))
+    )
+    found = written(found.withColumn("__refused", refused))
+    settled = settle_moves(found.filter("__refused IS NULL").select(F.col(order).alias("id"), "src", "dst", "dst_exists"))
+    joined = found.join(settled.select(F.col("id").alias(order), "outcome", "step"), order, "left")
+    return joined.withColumn("outcome", F.coalesce("__refused", "outcome")).drop("__refused")
+
+
+def settle_moves(wanted: DataFrame) -> DataFrame:
+    """``id, outcome, step`` of allowed moves ``(id, src, dst, dst_exists)`` with existing sources.
+
+    Every source and every target is given to one move by partial aggregation, so a path that most moves want is no hot
+    key.  What is left is chains and circles: each move waits for the one, at most, that frees its target.  Waiting is
+    followed by doubling, so a chain of n moves takes log2(n) rounds; what waits longer than all moves is a circle.
+    """
+    sources = wanted.select(F.col("src").alias("dst")).distinct()
+    stays = wanted.filter("dst_exists").join(sources, "dst", "left_anti").select("id").withColumn("__stays", F.lit(True))
+    open_yet = wanted.join(stays, "id", "left").withColumn("__stays", F.coalesce("__stays", F.lit(False)))
+    having = open_yet.filter(~F.col("__stays")).groupBy("src").agg(F.min(F.struct("id", "dst", "dst_exists")).alias("m"))
+    having = having.select("m.id", "src", "m.dst", "m.dst_exists")
+    made = having.groupBy("dst").agg(F.min(F.struct("id", "src", "dst_exists")).alias("m")).select("m.id", "m.src", "dst", "m.dst_exists")
+    having, made = written(having.select("id")), written(made)
+    frees = made.select(F.col("src").alias("dst"), F.col("id").alias("next"))
+    state = made.join(frees, "dst", "left").select(
+        "id", "next", F.lit(1).alias("step"), F.when(F.col("next").isNull(), ~F.col("dst_exists")).alias("free")
+    )
+    ended, waiting = written(state.filter("next IS NULL")), written(state.filter("next IS NOT NULL"))
+    left = waiting.count()
+    for _ in range(left.bit_length() + 1):
+        if not left:
+            break
+        both = ended.unionByName(waiting)
+        ahead = both.select(F.col("id").alias("next"), F.col("next").alias("then"), F.col("step").alias("more"), F.col("free").alias("end"))
+        further = written(waiting.join(ahead, "next").select(
+            "id", F.col("then").alias("next"), (F.col("step") + F.col("more")).alias("step"), F.col("end").alias("free")
+        ))
+        ended = written(ended.unionByName(further.filter("next IS NULL")))
+        waiting = further.filter("next IS NOT NULL")
+        left = waiting.count()
+    fate = ended.select("id", "step", F.when(F.col("free"), F.lit(MOVE)).otherwise(F.lit(_TARGET_EXISTS)).alias("fate"))
+    fate = fate.unionByName(waiting.select("id", "step", F.lit(_CYCLE).alias("fate")))
+    named = open_yet.select("id", "__stays").join(having.withColumn("has", F.lit(True)), "id", "left").join(fate, "id", "left")
     outcome = (
-        F.when(~F.col("src_exists"), F.lit("source does not exist"))
-        .when(F.col("dst_exists"), F.lit("target exists"))
-        .when(~(F.col("may_read") & F.col("may_write") & F.col("may_delete")), F.lit("access denied"))
-        .otherwise(F.lit("move"))
+        F.when(F.col("__stays"), F.lit(_TARGET_EXISTS))
+        .when(F.col("has").isNull(), F.lit(_SOURCE_TAKEN))
+        .otherwise(F.coalesce("fate", F.lit(_TARGET_TAKEN)))
     )
-    return found.withColumn("outcome", outcome)
+    return named.select("id", outcome.alias("outcome"), F.when(outcome == MOVE, F.col("step")).alias("step"))

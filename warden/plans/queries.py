@@ -783,11 +783,14 @@ def grant_at_access(spark, sf):
     f"""WITH {orc.NS_DECIDED}, moves AS (SELECT request_id, ns, account, path AS src,
         CASE WHEN request_id % 3 = 0 THEN path ELSE 's3://bucket/teama/moved/' || CAST(request_id % 50 AS VARCHAR) END AS dst
         FROM parts), stock AS (SELECT DISTINCT path FROM ns WHERE starts_with(path, 's3://bucket/')),
-      checked AS (SELECT m.*, src IN (SELECT path FROM stock) AS src_exists, dst IN (SELECT path FROM stock) AS dst_exists,
-        account IN ('spark-driver', 'spark-executor') AND ns = split_part(substr(src, 6), '/', 2)
-          AND ns = split_part(substr(dst, 6), '/', 2) AS ok FROM moves m)
-      SELECT CASE WHEN NOT src_exists THEN 'source does not exist' WHEN dst_exists THEN 'target exists'
-        WHEN NOT ok THEN 'access denied' ELSE 'move' END AS outcome, count(*) AS moves FROM checked GROUP BY ALL""",
+      checked AS (SELECT m.*, src IN (SELECT path FROM stock) AS src_exists, account IN ('spark-driver', 'spark-executor')
+          AND ns = split_part(substr(src, 6), '/', 2) AND ns = split_part(substr(dst, 6), '/', 2) AS ok FROM moves m),
+      judged AS (SELECT *, src_exists AND ok AND src <> dst AS good FROM checked),
+      s AS (SELECT *, good AND request_id = min(request_id) FILTER (good) OVER (PARTITION BY src) AS has FROM judged),
+      d AS (SELECT *, has AND request_id = min(request_id) FILTER (has) OVER (PARTITION BY dst) AS made FROM s)
+      SELECT CASE WHEN NOT src_exists THEN 'source does not exist' WHEN NOT ok THEN 'access denied' WHEN src = dst THEN 'target exists'
+        WHEN NOT has THEN 'source taken by another move' WHEN NOT made THEN 'target taken by another move' ELSE 'move' END AS outcome,
+        count(*) AS moves FROM d GROUP BY ALL""",
 )
 def move_plan(spark, sf):
     requests = fx.ns_requests(spark, sf)
@@ -796,12 +799,53 @@ def move_plan(spark, sf):
         "CASE WHEN request_id % 3 = 0 THEN path ELSE concat('s3://bucket/teama/moved/', request_id % 50) END AS dst",
     )
     inventory = requests.filter(F.startswith("path", F.lit("s3://bucket/"))).select("path")
-    movers = spark.createDataFrame(
-        [("movers", "own-delete", "delete", "namespace", None, ["spark-driver", "spark-executor"])], ns.RULES)
-    planned = gr.plan_moves(moves, inventory, ns.NamespaceRules.load(ns.standard_rules(spark).unionByName(movers)))
+    planned = gr.plan_moves(moves, inventory, _movers(spark))
     return planned.groupBy("outcome").agg(F.count("*").alias("moves"))
 
 
+def _movers(spark):
+    own = spark.createDataFrame(
+        [("movers", "own-delete", "delete", "namespace", None, ["spark-driver", "spark-executor"])], ns.RULES)
+    return ns.NamespaceRules.load(ns.standard_rules(spark).unionByName(own))
+
+
+# Customers' files move along: runs of four files step aside for each other, twos swap places, some go where others stay.
+_FILE_MOVES = """SELECT c_custkey AS request_id, CASE WHEN c_custkey % 17 = 0 THEN 'alice' ELSE 'system:serviceaccount:teama:spark-driver' END AS username,
+    's3://bucket/teama/f' || CAST(c_custkey - c_custkey % 13 % 2 AS VARCHAR(20)) AS src, 's3://bucket/teama/' ||
+    CASE WHEN c_custkey % 10 < 4 THEN 'f' || CAST(c_custkey + 1 AS VARCHAR(20))
+         WHEN c_custkey % 10 IN (5, 6) THEN 'f' || CAST(c_custkey - c_custkey % 10 + 11 - c_custkey % 10 AS VARCHAR(20))
+         WHEN c_custkey % 10 = 7 THEN 'g' || CAST(c_nationkey AS VARCHAR(20))
+         ELSE 'f' || CAST(c_custkey * 7 % 1999 AS VARCHAR(20)) END AS dst
+  FROM customer"""
+
+
+@register(
+    "move_plan_steps",
+    f"""WITH RECURSIVE moves AS ({_FILE_MOVES}),
+      stock AS (SELECT 's3://bucket/teama/f' || c_custkey AS path FROM customer WHERE c_custkey % 10 <> 4),
+      judged AS (SELECT *, src IN (SELECT path FROM stock) AS src_exists, dst IN (SELECT path FROM stock) AS dst_exists,
+        username <> 'alice' AS ok FROM moves),
+      good AS (SELECT * FROM judged WHERE src_exists AND ok AND src <> dst),
+      live AS (SELECT * FROM good WHERE NOT dst_exists OR dst IN (SELECT src FROM good)),
+      s AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY src ORDER BY request_id) = 1),
+      d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY dst ORDER BY request_id) = 1),
+      walk AS (SELECT request_id, src, 1 AS step, NOT dst_exists AS free FROM d WHERE dst NOT IN (SELECT src FROM d)
+        UNION ALL SELECT d.request_id, d.src, step + 1, free FROM walk JOIN d ON d.dst = walk.src)
+      SELECT j.request_id, CASE WHEN NOT src_exists THEN 'source does not exist' WHEN NOT ok THEN 'access denied'
+          WHEN j.src = j.dst OR j.request_id NOT IN (SELECT request_id FROM live) THEN 'target exists'
+          WHEN j.request_id NOT IN (SELECT request_id FROM s) THEN 'source taken by another move'
+          WHEN j.request_id NOT IN (SELECT request_id FROM d) THEN 'target taken by another move'
+          WHEN free THEN 'move' WHEN NOT free THEN 'target exists' ELSE 'cycle' END AS outcome,
+        CASE WHEN free THEN step END AS step
+      FROM judged j LEFT JOIN walk USING (request_id)""",
+)
+def move_plan_steps(spark, sf):
+    """Moves that wait for each other: chains in steps, circles refused, every path given to one move."""
+    moves = spark.sql(_FILE_MOVES.replace("FROM customer", "FROM {source}"), source=fx.table(spark, sf, "customer"))
+    stock = fx.table(spark, sf, "customer").filter("c_custkey % 10 <> 4").selectExpr("concat('s3://bucket/teama/f', c_custkey) AS path")
+    return gr.plan_moves(moves, stock, _movers(spark)).select("request_id", "outcome", "step")
+
+
 # --- sessions ---------------------------------------------------------------------------------
 
 @register(
