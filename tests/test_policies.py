@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -6,8 +7,11 @@ from pyspark.sql import functions as F
 from warden.functions import conditions as co
 from warden.functions import expressions as ex
 from warden.functions import patterns as pa
+from warden.operators.evaluate import Engine
+from warden.operators.policyset import PolicySet
 from warden.plans import fixtures as fx
 from warden.sources import policies as ps
+from warden.sources.store import Conflict, Refreshed, VersionedStore
 
 
 def write(folder, name, content):
@@ -100,3 +104,47 @@ def test_as_of(spark):
     versions = ps.with_validity(fx.policies(spark, fx.POLICY_3_VERSIONS))
     at = lambda day: [r["version"] for r in ps.as_of(versions, F.lit(day).cast("timestamp")).collect()]
     assert (at("2023-12-31"), at("2024-01-01"), at("2024-01-15"), at("2024-02-01")) == ([], ["1.0"], ["2.0"], ["3.0"])
+
+
+# --- the store that lasts -------------------------------------------------------
+
+def test_store_keeps_every_commit_and_refuses_late_writers(spark, tmp_path):
+    path = str(tmp_path / "store")
+    first, late = VersionedStore(spark, path), VersionedStore(spark, path)
+    assert first.latest() == 0 and first.read().count() == 0
+    assert first.commit(fx.policies(spark), 0, "import") == 1
+    assert late.delete(fx.policies(spark).limit(1), parent=1, author="x") == 2
+    with pytest.raises(Conflict):
+        first.set_enabled(fx.POLICY_4["id"], False, parent=1)
+    # a writer that did not see the other commit is refused by the file itself
+    first.latest = lambda: 1
+    with pytest.raises(Conflict):
+        first.commit(fx.policies(spark), 1, "stale")
+    del first.latest
+    assert first.rollback(1) == 3 and VersionedStore(spark, path).read().count() == fx.policies(spark).count()
+    assert [VersionedStore(spark, path).read(n).count() for n in (1, 2, 3)] == [6, 5, 6]
+    assert {r["change"] for r in first.changes(1, 2).collect()} == {"removed"} and first.changes(1, 3).count() == 0
+    assert [(r["commit"], r["parent"], r["author"]) for r in first.history().orderBy("commit").collect()] == [(1, 0, ""), (2, 1, "x"), (3, 2, "")]
+    first.rollback(2, at=dt.datetime(2999, 1, 1))
+    assert first.commit_before(dt.datetime(2998, 1, 1)) == 3 and first.commit_before(dt.datetime(2000, 1, 1)) == 0
+    with pytest.raises(LookupError):
+        first.read(99)
+
+
+def test_refreshed_engine_prepares_changes_alone(spark, tmp_path, sf, monkeypatch):
+    store = VersionedStore(spark, str(tmp_path / "store"))
+    store.commit(fx.policies(spark), 0, "import")
+    live, requests = Refreshed(store), fx.requests(spark, sf).limit(300)
+    loads = []
+    load = PolicySet.load.__func__
+    monkeypatch.setattr(PolicySet, "load", classmethod(lambda cls, p, *a, **k: loads.append(p.count()) or load(cls, p, *a, **k)))
+    for edit in (None, lambda: store.set_enabled(fx.POLICY_1["id"], False), None, lambda: store.upsert(fx.policies(spark, [fx.POLICY_1])),
+                 lambda: store.delete(fx.policies(spark, [fx.POLICY_2])), lambda: store.rollback(1)):
+        if edit is not None:
+            edit()
+        got = live.engine().evaluate(requests).select("request_id", "effect", "reason")
+        want = Engine(load(PolicySet, store.read())).evaluate(requests).select("request_id", "effect", "reason")
+        assert sorted(got.collect()) == sorted(want.collect())
+    # going back, the policy that was put in again differs by its times
+    assert live.prepared == 5 and loads == [6, 1, 1, 0, 2]
+

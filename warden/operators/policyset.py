@@ -70,6 +70,7 @@ class PolicySet:
     bad_patterns: frozenset[str] = frozenset()
     bad_matches: frozenset[str] = frozenset()
     terms: int = 0
+    tried: dict = field(default_factory=dict)  # expression or regular expression -> its error, or whether it compiles
 
     @classmethod
     def load(cls, policies: DataFrame, resolver: Resolver | None = None, limit: int | None = None) -> PolicySet:
@@ -92,15 +93,40 @@ class PolicySet:
         routes = sum(F.greatest(F.lit(1), F.size(f)) for f in ("resources", "subjects", "actions"))
         size = F.length(F.to_json(F.struct(*enabled.columns))) * routes
         if (enabled.agg(F.sum(size)).first()[0] or 0) <= limit:
-            rows = sorted(enabled.collect(), key=lambda r: r["rank"])
-            table = spark.createDataFrame(rows, enabled.schema)
-            found = cls(spark, table, rows, resolver, versioned)
+            found = cls._snapshot(spark, enabled.collect(), enabled.schema, resolver, versioned)
             found._read_snapshot()
         else:
             found = cls(spark, enabled, None, resolver, versioned)
             found._read_table()
         return found
 
+    @classmethod
+    def _snapshot(cls, spark, rows, schema, resolver, versioned) -> PolicySet:
+        rows = sorted(rows, key=lambda r: r["rank"])
+        return cls(spark, spark.createDataFrame(rows, schema), rows, resolver, versioned)
+
+    def merged(self, policies: DataFrame, changed: DataFrame) -> PolicySet:
+        """This set brought up to ``policies``, which differ from it in the policies whose ids ``changed`` lists.
+
+        Only those are read to the driver, and only expressions and patterns not met before are tried.  A set that is
+        not a snapshot, or would not be one any more, is loaded anew.
+        """
+        if self.rows is None or self.versioned:
+            return PolicySet.load(policies, self.resolver)
+        ids = {r[0] for r in changed.limit(len(self.rows) + 1).collect()}
+        if len(ids) > len(self.rows):
+            return PolicySet.load(policies, self.resolver)
+        news = PolicySet.load(policies.join(changed, "policy_id", "left_semi"), self.resolver)
+        if news.rows is None:
+            return PolicySet.load(policies, self.resolver)
+        rows = [r for r in self.rows if r["policy_id"] not in ids] + news.rows
+        if sum(len(str(r.asDict(recursive=True))) for r in rows) > SNAPSHOT_BYTES:
+            return PolicySet.load(policies, self.resolver)
+        found = PolicySet._snapshot(self.spark, rows, self.table.schema, self.resolver, self.versioned)
+        found.tried = self.tried | news.tried
+        found._read_snapshot()
+        return found
+
     # --- what the plan must know ---------------------------------------------
 
     def _read_snapshot(self) -> None:
@@ -147,15 +173,19 @@ class PolicySet:
 
     def _set_lookups(self, names, texts, regexes, matches) -> None:
         self.names = sorted(names)
-        sample = self.resolver.apply(sample_request(self.spark)) if texts else None
-        tried = ex.usable(self.spark, sorted(texts), sample, self.resolver.attributes)
+        news = sorted(t for t in texts if ("expression", t) not in self.tried)
+        sample = self.resolver.apply(sample_request(self.spark)) if news else None
+        for text, error in ex.usable(self.spark, news, sample, self.resolver.attributes).items():
+            self.tried["expression", text] = error
+        tried = {t: self.tried["expression", t] for t in sorted(texts)}
         self.expressions = [t for t, error in tried.items() if error is None]
         self.expression_errors = {t: e for t, e in tried.items() if e is not None}
         # Valid both alone and wrapped, as whole() uses it.
         forms = {t: t.replace("*", ".*") for t in regexes}
-        ok = patterns.compilable(
-            self.spark, [f for t in (*forms.values(), *matches) for f in (t, rf"\A(?:{t})\z")]
-        )
+        wanted = {f for t in (*forms.values(), *matches) for f in (t, rf"\A(?:{t})\z")}
+        found = patterns.compilable(self.spark, [t for t in wanted if ("pattern", t) not in self.tried])
+        self.tried |= {("pattern", t): compiles for t, compiles in found.items()}
+        ok = {t: self.tried["pattern", t] for t in wanted}
         self.bad_patterns = frozenset(t for t, f in forms.items() if not (ok[f] and ok[rf"\A(?:{f})\z"]))
         self.bad_matches = frozenset(t for t in matches if not (ok[t] and ok[rf"\A(?:{t})\z"]))
 

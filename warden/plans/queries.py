@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ from warden.plans.conditions import CASES, EXPRESSIONS
 from warden.session import shared_folder, tune
 from warden.sources import audit, secured
 from warden.sources import policies as ps
+from warden.sources.store import Conflict, Refreshed, VersionedStore
 from warden.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1336,3 +1339,103 @@ def session_stream(spark, sf):
     states = streams.latest_updates(spark.read.parquet(folder), ["session_id", "window_start"])
     state = streams.current_state(states).filter("open")
     return state.select("session_id", "user_id", F.unix_micros("changed_at").alias("created_at"))
+
+
+# --- the store that lasts ------------------------------------------------------------------------------
+
+_DAY = dt.datetime(2024, 1, 1)
+
+
+def _supplier_store(spark, sf) -> VersionedStore:
+    """Policies of the suppliers, committed by several writers: import, change, delete, disable, roll back."""
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    policies, _ = fx.supplier_policies(spark, sf)
+    VersionedStore(spark, folder).commit(policies, 0, "import", "a", _DAY)
+    late = VersionedStore(spark, folder)  # starts from commit 1 and is late
+    number = F.regexp_extract("policy_id", "([0-9]+)", 1).cast("int")
+    raised = policies.filter(number % 3 == 0).withColumn("priority", F.col("priority") + 100)
+    VersionedStore(spark, folder).upsert(raised, author="b", at=_DAY + dt.timedelta(days=1))
+    try:
+        late.delete(policies.filter(number % 2 == 0), parent=1, author="late")
+        raise AssertionError("a late writer must be refused")
+    except Conflict:
+        late.delete(policies.filter(number % 10 == 0), author="late", at=_DAY + dt.timedelta(days=2))
+    VersionedStore(spark, folder).set_enabled("sp-1", False, author="b", at=_DAY + dt.timedelta(days=3))
+    VersionedStore(spark, folder).rollback(2, author="a", at=_DAY + dt.timedelta(days=4))
+    return VersionedStore(spark, folder)
+
+
+_STORE_SQL = f"""WITH {orc.SUPPLIER_POLICIES}, s AS (SELECT *, CAST(regexp_extract(policy_id, '([0-9]+)', 1) AS INT) AS k FROM policies),
+  log(n, operation, author) AS (VALUES (1, 'import', 'a'), (2, 'upsert', 'b'), (3, 'delete', 'late'), (4, 'disable', 'b'), (5, 'rollback to 2', 'a')),
+  states AS (SELECT n, policy_id, CASE WHEN n > 1 AND k % 3 = 0 THEN priority + 100 ELSE priority END AS priority,
+    enabled AND NOT (n = 4 AND policy_id = 'sp-1') AS enabled FROM s, log WHERE NOT (n IN (3, 4) AND k % 10 = 0))"""
+
+
+@register(
+    "policy_store_history",
+    f"""{_STORE_SQL} SELECT CAST(n AS BIGINT) AS "commit", CAST(n - 1 AS BIGINT) AS parent, operation, author, count(policy_id) AS policies,
+      count(*) FILTER (enabled) AS enabled, CAST(sum(priority) AS BIGINT) AS priorities
+      FROM log JOIN states USING (n) GROUP BY ALL""",
+)
+def policy_store_history(spark, sf):
+    """Every commit of a store that several writers changed, each read as it was."""
+    store = _supplier_store(spark, sf)
+    each = [
+        store.read(c).agg(
+            F.count("*").alias("policies"), F.count_if("enabled").alias("enabled"), F.sum("priority").cast("bigint").alias("priorities")
+        ).withColumn("commit", F.lit(c).cast("bigint"))
+        for c in range(1, store.latest() + 1)
+    ]
+    states = reduce(DataFrame.unionByName, each)
+    return store.history().join(states, "commit").select("commit", "parent", "operation", "author", "policies", "enabled", "priorities")
+
+
+@register(
+    "policy_store_changes",
+    f"""{_STORE_SQL}, a AS (SELECT * FROM states WHERE n = 1), b AS (SELECT * FROM states WHERE n = 4)
+      SELECT policy_id, CASE WHEN b.n IS NULL THEN 'removed' WHEN a.n IS NULL THEN 'added' ELSE 'changed' END AS change
+      FROM a FULL JOIN b USING (policy_id) WHERE a.n IS NULL OR b.n IS NULL OR a.priority <> b.priority OR a.enabled <> b.enabled""",
+)
+def policy_store_changes(spark, sf):
+    """What differs between the first day and the fourth."""
+    store = _supplier_store(spark, sf)
+    since, until = (store.commit_before(_DAY + dt.timedelta(days=d, hours=1)) for d in (0, 3))
+    return store.changes(since, until).select("policy_id", "change")
+
+
+_OPEN = {"id": "open", "name": "Open data", "enabled": True, "priority": 9, "defaultEffect": "PERMIT",
+         "target": {"resources": ["s3://public-datasets/*"]}, "rules": []}
+_LAKE = {"id": "lake", "name": "Lake", "enabled": True, "defaultEffect": "DENY", "target": {"resources": ["s3://data-lake/*"]}, "rules": []}
+
+
+@register(
+    "decision_stream_commits",
+    f"""WITH {orc.ATTRS} SELECT request_id, CASE WHEN bad THEN 'DENY' WHEN event_open AND b <> 3 THEN 'PERMIT'
+        WHEN event_lake AND b >= 2 THEN 'DENY' ELSE 'NOT_APPLICABLE' END AS effect,
+      CASE WHEN bad THEN 'error' WHEN event_open AND b <> 3 THEN 'Access granted by policy: Open data'
+        WHEN event_lake AND b >= 2 THEN 'Access denied by policy: Lake' ELSE 'No applicable policies' END AS reason
+      FROM (SELECT *, request_id % 5 AS b, starts_with(resource, 's3://public-datasets/') AS event_open,
+        starts_with(resource, 's3://data-lake/') AS event_lake FROM attrs)""",
+)
+def decision_stream_commits(spark, sf):
+    """A stream restarted from its checkpoint for each of five batches, while three commits change the policies."""
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    store = VersionedStore(spark, f"{folder}-store")
+    store.commit(fx.policies(spark, [_OPEN]), 0, "import")
+    changes = {
+        2: lambda: store.upsert(fx.policies(spark, [_LAKE])),
+        3: lambda: store.set_enabled("open", False),
+        4: lambda: store.rollback(2),
+    }
+    policies, events = Refreshed(store), fx.table(spark, sf, "events")
+    for b in range(5):
+        changes.get(b, lambda: None)()
+        events.filter(F.col("event_id") % 5 == b).write.mode("append").parquet(f"{folder}-in")
+        source = spark.readStream.schema(events.schema).parquet(f"{folder}-in")
+        requests = fx.with_environment(spark.sql(fx.REQUESTS.replace("FROM events", "FROM {source}"), source=source))
+        requests = requests.withColumn("request_ts", F.col("request_ts").cast("timestamp"))
+        sink = streams.decisions_to(folder, policies)
+        streams.start_stream(requests, sink, f"{folder}-checkpoint", "append", {"availableNow": True}).awaitTermination()
+    error = F.startswith("reason", F.lit("Evaluation error"))
+    found = spark.read.parquet(folder)
+    return found.select("request_id", "effect", F.when(error, F.lit("error")).otherwise(F.col("reason")).alias("reason"))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from warden import schemas
 from warden.operators.evaluate import Engine
 from warden.sources.secured import Principal, normalised, require_read, require_write, stream_sources
+from warden.sources.store import Refreshed
 
 
 def parse_events(messages: DataFrame, schema: str = schemas.STREAM_EVENT) -> DataFrame:
@@ -63,12 +64,17 @@ def latest_updates(updates: DataFrame, key: list[str]) -> DataFrame:
 
 
 def decisions_to(
-    path: str, load_policies: Callable[[], DataFrame], fmt: str = "parquet"
+    path: str, policies: Callable[[], DataFrame] | Refreshed, fmt: str = "parquet"
 ) -> Callable[[DataFrame, int], None]:
-    """Sink that decides each micro-batch under the policies of that moment."""
+    """Sink that decides each micro-batch under the policies of that moment.
+
+    Over a store's :class:`Refreshed` engine a batch without a new commit prepares nothing; a function is called, and
+    its policies prepared, for each batch.
+    """
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        decided = Engine.over(load_policies()).evaluate(batch)
+        engine = policies.engine() if isinstance(policies, Refreshed) else Engine.over(policies())
+        decided = engine.evaluate(batch)
         decided.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
 
     return decide
