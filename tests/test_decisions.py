@@ -316,3 +316,25 @@ def test_inner_text_routes_equal_brute_force(spark, limit, monkeypatch):
     assert pairs == {(i, p["id"]) for i, r in enumerate(rows) for p in policies if brute.target(r, p["target"])}
     routes = engine.policies.routed(["policy_id"])
     assert routes.filter("__route LIKE '% gram %'").count() > 0
+
+
+def test_many_versions_as_of_their_time(spark):
+    """Thousands of changes, requests on, between and without them: no change time enters the plan."""
+    rng, base = random.Random(2), dt.datetime(2024, 1, 1)
+    seconds = sorted(rng.sample(range(0, 40 * 86_400), 3000))
+    one = fx.policies(spark, [{"id": "p", "name": "v", "enabled": True, "defaultEffect": "PERMIT", "rules": []}])
+    starts = spark.createDataFrame([(i, base + dt.timedelta(seconds=s)) for i, s in enumerate(seconds)], "i long, valid_from timestamp")
+    ends = spark.createDataFrame([(i, base + dt.timedelta(seconds=s - 1)) for i, s in enumerate(seconds[1:])], "i long, valid_to timestamp")
+    versions = one.drop("name", "policy_id").crossJoin(starts.join(ends, "i", "left")).withColumns(
+        {"name": F.concat(F.lit("v"), "i"), "policy_id": F.concat(F.lit("p"), "i"), "policy_ord": F.col("i").cast("int")}).drop("i")
+    asked = [rng.choice(seconds) + rng.choice([-1, 0, 1, 0.5]) for _ in range(150)] + [-5, 50 * 86_400]
+    rows = [dict(request("u@c.com", "x", "read"), request_ts=base + dt.timedelta(seconds=s)) for s in asked]
+    df = frame(spark, rows).unionByName(frame(spark, [dict(rows[0], request_ts=None)]).withColumn("request_id", F.lit(900).cast("bigint")))
+    engine = Engine.over(versions)
+    found = engine.evaluate(df, "joined")
+    got = {r.request_id: r.reason for r in found.collect()}
+    for i, s in enumerate(asked):
+        live = [n for n, t in enumerate(seconds) if t <= s and (n + 1 == len(seconds) or s < seconds[n + 1] - 1)]
+        assert got[i] == (f"Access granted by policy: v{live[0]}" if live else "No applicable policies"), s
+    assert got[900] == "No applicable policies"
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000

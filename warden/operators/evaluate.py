@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warden import schemas
@@ -29,11 +29,16 @@ from warden.functions import patterns as pa
 from warden.functions.expressions import with_expressions
 from warden.operators import policyset as ps
 from warden.operators.policyset import PolicySet, effect_code
+from warden.operators.sequences import bucket_of, micros
 
 # Policies, rules, patterns and conditions up to which the compiled plan is used
 # by default.  Both plans give the same answers; only the time differs.
 COMPILED_TERMS = 300
 
+# Requests are given the last policy change before them by buckets of this many microseconds.
+EPOCH_BUCKET = 3600 * 1_000_000
+NO_EPOCH = -(2**63)
+
 # Texts of decisions.
 NO_POLICIES = "No applicable policies"
 NO_RULES = "No rules matched"
@@ -60,21 +65,18 @@ class _Key:
     """Columns two requests must share to get the same decision."""
 
     context: dict[str, str]  # attribute name -> key column, for what varies per request
-    changes: list | None  # times at which policy versions start or end
+    versioned: bool  # whether policies have times at which they start and end
 
     @property
     def columns(self) -> list[str]:
-        moments = [] if self.changes is None else ["__epoch"]
+        moments = ["__epoch"] if self.versioned else []
         return [_SUBJECT, _RESOURCE, _ACTION, "__flags", *moments, *self.context.values()]
 
-    def change_times(self) -> Column:
-        return F.array(*[F.lit(t) for t in self.changes]).cast("array<timestamp>")
-
     def in_force(self, valid_from: Column, valid_to: Column) -> Column:
         """Whether the key's epoch starts within a version's validity."""
-        start = F.get(self.change_times(), F.col("__epoch") - 1)
-        during = (start >= valid_from) & (valid_to.isNull() | (start < valid_to))
-        return F.coalesce(during, F.lit(False))
+        start = F.col("__epoch")
+        during = (start >= micros(valid_from)) & (valid_to.isNull() | (start < micros(valid_to)))
+        return F.coalesce((start != NO_EPOCH) & during, F.lit(False))
 
 
 @dataclass
@@ -216,7 +218,7 @@ class Engine:
         df = with_expressions(df, policies.expression_columns, resolver.attributes)
         varying = [n for n in policies.names if self._in_key(df, n)]
         key = _Key(
-            {n: f"__c{i}" for i, n in enumerate(varying)}, self._changes() if policies.versioned else None
+            {n: f"__c{i}" for i, n in enumerate(varying)}, policies.versioned
         )
         flags = [F.when(F.col(c), F.lit("1")).otherwise(F.lit("0")) for c in policies.expression_columns]
         columns = {
@@ -230,14 +232,33 @@ class Engine:
             value = at.operand(df, name, resolver.attributes)
             columns[column] = F.coalesce(F.concat(value.kind, F.lit(":"), value.text), F.lit(""))
         if policies.versioned:
-            # Number of policy changes so far: constant between two changes.
-            columns["__epoch"] = F.size(F.filter(key.change_times(), lambda t: t <= F.col("request_ts")))
+            df = self._with_epoch(df)
         return df.withColumns(columns).select(*requests.columns, "__error", *key.columns), key
 
-    def _changes(self) -> list:
-        """Times at which some policy version starts or ends."""
-        bounds = self.policies.table.select(F.explode(F.array("valid_from", "valid_to")).alias("t"))
-        return [r["t"] for r in bounds.where("t IS NOT NULL").distinct().orderBy("t").collect()]
+    def _with_epoch(self, df: DataFrame) -> DataFrame:
+        """Adds ``__epoch``: the time (in microseconds) of the last policy change up to the request.
+
+        It is the same for all requests between two changes.  Times are cut into buckets: one row for each bucket that
+        holds requests has the changes inside it and the last one before it, and requests look theirs up.
+        """
+        bounds = self.policies.table.select(F.explode(F.array("valid_from", "valid_to")).alias("t")).where("t IS NOT NULL")
+        changes = bounds.select(micros(F.col("t")).alias("t")).distinct().withColumn("__bucket", bucket_of(F.col("t"), EPOCH_BUCKET))
+        changes = changes.groupBy("__bucket").agg(F.collect_list("t").alias("__inside"), F.max("t").alias("__top"))
+        moment = micros(F.col("request_ts"))
+        asked = df.select(bucket_of(moment, EPOCH_BUCKET).alias("__bucket")).where("__bucket IS NOT NULL").distinct()
+        buckets = asked.join(changes, "__bucket", "full")
+        # last change in earlier buckets: inside stretches of buckets, then over one row for each stretch
+        stretch = F.floor(F.col("__bucket") / 4096).alias("__stretch")
+        buckets = buckets.select("*", stretch)
+        earlier = Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+        carried = buckets.groupBy("__stretch").agg(F.max("__top").alias("m")).select("__stretch", F.max("m").over(earlier).alias("__carry"))
+        before = Window.partitionBy("__stretch").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        found = buckets.withColumn("__before", F.max("__top").over(before)).join(carried, "__stretch")
+        spans = found.select("__bucket", "__inside", F.greatest("__before", "__carry").alias("__before"))
+        joined = df.withColumn("__bucket", bucket_of(moment, EPOCH_BUCKET)).join(spans, "__bucket", "left")
+        inside = F.array_max(F.filter("__inside", lambda t: t <= moment))
+        epoch = F.coalesce(inside, "__before", F.lit(NO_EPOCH))
+        return joined.withColumn("__epoch", epoch).drop("__bucket", "__inside", "__before")
 
     def _keys(self, keyed: DataFrame, key: _Key) -> DataFrame:
         """Distinct decision keys with what the policies look at."""
