@@ -145,17 +145,16 @@ class Index:
 def build(documents: DataFrame, path: str | None = None) -> Index:
     """Indexes all documents with a term. Null text has none; rows that share a doc_id are documents of their own.
 
-    Texts are dealt out once, by ranges of m (then doc_id and place in the input, so that a stratum with any share of all
-    rows, or one text repeated, is split); each task writes segments of what it gets.
+    Texts are dealt out once, by m; adaptive execution sizes the tasks by their bytes and splits a stratum that is larger
+    (it may hold any share of all rows). Each task writes segments of what it gets.
     """
     spark = documents.sparkSession
     docs = id_and_text(documents).withColumn("n", F.arrow_udf(number_of_terms, "bigint")("text")).filter("n > 0")
     total = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     index = Index(path or f"{shared_folder(spark)}/index", total.documents, total.terms)
     m = F.expr(f"{100 - LENGTH_SHARE} + ({LENGTH_SHARE} * n * {index.documents}L) div {max(index.terms, 1)}L")
-    dealt = docs.select("doc_id", "text", m.alias("m"), F.monotonically_increasing_id().alias("place"))
-    dealt = dealt.repartitionByRange("m", "doc_id", "place").sortWithinPartitions("m", "doc_id", "place")
-    rows = dealt.select("m", "doc_id", "text").mapInArrow(segments, INDEX)
+    dealt = docs.select(m.alias("m"), "doc_id", "text").hint("rebalance", "m").sortWithinPartitions("m", "doc_id")
+    rows = dealt.mapInArrow(segments, INDEX)
     rows.write.option("compression", "zstd").option("maxRecordsPerFile", SEGMENTS_PER_FILE).parquet(index.path)
     return index
 
