@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 import brute
 from warden import schemas
 from warden.functions import attributes as at
+from warden.operators import reports
 from warden.operators.evaluate import Engine
 from warden.operators.policyset import PolicySet
 from warden.plans import fixtures as fx
@@ -166,6 +168,45 @@ def test_distributed_policy_table_gives_the_same(spark, sf):
     assert answers(big, frame(spark, rows), "auto") == [brute.decide(r, policies) for r in rows]
 
 
+@pytest.mark.parametrize("seed,bad", [(11, False), (12, True), (13, True)])
+def test_what_if_by_changed_policies(spark, seed, bad):
+    """One policy added, one removed, one changed: the others' requests are not evaluated, the counts are those of two full runs."""
+    rng = random.Random(seed)
+    listed, rows = random_policies(rng, 6, bad), random_requests(rng, 200)
+    edited = dict(listed[2], defaultEffect="PERMIT", enabled=True, target={"resources": ["s3://b/x", "s3://a/y*"]})
+    added = dict(listed[0], id="new", name="new", enabled=True, target={"subjects": ["manager_3", "a@"]})
+    before = fx.policies(spark, listed)
+    after = fx.policies(spark, [*listed[:2], edited, *listed[3:5], added])
+    df, old = frame(spark, rows), Engine.over(before)
+    decided, full = old.evaluate(df), Engine.over(after).evaluate(df)
+    by_id = {r["request_id"]: (r["effect"], r["reason"]) for r in full.collect()}
+    was = {r["request_id"]: r["effect"] for r in decided.collect()}
+    again = {r["request_id"]: (r["effect"], r["reason"]) for r in reports.reevaluated(decided, before, after).collect()}
+    assert all(by_id[i] == e for i, e in again.items())
+    assert {i for i in was if was[i] != by_id[i][0]} <= set(again)
+    assert {p["policy_id"] for p in reports.differing(before, after).collect()} == {"p2", "p5", "new"}
+    # what is evaluated again is what the changed policies' targets meet, no more
+    met = {(r["request_id"], r["policy_id"]) for e in (Engine.over(before), Engine.over(after)) for r in e.applicable(df).collect()}
+    bad_ids = {i for i, (_, reason) in by_id.items() if reason.startswith("Evaluation error")}
+    assert {i for i, p in met if p in ("p2", "p5", "new")} - bad_ids == set(again) - bad_ids
+    wanted = Counter((was[i], by_id[i][0]) for i in was)
+    counts = reports.what_if_changed(decided, before, after).collect()
+    assert {(r["old_effect"], r["new_effect"]): r["requests"] for r in counts} == wanted
+    # a set that stays distributed reaches the same requests
+    big = Engine(PolicySet.load(reports.differing(before, after), limit=3)).reached(df)
+    assert {r["request_id"] for r in big.collect()} == set(again)
+
+
+def test_what_if_without_a_change(spark):
+    before = fx.policies(spark)
+    decided = Engine.over(before).evaluate(frame(spark, [request("hr_alice@c", BASE + "hr/e", "read"), request("a@", "x", "read")]))
+    assert reports.reevaluated(decided, before, before).count() == 0
+    assert {(r["old_effect"], r["new_effect"]) for r in reports.what_if_changed(decided, before, before).collect()} == {
+        (e, e) for e in (r["effect"] for r in decided.collect())}
+    empty = reports.what_if_changed(decided.limit(0), before, before.limit(0))
+    assert empty.count() == 0
+
+
 def test_order_and_disabled_policies(spark):
     rng = random.Random(5)
     policies, rows = random_policies(rng, 6, bad=False), random_requests(rng, 60)

@@ -140,6 +140,23 @@ class Engine:
         pairs = pairs.filter(F.col("state") == 1).select(*dk.columns, "policy_id")
         return keyed.join(pairs, dk.columns).select(*requests.columns, "policy_id")
 
+    def reached(self, requests: DataFrame) -> DataFrame:
+        """Requests that the target of some policy matches, or fails on, at whatever time the policy is in force.
+
+        No other request can be decided differently because of these policies.
+        """
+        policies = self.policies
+        if policies.rows is None or policies.terms > COMPILED_TERMS:
+            keyed, dk = self._keyed(requests)
+            met = self._key_policies(self._keys(keyed, dk), dk, lambda df: []).select(*dk.columns).distinct()
+            return keyed.join(met, dk.columns, "left_semi").select(*requests.columns)
+        plain = {f"__{c}_plain": pa.single_line(F.col(c)) for c in ("resource", "action", "subject")}
+        terms, met = _Terms(self, {}), F.lit(False)
+        for match, fails in map(terms.target, policies.rows):
+            met = met | match if fails is None else met | match | fails
+        df = requests.withColumns(plain).withColumn("__bad", request_error(requests).isNotNull())
+        return df.filter(~F.col("__bad") & met).select(*requests.columns)
+
     # --- compiled plan ----------------------------------------------------------
 
     def _compiled(self, requests: DataFrame) -> DataFrame:

@@ -115,6 +115,44 @@ def what_if(requests: DataFrame, before: Engine, after: Engine) -> DataFrame:
     return new.groupBy("old_effect", "new_effect").agg(F.count("*").alias("requests"))
 
 
+def differing(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Policies of both sets whose like, in every field, the other set lacks; a changed one is there as it was and as it is."""
+
+    def content(policies: DataFrame) -> DataFrame:
+        return policies.withColumn("__content", F.to_json(F.struct(*sorted(policies.columns))))
+
+    old, new = content(before), content(after)
+    one_way = old.join(new.select("__content"), "__content", "left_anti")
+    return one_way.unionByName(new.join(old.select("__content"), "__content", "left_anti")).drop("__content")
+
+
+def reevaluated(
+    decided: DataFrame, before: DataFrame, after: DataFrame, resolver=None, operators=None
+) -> DataFrame:
+    """Decided requests that a policy which differs between two policy tables can reach, decided again.
+
+    ``decided`` are requests with the ``effect`` they got under ``before``; it comes back as ``old_effect`` beside the new
+    ``effect, reason, permitted``.  All others would get the decision they have: of the policies whose targets they
+    meet, all are in both sets, in the same order.
+    """
+    changed = differing(before, after).drop("valid_from", "valid_to")  # a policy may reach a request at another time
+    old = decided.withColumnRenamed("effect", "old_effect").drop("reason", "permitted")
+    reached = Engine.over(changed, resolver, operators).reached(old)
+    return Engine.over(after, resolver, operators).evaluate(reached)
+
+
+def what_if_changed(decided: DataFrame, before: DataFrame, after: DataFrame, resolver=None, operators=None) -> DataFrame:
+    """:func:`what_if` from decisions that exist: only requests that the changed policies reach are evaluated."""
+    old, new, n = F.col("old_effect"), F.col("new_effect"), F.col("requests")
+    again = reevaluated(decided, before, after, resolver, operators).withColumnRenamed("effect", "new_effect")
+    moved = again.groupBy("old_effect", "new_effect").agg(F.count("*").alias("requests"))
+    # each such request leaves the count of those that keep their decision
+    moves = F.array(F.struct(old, new, n), F.struct(old, old.alias("new_effect"), (-n).alias("requests")))
+    kept = decided.groupBy(F.col("effect").alias("old_effect"), F.col("effect").alias("new_effect")).agg(F.count("*").alias("requests"))
+    total = kept.unionByName(moved.select(F.inline(moves))).groupBy("old_effect", "new_effect").agg(F.sum("requests").alias("requests"))
+    return total.filter("requests <> 0")
+
+
 def compare_decisions(before: DataFrame, after: DataFrame) -> DataFrame:
     """Two decision tables of the same requests, counted by change."""
     old = before.select("request_id", F.col("effect").alias("old_effect"))

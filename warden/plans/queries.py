@@ -364,6 +364,44 @@ def decision_changes(spark, sf):
     return re_.compare_decisions(decided(spark, sf, [fx.POLICY_1]), decided(spark, sf))
 
 
+@register("what_if_changed", ORACLES["what_if"])
+def what_if_changed(spark, sf):
+    """The same from the decisions under the first set: only what the added policies reach is evaluated."""
+    before, after = fx.policies(spark, [fx.POLICY_1]), fx.policies(spark)
+    return re_.what_if_changed(decided(spark, sf, [fx.POLICY_1]), before, after)
+
+
+def _two_nations_disabled(spark, sf):
+    """Requests decided under the suppliers' policies, these policies, and the same without those of two nations."""
+    policies, _ = fx.supplier_policies(spark, sf)
+    theirs = F.exists("resources", lambda p: p["text"].rlike("^s3://lake/n(3|7)/"))
+    found = Engine.over(policies).evaluate(fx.folder_requests(spark, sf), "joined")
+    return found, policies, policies.withColumn("enabled", F.col("enabled") & ~theirs)
+
+
+_WITHOUT_TWO = orc.FOLDER_DECISIONS.replace("s_suppkey % 4 <> 0 AS", "s_suppkey % 4 <> 0 AND s_nationkey NOT IN (3, 7) AS")
+_BOTH_SETS = f"""WITH old AS (WITH {orc.FOLDER_DECISIONS} SELECT request_id, effect AS old_effect FROM folder_decided),
+  new AS (WITH {_WITHOUT_TWO} SELECT request_id, effect AS new_effect FROM folder_decided)"""
+
+
+@register("what_if_changed_suppliers", f"{_BOTH_SETS} SELECT old_effect, new_effect, count(*) AS requests FROM old JOIN new USING (request_id) GROUP BY ALL")
+def what_if_changed_suppliers(spark, sf):
+    """What it would change if the policies of two nations were disabled."""
+    return re_.what_if_changed(*_two_nations_disabled(spark, sf))
+
+
+@register(
+    "what_if_reached",
+    f"""{_BOTH_SETS}, reached AS (WITH {orc.FOLDER_DECISIONS} SELECT DISTINCT r.request_id FROM folder_requests r JOIN policies p
+        ON p.enabled AND p.nation IN (3, 7) AND r.action = 'read' AND starts_with(r.resource, 's3://lake/n' || CAST(p.nation AS VARCHAR) || '/'))
+      SELECT request_id, old_effect, new_effect FROM reached JOIN old USING (request_id) JOIN new USING (request_id)""",
+)
+def what_if_reached(spark, sf):
+    """The requests that are evaluated again for that, with both effects."""
+    found = re_.reevaluated(*_two_nations_disabled(spark, sf))
+    return found.select("request_id", "old_effect", F.col("effect").alias("new_effect"))
+
+
 # --- attributes ---------------------------------------------------------------------
 
 @register(
