@@ -227,3 +227,50 @@ def test_audit_lines(spark, sf, tmp_path):
     assert back.count() == 50 and "date" in back.columns
     line = json.loads(audit.audit_lines(decided.filter("effect = 'PERMIT'")).first()["line"])
     assert line["event"] == "ACCESS_GRANTED" and line["policy_evaluated"]
+
+
+def test_columns_that_a_query_uses(spark, tmp_path):
+    """Result, filter, join, order, group, set operation, subquery and window count; what is dropped does not."""
+    people, teams = str(tmp_path / "people"), str(tmp_path / "teams")
+    spark.createDataFrame([(1, "x", 5.0, "t")], "id long, name string, pay double, team string").write.partitionBy("team").parquet(people)
+    spark.createDataFrame([("t", "boss")], "team string, head string").write.parquet(teams)
+    spark.read.parquet(people).createOrReplaceTempView("people")
+    spark.read.parquet(teams).createOrReplaceTempView("teams")
+
+    def used(query):
+        return {f"{path.rsplit('/', 1)[1]}.{c}" for path, _, c in secured.columns_of(query if not isinstance(query, str) else spark.sql(query))}
+
+    assert used("SELECT id FROM (SELECT * FROM people)") == {"people.id"}
+    assert used("SELECT id FROM people WHERE pay > 1") == {"people.id", "people.pay"}
+    assert used("SELECT id FROM people WHERE team = 't'") == {"people.id", "people.team"}
+    assert used("SELECT count(*) FROM people") == set()
+    assert used("SELECT name AS n FROM people ORDER BY pay") == {"people.name", "people.pay"}
+    assert used("SELECT count(*) FROM people GROUP BY upper(name)") == {"people.name"}
+    assert used("SELECT head FROM people JOIN teams USING (team)") == {"people.team", "teams.team", "teams.head"}
+    assert used("SELECT id FROM people WHERE EXISTS (SELECT 1 FROM teams WHERE teams.team = people.team AND head > '')") == {
+        "people.id", "people.team", "teams.team", "teams.head"}
+    assert used("SELECT id FROM people WHERE pay > (SELECT length(max(head)) FROM teams)") == {"people.id", "people.pay", "teams.head"}
+    assert used("SELECT team FROM teams UNION SELECT name FROM people") == {"teams.team", "people.name"}
+    assert used("SELECT * FROM teams UNION ALL SELECT team, name FROM people") == {
+        "teams.team", "teams.head", "people.team", "people.name"}
+    assert used("WITH a AS (SELECT * FROM people) SELECT x.id FROM a x JOIN a y ON x.id = y.id WHERE y.pay > rand()") == {"people.id", "people.pay"}
+    assert used("SELECT id, sum(pay) OVER (PARTITION BY name) s FROM people") == {"people.id", "people.pay", "people.name"}
+    assert used("SELECT id FROM (SELECT id, sum(pay) OVER (PARTITION BY name) s FROM people)") == {"people.id"}
+    assert used(spark.table("people").dropDuplicates(["name"]).select("id")) == {"people.id", "people.name"}
+    assert used(spark.table("people").exceptAll(spark.table("people").filter("id > 3")).select("id")) >= {"people.id", "people.pay"}
+    cached = spark.table("people").cache()
+    assert used(cached.filter("pay > 1").select("id")) == {"people.id", "people.pay"}
+    cached.unpersist()
+    python = spark.table("people").mapInPandas(lambda frames: frames, "id long, name string, pay double, team string").select("id")
+    assert used(python) == {"people.id", "people.name", "people.pay", "people.team"}
+    # The gate: files by path, columns by path#column; the first refused column is named.
+    policy = {"id": "p", "name": "p", "enabled": True, "defaultEffect": "DENY", "rules": [
+        {"id": "r", "name": "r", "enabled": True, "effect": "PERMIT", "target": {"resources": ["*/people", "*#id", "*#name"]}}]}
+    engine, ann = Engine.over(fx.policies(spark, [policy])), Principal("u", "s")
+    assert secured.authorize_columns(spark.sql("SELECT id FROM people WHERE name > ''"), engine, ann).count() == 1
+    with pytest.raises(PermissionError, match="people#pay"):
+        secured.authorize_columns(spark.sql("SELECT id FROM people WHERE pay > 1"), engine, ann)
+    with pytest.raises(PermissionError, match="teams"):
+        secured.authorize_columns(spark.sql("SELECT id FROM people JOIN teams USING (team)"), engine, ann)
+    with pytest.raises(PermissionError, match="cannot tell"):
+        secured.columns_of(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a long"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import uuid
 import warnings
 from collections.abc import Callable
@@ -1173,6 +1174,47 @@ def authorized_query(spark, sf):
     return secured.authorize(query, engine(spark, [_READ_ALL]))
 
 
+_OPEN_COLUMNS = {
+    "id": "cols", "name": "columns", "enabled": True, "defaultEffect": "DENY", "target": {"subjects": ["analyst@corp"]}, "rules": [
+        {"id": "f", "name": "files", "enabled": True, "effect": "PERMIT", "conditions": [],
+         "target": {"actions": ["read"], "resources": ["*.parquet", "*/nation.parquet#*"]}},
+        {"id": "c", "name": "columns", "enabled": True, "effect": "PERMIT", "conditions": [], "target": {"actions": ["read"],
+         "resources": [f"*/customer.parquet#c_{c}" for c in ("custkey", "name", "nationkey", "mktsegment")]}}],
+}
+_COLUMN_PROBES = {
+    "pruned": "SELECT c_mktsegment, count(*) AS n FROM (SELECT * FROM customer) GROUP BY c_mktsegment",
+    "joined": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    "filtered": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment",
+    "join_key": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > n_regionkey GROUP BY n_name",
+    "subquery": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey > (SELECT avg(c_acctbal) FROM customer) GROUP BY c_mktsegment",
+    "ordered": "SELECT c_name, row_number() OVER (ORDER BY c_acctbal) AS n FROM customer",
+    "unioned": "SELECT c_name, 1 AS n FROM customer UNION ALL SELECT CAST(c_acctbal AS VARCHAR(20)) AS c_name, 1 AS n FROM customer",
+}
+
+
+@register(
+    "authorized_columns",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS query, CAST(count(*) AS BIGINT) AS found_rows, CAST(sum(n) AS BIGINT) AS total FROM ({sql})"
+        if name in ("pruned", "joined") else f"SELECT '{name}' AS query, NULL AS found_rows, NULL AS total"
+        for name, sql in _COLUMN_PROBES.items()
+    ),
+)
+def authorized_columns(spark, sf):
+    """Queries authorised by the columns that they use: result, filter, join, order, subquery; null where one is refused."""
+    frames, run = {n: fx.table(spark, sf, n) for n in ("customer", "nation")}, engine(spark, [_OPEN_COLUMNS])
+    results = []
+    for name, sql in _COLUMN_PROBES.items():
+        query = spark.sql(re.sub(r"(FROM|JOIN) (customer|nation)", r"\1 {\2}", sql), **frames)
+        try:
+            found = secured.authorize_columns(query, run, secured.Principal("analyst@corp", "s"))
+        except PermissionError:
+            found = spark.range(0).selectExpr("CAST(NULL AS BIGINT) AS n")
+        counts = found.agg(F.nullif(F.count("*"), F.lit(0)).alias("found_rows"), F.sum("n").alias("total"))
+        results.append(counts.select(F.lit(name).alias("query"), "found_rows", "total"))
+    return reduce(DataFrame.unionByName, results)
+
+
 _WRITER = {
     "id": "w", "name": "writers", "enabled": True, "defaultEffect": "DENY", "target": {"subjects": ["etl@corp"]},
     "rules": [fx._rule("r", "r", "PERMIT", [], {"actions": ["read", "write"]})],

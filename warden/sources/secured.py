@@ -144,8 +144,8 @@ _HARMLESS = frozenset(("LocalRelation", "Range", "OneRowRelation", "CTERelationR
 def sources_of(df: DataFrame) -> list[tuple[str, str]]:
     """``(root path, format)`` of every file scan of a query, subqueries included.
 
-    Reads the analysed plan through the classic session's JVM handle; it is
-    the only place that does.  Leaves that are neither file scans nor made in
+    Reads the analysed plan through the classic session's JVM handle, as
+    :func:`columns_of` does.  Leaves that are neither file scans nor made in
     the query itself are refused.  A reference to a common table expression
     reads nothing of its own: its definition is in the plan and is looked into.
     """
@@ -208,6 +208,66 @@ def authorize(df: DataFrame, engine: Engine, principal: Principal | None = None)
     return df
 
 
+# --- columns that a query uses ---
+
+# Nodes whose output columns are their children's, under the same ids: what is asked of them is asked of the children.
+_PASSING = frozenset((
+    "Filter", "Join", "Sort", "Window", "Generate", "GlobalLimit", "LocalLimit", "Offset", "Sample", "Repartition",
+    "RepartitionByExpression", "RebalancePartitions", "WindowGroupLimit",
+))
+# Nodes whose output is made by their own expressions alone.
+_MAKING = frozenset(("Project", "Aggregate"))
+
+
+def columns_of(df: DataFrame) -> list[tuple[str, str, str]]:
+    """``(root path, format, column)`` for every source column that a query uses: in its result, or only to filter, join,
+    sort or group.  Columns that it drops before they do anything are not used; of nested ones the top level counts.
+
+    The analysed plan is optimised, without what is cached, and walked from the top by expression ids.  A node that is not
+    known to pass or make columns uses all of its children's.
+    """
+    jdf = df._jdf
+    plan = jdf.sparkSession().sessionState().optimizer().execute(jdf.queryExecution().analyzed())
+    found: set[tuple[str, str, str]] = set()
+
+    def ids(attributes) -> set[int]:
+        listed = attributes.toSeq()
+        return {listed.apply(i).exprId().id() for i in range(listed.size())}
+
+    def each(listed) -> list:
+        return [listed.apply(i) for i in range(listed.size())]
+
+    waiting = [(plan, ids(plan.outputSet()))]
+    while waiting:
+        node, asked = waiting.pop()
+        name = node.getClass().getSimpleName()
+        waiting += [(p, ids(p.outputSet())) for p in each(node.subqueries())]
+        children = each(node.children())
+        if not children and name not in _HARMLESS:
+            used = [a.name() for a in each(node.output()) if a.exprId().id() in asked]
+            found |= {(_shown(root), fmt, column) for root, fmt in _files_of(node, name) for column in used}
+        own = ids(node.references())
+        for child in children:
+            offered = ids(child.outputSet())
+            if name in _PASSING:
+                waiting.append((child, (asked | own) & offered))
+            else:
+                waiting.append((child, own & offered if name in _MAKING else offered))
+    return sorted(found)
+
+
+def authorize_columns(df: DataFrame, engine: Engine, principal: Principal | None = None) -> DataFrame:
+    """The query unchanged if every file that it scans and every column that it uses may be read, else an error.
+
+    Columns are asked for as ``path#column``.
+    """
+    authorize(df, engine, principal)
+    spark = df.sparkSession
+    wanted = [(f"{path}#{column}", fmt) for path, fmt, column in columns_of(df)]
+    _require(spark, engine, principal or Principal.of(spark), wanted, "read")
+    return df
+
+
 # --- row and column control ------------------------------------------------------
 
 def secured_rows(
