@@ -67,6 +67,39 @@ def test_session_state(spark, tmp_path):
     assert {(r["session_id"], r["user_id"], r["open"]) for r in state.collect()} == {("a", "x", False), ("b", "z", True)}
 
 
+def session_events(spark, *rows):
+    data = [(q, s, u, op, T0 + dt.timedelta(minutes=m)) for q, s, u, op, m in rows]
+    return spark.createDataFrame(data, "seq long, session_id string, user_id string, op string, event_ts timestamp")
+
+
+def test_tracked_sessions(spark, tmp_path):
+    """Out of order, late, expired, closed and reopened sessions, over restarts, from initial sessions."""
+    initial = spark.createDataFrame(
+        [("old", "o", T0, 0, "open"), ("gone", "g", T0, 0, "expired")], streams.TRACKED)
+    parts = [
+        session_events(spark, (1, "a", "x", "create", 10), (3, "b", "y", "remove", 40), (4, "c", "z", "create", 41), (7, "k", "m", "create", 100)),
+        # b's create came before its remove; c is replaced; 5 minutes is later than 100 - 30
+        session_events(spark, (2, "b", "y", "create", 35), (5, "c", "w", "create", 101), (6, "d", "v", "create", 5), (8, "k", "m", "create", 95)),
+        session_events(spark, (9, "a", "x2", "create", 200), (10, "n", "q", "create", 300)),
+    ]
+    dropped = []
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in")).withWatermark("event_ts", "30 minutes")
+        query = streams.start_stream(
+            streams.tracked_sessions(source, "1 hour", initial), streams.updates_to(str(tmp_path / "out")), str(tmp_path / "cp"),
+            trigger={"availableNow": True})
+        query.awaitTermination()
+        dropped.append(streams.dropped_rows(query))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    states = {r["session_id"]: (r["user_id"], r["seq"], r["state"]) for r in streams.latest_updates(rows, ["session_id"]).collect()}
+    assert states == {
+        "old": ("o", 0, "expired"), "a": ("x2", 9, "expired"), "b": ("y", 3, "closed"), "c": ("w", 5, "expired"),
+        "k": ("m", 7, "expired"), "n": ("q", 10, "open")}
+    assert dropped == [0, 2, 0]  # b's create at 35 and d's at 5
+    assert rows.filter("session_id = 'a' AND state = 'expired'").count() == 2
+
+
 def test_stream_start_is_checked(spark, tmp_path):
     policy = {"id": "p", "name": "p", "enabled": True, "defaultEffect": "DENY", "rules": [
         {"id": "r", "name": "r", "enabled": True, "effect": "PERMIT", "target": {"actions": ["read"]}}]}

@@ -1421,6 +1421,87 @@ def session_stream(spark, sf):
     return state.select("session_id", "user_id", F.unix_micros("changed_at").alias("created_at"))
 
 
+# Creates and removes of sessions; most reach the stream up to six days after their time, in three batches.
+_ARRIVALS = """SELECT event_id AS seq, 's_' || CAST(event_id % 700 AS VARCHAR(20)) AS session_id, CAST(user_id AS VARCHAR(20)) AS user_id,
+  CASE WHEN event_type = 'error' THEN 'remove' ELSE 'create' END AS op, ts AS event_ts FROM events WHERE event_type IN ('signup', 'error')"""
+_TRACKED_SQL = f"""WITH e AS (SELECT *, least(2, (epoch_us(event_ts) // 86400000000 - 19723 + seq % 7) // 11) AS b FROM ({_ARRIVALS})),
+  marks AS (SELECT n, (SELECT epoch_ms(max(event_ts)) - 172800000 FROM e WHERE b < n) AS mark FROM (VALUES (0), (1), (2), (3)) AS t(n)),
+  seen AS (SELECT e.*, coalesce(epoch_us(event_ts) <= mark * 1000, false) AS late FROM e JOIN marks ON b = n)"""
+
+
+def _track_sessions(spark, sf) -> tuple[str, list[int]]:
+    """Runs the arrivals through :func:`streams.tracked_sessions`, restarted for each of three batches: folder, rows dropped."""
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    events = fx.select(spark, sf, _ARRIVALS).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    day = F.floor(F.unix_micros("event_ts") / 86_400_000_000) - 19723
+    events = events.withColumn("b", F.least(F.lit(2), F.floor((day + F.col("seq") % 7) / 11)))
+    dropped = []
+    for b in range(3):
+        events.filter(F.col("b") == b).write.mode("append").parquet(f"{folder}-in")
+        source = spark.readStream.schema(events.schema).parquet(f"{folder}-in").withWatermark("event_ts", "2 days")
+        query = streams.start_stream(
+            streams.tracked_sessions(source, "3 days"), streams.updates_to(folder), f"{folder}-checkpoint", trigger={"availableNow": True}
+        )
+        query.awaitTermination()
+        dropped.append(streams.dropped_rows(query))
+    return folder, dropped
+
+
+@register(
+    "session_stream_tracked",
+    f"""{_TRACKED_SQL}, last AS (SELECT session_id, arg_max(user_id, (event_ts, seq)) AS user_id, arg_max(op, (event_ts, seq)) AS op,
+        max(event_ts) AS changed_at FROM seen WHERE NOT late GROUP BY session_id)
+      SELECT session_id, user_id, epoch_us(changed_at) AS changed_at, CASE WHEN op = 'remove' THEN 'closed'
+        WHEN epoch_ms(changed_at) + 259200000 <= (SELECT mark FROM marks WHERE n = 3) THEN 'expired' ELSE 'open' END AS state FROM last""",
+)
+def session_stream_tracked(spark, sf):
+    """Sessions as state with timers: out of order and late rows, expiry, two restarts from the checkpoint."""
+    folder, _ = _track_sessions(spark, sf)
+    last = streams.latest_updates(spark.read.parquet(folder), ["session_id"])
+    return last.select("session_id", "user_id", micros("changed_at"), "state")
+
+
+@register(
+    "session_stream_late",
+    f"{_TRACKED_SQL} SELECT CAST(n AS BIGINT) AS batch, count(seq) FILTER (late) AS dropped FROM marks LEFT JOIN seen ON b = n WHERE n < 3 GROUP BY n",
+)
+def session_stream_late(spark, sf):
+    """How many rows each batch lost for being later than the watermark."""
+    _, dropped = _track_sessions(spark, sf)
+    return spark.createDataFrame(list(enumerate(dropped)), "batch bigint, dropped bigint")
+
+
+_ZONES = ("click", "purchase", "error")
+
+
+@register(
+    "stream_start_checks",
+    " UNION ALL ".join(
+        f"SELECT '{zone}' AS zone, '{'refused' if zone == 'error' else 'started'}' AS outcome, "
+        + ("0 * count(*)" if zone == "error" else "count(*)") + f" AS written FROM events WHERE event_type = '{zone}'"
+        for zone in _ZONES
+    ),
+)
+def stream_start_checks(spark, sf):
+    """A stream for each kind of event; it starts only where its source may be read and its sink written."""
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    policy = {"id": "z", "name": "zones", "enabled": True, "defaultEffect": "DENY", "rules": [fx._rule(
+        "r", "r", "PERMIT", [], {"actions": ["read", "write"], "resources": ["*/click", "*/purchase", "*-out"]})]}
+    run, events, found = engine(spark, [policy]), fx.table(spark, sf, "events"), []
+    for zone in _ZONES:
+        events.filter(F.col("event_type") == zone).write.parquet(f"{folder}/{zone}")
+        source = spark.readStream.schema(events.schema).parquet(f"{folder}/{zone}")
+        out = f"{folder}/{zone}-out"
+        writer = source.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/{zone}-log").trigger(availableNow=True)
+        try:
+            streams.start_secured(writer, run, out, principal=secured.Principal("etl@corp", "s")).awaitTermination()
+            rows = spark.read.schema(events.schema).parquet(out).agg(F.lit("started").alias("outcome"), F.count("*").alias("written"))
+        except PermissionError:
+            rows = spark.range(1).select(F.lit("refused").alias("outcome"), F.lit(0).cast("bigint").alias("written"))
+        found.append(rows.select(F.lit(zone).alias("zone"), "outcome", "written"))
+    return reduce(DataFrame.unionByName, found)
+
+
 # --- the store that lasts ------------------------------------------------------------------------------
 
 _DAY = dt.datetime(2024, 1, 1)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
@@ -123,3 +125,90 @@ def current_state(states: DataFrame) -> DataFrame:
     """The last state of each session among its windows."""
     last = F.max_by(F.struct("user_id", "changed_at", "open"), F.struct("changed_at", "seq"))
     return states.groupBy("session_id").agg(last.alias("s")).select("session_id", "s.*")
+
+
+# --- state that ends by itself ----------------------------------------------------
+
+TRACKED = "session_id string, user_id string, changed_at timestamp, seq bigint, state string"
+
+
+
+def _session_tracker(idle: int) -> StatefulProcessor:
+    """The processor of :func:`tracked_sessions`; a class of its own here, so that executors get it with the query."""
+
+    class Tracker(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.known = handle.getValueState("known", "user_id string, micros bigint, seq bigint, open boolean")
+
+        def _keep(self, user, micros: int, seq: int, is_open: bool) -> None:
+            if self.known.exists():
+                self.handle.deleteTimer(self.known.get()[1] // 1000 + idle)
+            self.known.update((user, micros, seq, is_open))
+            self.handle.registerTimer(micros // 1000 + idle)
+
+        def _row(self, key, state: str):
+            user, micros, seq, _ = self.known.get()
+            return pd.DataFrame({
+                "session_id": [key[0]], "user_id": [user], "changed_at": [pd.Timestamp(micros, unit="us")], "seq": [seq],
+                "state": [state],
+            })
+
+        def handleInputRows(self, key, rows, timerValues):
+            newest = None
+            for batch in rows:
+                batch = batch.assign(micros=batch["event_ts"].to_numpy().astype("datetime64[us]").astype("int64"))
+                last = batch.sort_values(["micros", "seq"]).iloc[-1]
+                found = (int(last["micros"]), int(last["seq"]), last["user_id"], last["op"] == "create")
+                newest = found if newest is None else max(newest, found, key=lambda f: f[:2])
+            before = self.known.get()[1:3] if self.known.exists() else None
+            if before is None or newest[:2] > tuple(before):
+                micros, seq, user, is_open = newest
+                self._keep(user, micros, seq, bool(is_open))
+                yield self._row(key, "open" if is_open else "closed")
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.known.exists() and self.known.get()[1] // 1000 + idle <= expiredTimerInfo.getExpiryTimeInMs():
+                if self.known.get()[3]:
+                    yield self._row(key, "expired")
+                self.known.clear()
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            for row in initialState.sort_values(["changed_at", "seq"]).tail(1).itertuples():
+                if row.state != "expired":
+                    micros = int(pd.Timestamp(row.changed_at).value // 1000)
+                    self._keep(row.user_id, micros, int(row.seq), row.state == "open")
+
+        def close(self) -> None:
+            pass
+
+    return Tracker()
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators left out for being later than the watermark, over the progress it remembers."""
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+
+
+def tracked_sessions(events: DataFrame, idle: str = "1 day", initial: DataFrame | None = None) -> DataFrame:
+    """One state per session from a create/remove stream with a watermark on ``event_ts``; a row for each change of it.
+
+    ``state`` is open, closed or expired.  The event with the largest (event_ts, seq) decides, in whatever order events
+    arrive; the watermark drops what is later.  A session that nothing happened to for ``idle`` after the event times that the watermark
+    has passed expires, and so does what is known of a closed one, which until then holds back older creates.
+    ``initial`` has the sessions (columns of ``TRACKED``) at the start of the stream.  An event without a time is dropped.
+
+    State is kept by session in the RocksDB store, a few values each; the rows of a busy session pass in batches.
+    """
+    spark = events.sparkSession
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    epoch = F.lit(0).cast("timestamp")
+    length = spark.range(1).select(F.unix_millis(epoch + F.expr(f"INTERVAL {idle}"))).first()[0]
+    start = None if initial is None else initial.select("session_id", "user_id", "changed_at", "seq", "state").groupBy("session_id")
+    kept = events.select("session_id", "user_id", "op", "event_ts", "seq").filter("event_ts IS NOT NULL")
+    return kept.groupBy("session_id").transformWithStateInPandas(
+        _session_tracker(length), TRACKED, "Update", "EventTime", initialState=start
+    )
