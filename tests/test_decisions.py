@@ -16,7 +16,7 @@ from warden.sources.policies import parse_policies
 
 BASE = "s3://data-lake/departments/"
 SCENARIO_3 = {
-    "id": "hours", "name": "Business Hours Only Access", "enabled": True,
+    "id": "hours", "name": "Internal by day", "enabled": True,
     "rules": [{"id": "r", "name": "r", "effect": "PERMIT", "conditions": [{"expression": fx._HOURS}]}],
 }
 GRANTED = "Access granted by policy: Staff folders"
@@ -66,7 +66,7 @@ def test_golden_decisions(spark, plan):
 
 def test_missing_enabled_means_disabled(spark):
     df = frame(spark, [request("a@b", "x", "read"), request("hr_alice@c", BASE + "hr/employees.parquet", "read", 20)])
-    denied = ("DENY", "Access denied by policy: Business Hours Only Access")
+    denied = ("DENY", "Access denied by policy: Internal by day")
     assert answers(Engine.over(fx.policies(spark, [SCENARIO_3])), df, "auto")[0] == denied
     assert answers(Engine.over(fx.policies(spark, [fx.POLICY_1, SCENARIO_3])), df, "auto")[1] == denied
 

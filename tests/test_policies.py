@@ -26,7 +26,7 @@ def test_read_defaults_order_and_errors(spark, tmp_path):
                                {"id": "o", "name": "o", "rules": [], "priority": "high"}])
     good, bad = ps.read_policies(spark, str(tmp_path))
     rows = good.orderBy("policy_ord").collect()
-    assert [(r["policy_ord"], r["policy_id"]) for r in rows] == [(0, "staff-folders"), (1, "policy-003"), (3, "policy-004")]
+    assert [(r["policy_ord"], r["policy_id"]) for r in rows] == [(0, "staff-folders"), (1, "internal-by-day"), (3, "policy-004")]
     assert rows[2]["version"] == "1.0" and rows[2]["default_effect"] == "DENY" and rows[2]["rules"][0]["conditions"] is None
     problems = {r["policy_ord"]: list(r["errors"]) for r in bad.collect()}
     assert problems[2] == ["Policy rules cannot be null"]
@@ -49,7 +49,7 @@ def test_store_is_read_only_unless_opened_for_writing(spark):
     changed = ps.PolicyStore(fx.policies(spark), writable=True).upsert(
         fx.policies(spark, [{**fx.POLICY_2, "name": "new"}, {**fx.POLICY_4, "id": "policy-100"}]))
     rows = {r["policy_id"]: (r["policy_ord"], r["name"]) for r in changed.all().collect()}
-    assert rows["policy-002"] == (1, "new") and rows["policy-100"][0] >= 6 and len(rows) == 7
+    assert rows["ledger-staff"] == (1, "new") and rows["policy-100"][0] >= 6 and len(rows) == 7
 
 
 def test_export_and_import(spark, tmp_path):

@@ -48,7 +48,7 @@ def judged(hours: str = "hr BETWEEN 8 AND 18", third: str = "TRUE") -> str:
 def decided(first_only: bool = False, **how) -> str:
     """CTEs ending in ``decided(request_id, subject, ..., effect, reason)``."""
     names = {
-        1: "Staff folders", 2: "Finance Data Restriction", 3: "Business Hours Only Access",
+        1: "Staff folders", 2: "Ledgers for finance staff", 3: "Internal by day",
         4: "Public Data", 6: "Pattern Users",
     }
     used = [1] if first_only else [1, 2, 3, 4, 6]

@@ -169,8 +169,8 @@ def decisions_evaluation_error(spark, sf):
 @register(
     "policy_targets",
     f"""WITH {orc.decided()}, hits AS (
-      SELECT request_id, unnest([CASE WHEN a1 THEN 'staff-folders' END, CASE WHEN a2 THEN 'policy-002' END,
-        CASE WHEN a3 THEN 'policy-003' END, CASE WHEN a4 THEN 'policy-004' END, CASE WHEN a6 THEN 'policy-006' END]) AS policy_id
+      SELECT request_id, unnest([CASE WHEN a1 THEN 'staff-folders' END, CASE WHEN a2 THEN 'ledger-staff' END,
+        CASE WHEN a3 THEN 'internal-by-day' END, CASE WHEN a4 THEN 'policy-004' END, CASE WHEN a6 THEN 'policy-006' END]) AS policy_id
       FROM judged WHERE NOT bad)
     SELECT policy_id, count(*) AS requests FROM hits WHERE policy_id IS NOT NULL GROUP BY policy_id""",
 )
@@ -188,8 +188,8 @@ def _trace(spark, sf):
     f"""WITH {orc.decided()}, steps AS (
       SELECT request_id, unnest([
         CASE WHEN a1 THEN {{'policy_id': 'staff-folders', 'effect': CASE WHEN p1 THEN 'PERMIT' ELSE 'DENY' END, 'seen': TRUE}} END,
-        CASE WHEN a2 THEN {{'policy_id': 'policy-002', 'effect': CASE WHEN p2 THEN 'PERMIT' ELSE 'DENY' END, 'seen': NOT (a1 AND p1)}} END,
-        CASE WHEN a3 THEN {{'policy_id': 'policy-003', 'effect': CASE WHEN p3 THEN 'PERMIT' WHEN d3 THEN 'DENY' ELSE 'NOT_APPLICABLE' END, 'seen': TRUE}} END,
+        CASE WHEN a2 THEN {{'policy_id': 'ledger-staff', 'effect': CASE WHEN p2 THEN 'PERMIT' ELSE 'DENY' END, 'seen': NOT (a1 AND p1)}} END,
+        CASE WHEN a3 THEN {{'policy_id': 'internal-by-day', 'effect': CASE WHEN p3 THEN 'PERMIT' WHEN d3 THEN 'DENY' ELSE 'NOT_APPLICABLE' END, 'seen': TRUE}} END,
         CASE WHEN a4 THEN {{'policy_id': 'policy-004', 'effect': 'PERMIT', 'seen': TRUE}} END,
         CASE WHEN a6 THEN {{'policy_id': 'policy-006', 'effect': CASE WHEN p6 THEN 'PERMIT' ELSE 'DENY' END, 'seen': TRUE}} END]) AS s
       FROM judged WHERE NOT bad)
@@ -1053,7 +1053,7 @@ def access_matrix(spark, sf):
 
 
 _VISITED = """array_to_string(list_filter([
-      CASE WHEN a1 THEN 'staff-folders' END, CASE WHEN a2 AND NOT (a1 AND p1) THEN 'policy-002' END, CASE WHEN a3 THEN 'policy-003' END,
+      CASE WHEN a1 THEN 'staff-folders' END, CASE WHEN a2 AND NOT (a1 AND p1) THEN 'ledger-staff' END, CASE WHEN a3 THEN 'internal-by-day' END,
       CASE WHEN a4 THEN 'policy-004' END, CASE WHEN a6 THEN 'policy-006' END], lambda x: x IS NOT NULL), '","')"""
 
 
