@@ -314,3 +314,19 @@ def test_archives_read_back(spark):
     places = [(warc.url_key(None if r.url == "urn:none" else r.url), r.captured) for r in got if r.url.startswith("http")]
     assert places == sorted(places)
     assert warc.archive_and_read(df.limit(0)).collect() == []
+
+
+def test_hot_keys_meet_what_is_known_of_them_once(spark, monkeypatch):
+    """A key with a third of the rows, null keys, keys that are not known and repeated rows: a plain left join's rows."""
+    from warden.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = [(i, 8 if i % 3 == 0 else None if i % 7 == 0 else 2 * (i % 11)) for i in range(300)] + [(0, 8)] * 3
+    counts = {k: sum(1 for _, x in rows if x == k) for _, k in rows if k is not None and k != 4}
+    left = spark.createDataFrame(rows, "doc_id long, set_id long")
+    known = spark.createDataFrame([(k, 100 + k, n) for k, n in counts.items()], "set_id long, component long, copies long")
+    got = common.met_by_key(left, known, "set_id", "copies")
+    assert got.columns == ["doc_id", "set_id", "component"]
+    want = [(i, k, 100 + k if k in counts else None) for i, k in rows]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert common.met_by_key(left.limit(0), known.limit(0), "set_id", "copies").collect() == []

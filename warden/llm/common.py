@@ -74,6 +74,35 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             yield batch.slice(a, b - a)
 
 
+SALTS = 16  # parts in which the rows of a hot key meet what is known of it
+HOT_ROWS = 1024  # rows from which a key is hot
+
+
+def met_by_key(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFrame:
+    """Left join of ``rows`` with ``known``, which has one row a key and, in ``count``, the rows that each key will meet.
+
+    Rows of a hot key meet a copy of its row in ``SALTS`` parts. They then go on under a key of their own, which is odd;
+    keys are even, so that they meet nothing twice and no task has more of them than its share. Null keys meet nothing and
+    are spread likewise. Rows are spread by a hash of all their columns, so that a lost task repeats what it did; rows
+    equal in all of them stay together. Other columns of ``known`` must not be named like those of ``rows``.
+    """
+    others = [c for c in known.columns if c not in (key, count)]
+    hot = known.filter(F.col(count) > HOT_ROWS).select(
+        F.col(key).alias("__key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"), F.lit(True).alias("__hot"),
+        *[F.col(c).alias(f"__{c}") for c in others],
+    )
+    own = F.xxhash64(*rows.columns)
+    salted = rows.withColumn("__own", own).withColumn("__salt", F.pmod(F.col("__own"), F.lit(SALTS)).cast("int"))
+    met = salted.withColumnRenamed(key, "__key").join(hot, ["__key", "__salt"], "left")
+    alone = F.col("__hot").isNotNull() | F.col("__key").isNull()
+    met = met.withColumn("__rest", F.when(alone, F.col("__own").bitwiseOR(F.lit(1))).otherwise(F.col("__key")))
+    cold = known.filter(F.col(count) <= HOT_ROWS).drop(count).withColumnRenamed(key, "__rest")
+    return met.join(cold, "__rest", "left").select(
+        *[F.col("__key").alias(key) if c == key else F.col(c) for c in rows.columns],
+        *[F.coalesce(f"__{c}", c).alias(c) for c in others],
+    )
+
+
 def keep_rows(df: DataFrame, decide: Callable[[], Callable[[list[str]], list[bool]]], text_column: str = "text") -> DataFrame:
     """The rows of ``df``, with all their columns, whose texts ``decide()`` keeps; it is called once in each task.
 

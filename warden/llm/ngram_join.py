@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warden.llm.common import chunks, id_and_text, record_batch, take_memory, written
+from warden.llm.common import SALTS, chunks, id_and_text, met_by_key, record_batch, take_memory, written
 from warden.llm.shingles import mix, shingle_sets
 
 THRESHOLD = 75  # per cent
@@ -38,6 +38,7 @@ LOAD = 2.5  # shingles in a cell, at most, on average
 _U = np.uint64
 _FLUSH = 1 << 19  # cells that a task holds before it sends them on
 HOT = 4096  # sets of a cell that are compared across groups in one task; above, the cell is cut
+BLOCKS = 4  # blocks that a cell of HOT sets is dealt into; a task compares a pair of them
 _CHUNK = 400  # texts compared with their leader in one task
 
 # With LOAD 2.5 a set of n >= 64 shingles fills at least 0.36 n cells but for a chance below 1e-15, as for hashes that
@@ -310,11 +311,19 @@ def rarest_shingles(hot: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 
 
 def block_pairs(cells: DataFrame) -> DataFrame:
-    """The rows with block, low, high: each row once for every pair (low, high) of its cell's blocks that has its own."""
-    counts = cells.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"), F.count("*").alias("c"))
-    rows = cells.join(counts.filter("c > 1"), "key").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    """The rows with block, low, high: each row once for every pair (low, high) of its cell's blocks that has its own.
+
+    Only cells of several blocks need their number; their rows meet it in ``SALTS`` parts.
+    """
+    blocks = F.ceil(F.count("*") * BLOCKS / HOT).cast("int").alias("blocks")
+    large = cells.groupBy("key").agg(blocks).filter("blocks > 1")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.xxhash64("set_id")
+    rows = cells.withColumn("salt", F.pmod(own, F.lit(SALTS)).cast("int")).join(large, ["key", "salt"], "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.shiftrightunsigned(own, 8), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "c", "other")
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "salt", "other")
 
 
 def _across(percent: int):
@@ -460,7 +469,8 @@ def classes(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     rows = docs.withColumn("row", F.xxhash64("text"))
     sets = written(rows.mapInArrow(_sets(percent), "doc_id bigint, row bigint, n bigint, set_id bigint, filled array<int>"))
     distinct = sets.filter("set_id is not null").groupBy("set_id").agg(
-        F.first("n").alias("n"), F.first("filled").alias("filled"), F.min(F.struct("doc_id", "row")).alias("one")
+        F.first("n").alias("n"), F.first("filled").alias("filled"), F.min(F.struct("doc_id", "row")).alias("one"),
+        F.count("*").alias("copies"),
     )
     cells = written(joined_cells(docs, distinct, percent))
     met = cells.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
@@ -487,8 +497,9 @@ def classes(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     more = written(verified(across, texts, percent))
     if more.limit(1).count():
         groups = components(links.unionByName(more))
-    of_set = groups.withColumnRenamed("node", "set_id")
-    return sets.join(of_set, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    of_set = written(groups.withColumnRenamed("node", "set_id").join(distinct.select("set_id", "copies"), "set_id"))
+    found = met_by_key(sets.drop("filled"), of_set, "set_id", "copies")
+    return written(found.withColumn("component", F.coalesce("component", "set_id")))
 
 
 def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
@@ -501,8 +512,10 @@ def linked(documents: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     Equal sets (copies) are one set from the start: they cost their row and no more.
     """
     rows = classes(documents, percent)
-    smallest = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(smallest, "component", "left").select(
+    smallest = rows.filter("component is not null").groupBy("component").agg(
+        F.min("doc_id").alias("component_id"), F.count("*").alias("members")
+    )
+    return met_by_key(rows, smallest, "component", "members").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
