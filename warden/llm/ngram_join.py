@@ -310,20 +310,25 @@ def rarest_shingles(hot: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return placed.filter(F.col("place") * 100 <= F.col("n") * (100 - percent)).select("key", "set_id", "n", "place", "component")
 
 
-def block_pairs(cells: DataFrame) -> DataFrame:
-    """The rows with block, low, high: each row once for every pair (low, high) of its cell's blocks that has its own.
+def in_parts(rows: DataFrame, key: str, by: str, size: float, part: str, parts: str) -> DataFrame:
+    """``rows`` with ``parts``, into how many parts of about ``size`` the rows of their ``key`` are dealt, and ``part``, which
+    follows from ``by``.
 
-    Only cells of several blocks need their number; their rows meet it in ``SALTS`` parts.
+    Only keys of several parts need their number; their rows meet it in ``SALTS`` places.
     """
-    blocks = F.ceil(F.count("*") * BLOCKS / HOT).cast("int").alias("blocks")
-    large = cells.groupBy("key").agg(blocks).filter("blocks > 1")
-    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = F.xxhash64("set_id")
-    rows = cells.withColumn("salt", F.pmod(own, F.lit(SALTS)).cast("int")).join(large, ["key", "salt"], "left")
-    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.shiftrightunsigned(own, 8), "blocks").cast("int"))
+    large = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias(parts)).filter(F.col(parts) > 1)
+    large = large.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.xxhash64(by)
+    salted = rows.withColumn("__salt", F.pmod(own, F.lit(SALTS)).cast("int"))
+    met = salted.join(large, [key, "__salt"], "left").withColumn(parts, F.coalesce(parts, F.lit(1))).drop("__salt")
+    return met.withColumn(part, F.pmod(F.shiftrightunsigned(own, 8), parts).cast("int"))
+
+
+def block_pairs(cells: DataFrame) -> DataFrame:
+    """The rows with block, low, high: each row once for every pair (low, high) of its cell's blocks that has its own."""
+    rows = in_parts(cells, "key", "set_id", HOT / BLOCKS, "block", "blocks")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "salt", "other")
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
 
 
 def _across(percent: int):
@@ -430,9 +435,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD) -> Da
 
     A set with many partners is compared in parts of about ``_CHUNK`` of them, each with its own copy of its text.
     """
-    counts = pairs.groupBy("a").agg(F.count("*").alias("partners"))
-    parts = F.ceil(F.col("partners") / _CHUNK).cast("int")
-    dealt = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int"))
+    dealt = in_parts(pairs, "a", "b", _CHUNK, "part", "parts")
     members = dealt.join(texts.withColumnRenamed("set_id", "b"), "b").select("a", "part", "b", "text")
     lead = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("set_id", "a"), "a")
     rows = members.unionByName(lead.select("a", "part", F.lit(None).cast("bigint").alias("b"), "text"))
