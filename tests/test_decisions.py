@@ -379,3 +379,46 @@ def test_many_versions_as_of_their_time(spark):
         assert got[i] == (f"Access granted by policy: v{live[0]}" if live else "No applicable policies"), s
     assert got[900] == "No applicable policies"
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def test_only_routes_that_policies_are_met_on(spark, sf):
+    """A distributed set told apart by subject alone: a request looks for its subject, not for hundreds of grams."""
+    engine = Engine(PolicySet.load(fx.subject_policies(spark, sf), limit=0))
+    routes = engine.policies.routes_of(F.col("resource"), F.col("action"), F.col("subject"))
+    found = fx.requests(spark, sf).limit(20).select("subject", routes.alias("r")).collect()
+    assert [r.r for r in found] == [[f"subject {r.subject}"] for r in found]
+    folders = PolicySet.load(fx.supplier_policies(spark, sf)[0], limit=0)
+    found = fx.folder_requests(spark, sf).limit(20).select("resource", folders.routes_of(F.col("resource"), F.col("action"), F.col("subject")).alias("r"))
+    assert all(r.r == ["resource " + "/".join(r.resource.split("/")[:4]) + "/"] for r in found.collect())
+
+
+def test_policies_are_dealt_out_before_they_are_parsed(spark, sf):
+    plan = fx.subject_policies(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan[plan.index("RepartitionByExpression"):] and "from_json" in plan
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_word_routes_equal_brute_force(spark, limit):
+    """Words that a pattern holds whole are routes; words that run on behind a star or a dot are none."""
+    rng = random.Random(5)
+    listed = ["*/u1/*", "*/u12/*", "*/u1*", "s3://b/u1*", "*.u1", "*/u.2/*", "u1*", "*_u1/x", "*u1", "*/é1/*"]
+    values = ["s3://b/u1/x", "s3://b/u12/x", "s3://b/u13", "s3://b/k_u1/x", "a.u1", "axu1", "q/u.2/r", "q/ux2/r", "u1", "u12", "z/é1/y", "u1/u12/u1/"]
+    policies = [{
+        "id": f"p{i}", "name": f"p{i}", "enabled": True, "priority": i % 5,
+        "target": rng.choice([{"resources": rng.sample(listed, 2)}, {"subjects": rng.sample(listed, 2)}, {"resources": rng.sample(listed, 1), "subjects": rng.sample(listed, 3)}]),
+        "rules": [{"id": "r", "name": "r", "enabled": True, "effect": rng.choice(["PERMIT", "DENY"]), "conditions": []}],
+    } for i in range(40)]
+    rows = [request(rng.choice(values) + "@c.com" * rng.randrange(2), rng.choice(values), "read") for _ in range(120)]
+    engine, df = Engine(PolicySet.load(fx.policies(spark, policies), limit=limit)), frame(spark, rows)
+    assert answers(engine, df, "joined") == [brute.decide(r, policies) for r in rows]
+    pairs = Counter((r.request_id, r.policy_id) for r in engine.applicable(df).select("request_id", "policy_id").collect())
+    assert pairs == {(i, p["id"]): 1 for i, r in enumerate(rows) for p in policies if brute.target(r, p["target"])}
+    routes = {r[0] for r in engine.policies.routed(["policy_id"]).select("__route").collect()}
+    assert "by gram of resource wu12" in routes and "by gram of resource wu2" not in routes
+
+
+def test_inner_policies_meet_few_keys(spark, sf):
+    """Policies by a number inside a path: a number's policy is met by its own word, not by four digits that many share."""
+    policies = PolicySet.load(fx.inner_policies(spark, sf), limit=0)
+    met = policies.routed(["policy_id"]).groupBy("__route").count().agg(F.max("count")).first()[0]
+    assert met == 1 and policies.kinds == {("by gram of resource ", "w"), ("by gram of subject ", "w")}
