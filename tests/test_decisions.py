@@ -422,3 +422,14 @@ def test_inner_policies_meet_few_keys(spark, sf):
     policies = PolicySet.load(fx.inner_policies(spark, sf), limit=0)
     met = policies.routed(["policy_id"]).groupBy("__route").count().agg(F.max("count")).first()[0]
     assert met == 1 and policies.kinds == {("by gram of resource ", "w"), ("by gram of subject ", "w")}
+
+
+def test_crowded_routes_are_dealt_into_parts(spark, sf, monkeypatch):
+    """Few keys meet many policies on one route: the same decisions, the pairs in more tasks than there are routes."""
+    policies, asked = fx.supplier_policies(spark, "/root/testdata/sf0.01")[0], fx.folder_requests(spark, sf)
+    whole = Engine(PolicySet.load(policies)).evaluate(asked, "joined").select("request_id", "effect", "reason")
+    monkeypatch.setattr("warden.operators.policyset.CROWD", 2)
+    engine = Engine(PolicySet.load(policies, limit=0))
+    dealt = engine.evaluate(asked, "joined").select("request_id", "effect", "reason")
+    assert Counter(map(tuple, dealt.collect())) == Counter(map(tuple, whole.collect()))
+    assert "__part" in dealt._jdf.queryExecution().optimizedPlan().toString()
