@@ -252,6 +252,29 @@ def test_trace_agrees_with_decision(spark):
                 assert all(flags[:-1])
 
 
+@pytest.mark.parametrize("seed,bad", [(21, False), (22, True), (None, False)])
+def test_traces_of_small_sets_are_made_where_requests_are_read(spark, sf, seed, bad):
+    """No exchange, no join; the traces are those of the joined plan, versions and broken patterns included."""
+    rng = random.Random(seed)
+    if seed is None:
+        policies, df = fx.policies(spark, fx.POLICIES), fx.requests(spark, sf)
+    else:
+        policies, df = fx.policies(spark, random_policies(rng, 8, bad)), frame(spark, random_requests(rng, 100))
+    day = dt.datetime(2024, 1, 1)
+    older = policies.withColumns({"valid_from": F.lit(day), "valid_to": F.when(F.col("policy_ord") % 2 == 0, F.lit(day + dt.timedelta(hours=60)))})
+    newer = policies.filter("policy_ord % 2 = 0").withColumns(
+        {"default_effect": F.lit("PERMIT"), "valid_from": F.lit(day + dt.timedelta(hours=60)), "valid_to": F.lit(None).cast("timestamp")})
+    for table in (policies, older.unionByName(newer)):
+        run = Engine.over(table)
+        small = run.trace(df)
+        text = small._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "Join" not in text and "Python" not in text
+        same = [sorted(map(str, t.select("request_id", "trace").collect())) for t in (small, run.trace(df, "joined"))]
+        assert same[0] == same[1] and (bad or any("policy_id" in row for row in same[0]))
+    nothing = Engine.over(policies.limit(0)).trace(df)
+    assert nothing.filter(F.size("trace") > 0).isEmpty() and nothing.schema["trace"].dataType == small.schema["trace"].dataType
+
+
 def test_hot_key_and_no_python_in_plans(spark, sf):
     """One key holding most requests collapses before the shuffle; nothing leaves the JVM."""
     rows = [request("hr_a@c", "s3://a/x/1", "read")] * 300 + [request("z@c", "s3://b/x", "write")] * 3
