@@ -464,3 +464,11 @@ def test_crowded_routes_are_dealt_into_parts(spark, sf, monkeypatch):
     dealt = engine.evaluate(asked, "joined").select("request_id", "effect", "reason")
     assert Counter(map(tuple, dealt.collect())) == Counter(map(tuple, whole.collect()))
     assert "__part" in dealt._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_sets_are_not_broadcast_whole(spark, sf):
+    """However small their files are: policies take many times as much in memory."""
+    policies, requests = fx.supplier_policies(spark, sf)[0], fx.folder_requests(spark, sf)
+    engine = Engine(PolicySet.load(policies, limit=0))
+    plan = engine.evaluate(requests)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [__route" in plan and "SortMergeJoin [__rank" in plan
