@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from odd_rows import ODD
 from warden.llm import packing, pieces, token_files
 from warden.llm.queries import tokenizer_file
-from warden.llm.tokens import tokenizer
+from warden.llm.tokens import WordCachedTokenizer, tokenizer
 
 WORD, BYTE, PIECE = (tokenizer_file(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 TEXT = st.text(alphabet=st.sampled_from(list("ab \n\t'.,1é́ß日Σ ▁\x1c<|>")), max_size=40)
@@ -31,6 +31,20 @@ def test_word_cache_equals_whole_texts(path, texts):
     assert got == [whole(path, t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_met_again_outlast_a_full_cache(path, monkeypatch):
+    monkeypatch.setattr("warden.llm.tokens.CACHE_WORDS", 20)
+    tok, encoded = WordCachedTokenizer(path), []
+    plain, draw = tok._word, random.Random(3)
+    monkeypatch.setattr(tok, "_word", lambda word: encoded.append(word) or plain(word))
+    for _ in range(30):
+        rare = ["".join(draw.choices("abcdeé", k=9)) for _ in range(6)]
+        marked = [w + "".join(draw.choices("!$%&*#-_.,;'`~<|>", k=3)) for w in rare[:3]]
+        text = " ".join(["The", "often", "often,", *rare, *marked, "often", "don't", "x\ny", "7%%"])
+        assert [np.frombuffer(b, "<u2").tolist() for b in tok.encode_bytes([text])] == [whole(path, text)]
+    assert encoded.count("often") == 1 and len(tok.words) + len(tok.older) < 80
+
+
 def test_packing_places_every_piece(documents):
     rows = documents(ODD)
     got = packing.pack(rows, WORD, capacity=64).collect()

@@ -34,6 +34,7 @@ BLOCK = 256
 PERCENTILE = 90
 MAGIC = b"PFOR0001"
 _HEAD = struct.Struct("<IBHH")
+_HEAD_FIELDS = np.dtype([("minimum", "<u4"), ("width", "u1"), ("exceptions", "<u2"), ("count", "<u2")])  # as _HEAD
 _FOOT = struct.Struct("<QQQQ8s")
 _AT_ONCE = 2048  # blocks packed or unpacked together
 END_ID = 0
@@ -100,22 +101,24 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
 def decode_blocks(data: bytes, starts: list[int]) -> np.ndarray:
     """The ids of the blocks that begin at ``starts`` in ``data``."""
     raw = np.frombuffer(data, np.uint8)
-    heads = [_HEAD.unpack_from(data, s) for s in starts]
+    begin = np.array(starts, dtype=np.int64)
+    heads = np.ascontiguousarray(raw[begin[:, None] + np.arange(_HEAD.size)]).view(_HEAD_FIELDS).reshape(-1)
     rows = np.zeros((len(heads), BLOCK), dtype=np.uint32)
-    widths = np.array([h[1] for h in heads], dtype=np.int64)
-    at = np.array(starts, dtype=np.int64) + _HEAD.size
+    widths, exceptions = heads["width"].astype(np.int64), heads["exceptions"].astype(np.int64)
+    at = begin + _HEAD.size
     for w in np.unique(widths):
         of = np.flatnonzero(widths == w)
         if w:
             rows[of] = unpack_bits(raw[at[of][:, None] + np.arange(BLOCK * w // 8)], int(w))
-    for j, (_, w, n, _) in enumerate(heads):
-        if n:
-            a = int(at[j]) + BLOCK * w // 8
-            position = raw[a : a + n]
-            rows[j, position] |= np.frombuffer(data, "<u4", n, a + n) << np.uint32(w)
-    rows += np.array([h[0] for h in heads], dtype=np.uint32)[:, None]
+    block = np.repeat(np.arange(len(heads)), exceptions)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    positions = at + BLOCK * widths // 8
+    values = raw[((positions + exceptions)[block] + 4 * nth)[:, None] + np.arange(4)]
+    high = np.ascontiguousarray(values).view("<u4").reshape(-1) << widths[block].astype(np.uint32)
+    rows[block, raw[positions[block] + nth]] |= high  # no position of a block twice
+    rows += heads["minimum"][:, None]
     flat = rows.reshape(-1)
-    return flat[: (len(heads) - 1) * BLOCK + heads[-1][3]] if heads else flat
+    return flat[: (len(heads) - 1) * BLOCK + int(heads["count"][-1])] if len(heads) else flat
 
 
 class Writer:

@@ -15,12 +15,17 @@ import json
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain, islice
 
-CACHE_WORDS = 700_000  # entries a worker keeps before it starts anew
+CACHE_WORDS = 700_000  # entries a worker keeps; of two halves the one filled first goes, but for what was met again
+CACHE_MARKS = 4096
 #: A word that is one pre-token, or two with the mark behind it; lower case and normal form are plain for these letters.
 _PLAIN_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+#: The same where every run of marks is one pre-token; apostrophes may belong to letters behind them.
+_LED_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -45,12 +50,15 @@ class WordCachedTokenizer:
         self.itemsize = array(self.code).itemsize
         self.kind = self._kind(json.loads(self.tokenizer.to_str()))
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         self.marks = dict(zip(["", ".", ","], [b"", *self._plain([".", ","])], strict=True))
-        self.as_text = str.maketrans(_byte_letters()) if self.kind == "leading space" else None
+        letters = _byte_letters()
+        self.as_text = "".join([letters[b] for b in range(256)])
 
     def forget(self) -> None:
         self.words.clear()
+        self.older.clear()
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -74,54 +82,56 @@ class WordCachedTokenizer:
 
     def _word(self, word: str) -> bytes:
         """The ids of letters alone, which the model takes as they are."""
-        if self.as_text:
-            word = "\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.as_text))
-        else:
+        led = self.kind == "leading space"
+        if not led:
             word = word.lower()
-            word = word if word.isascii() else word.encode().decode("latin-1").translate(_byte_letters())
-        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+        if not word.isascii():
+            word = charmap_decode(word.encode(), "strict", self.as_text)[0]
+        return array(self.code, [t.id for t in self.model.tokenize("\u0120" + word if led else word)]).tobytes()
+
+    def _mark(self, mark: str) -> bytes:
+        ids = self.marks.get(mark)
+        if ids is None:
+            ids = self._plain([mark])[0]
+            if len(self.marks) < CACHE_MARKS:
+                self.marks[mark] = ids
+        return ids
 
     def _encode_words(self, new: Iterable[str], lead: str) -> None:
-        words, rest = self.words, []
+        words, older, rest = self.words, self.older, []
+        plain = _LED_WORD if lead else _PLAIN_WORD
         for w in new:
-            if m := _PLAIN_WORD.fullmatch(w):
+            if (ids := older.get(w)) is not None:
+                words[w] = ids
+            elif m := plain.fullmatch(w):
                 stem, mark = m.groups()
-                ids = words.get(stem)
+                ids = words.get(stem) or older.get(stem)
                 if ids is None:
                     ids = words[stem] = self._word(stem)
                 if mark:
-                    words[w] = ids + self.marks[mark]
-            else:
-                rest.append(w)
+                    words[w] = ids + self._mark(mark)
+            elif not (lead and (not w or w[0].isspace() or w[-1].isspace())):
+                rest.append(w)  # others may belong to a run of white space
         words.update(zip(rest, self._plain([lead + w for w in rest]), strict=True))
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._plain(texts)
-        lead = " " if self.kind == "leading space" else ""
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
+        if len(self.words) > CACHE_WORDS // 2:
+            self.older, self.words = self.words, {}
         split = [t.split(" ") for t in texts]
-        known = [list(map(words.get, s)) for s in split]
-        new = {w for s, k in zip(split, known, strict=True) for w, ids in zip(s, k, strict=True) if ids is None}
-        if not lead:
-            self._encode_words(new, lead)
-            return [self._joined(s, k) for s, k in zip(split, known, strict=True)]
-        # A part that is empty or has white space at an end may belong to a run of white space.
-        self._encode_words([w for w in new if w and not w[0].isspace() and not w[-1].isspace()], lead)
+        new = set().union(*split).difference(self.words)
+        if self.kind == "space dropped":
+            self._encode_words(new, "")
+            return [b"".join(map(self.words.__getitem__, s)) for s in split]
+        self._encode_words(new, " ")
         firsts = self._plain([s[0] for s in split])
-        return [self._leading(*x) for x in zip(texts, split, known, firsts, strict=True)]
+        return [self._leading(*x) for x in zip(texts, split, firsts, strict=True)]
 
-    def _joined(self, parts: list[str], known: list[bytes | None]) -> bytes:
-        words = self.words
-        return b"".join([words[w] if ids is None else ids for w, ids in zip(parts, known, strict=True)])
-
-    def _leading(self, text: str, parts: list[str], known: list[bytes | None], first: bytes) -> bytes:
-        known[0] = first
+    def _leading(self, text: str, parts: list[str], first: bytes) -> bytes:
         if parts[0] and not parts[0][-1].isspace():
             try:
-                return self._joined(parts, known)
+                return b"".join(chain((first,), map(self.words.__getitem__, islice(parts, 1, None))))
             except KeyError:
                 pass  # a part that is not kept
         parts = _SINGLE_SPACE.split(text)
