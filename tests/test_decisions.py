@@ -472,3 +472,14 @@ def test_large_sets_are_not_broadcast_whole(spark, sf):
     engine = Engine(PolicySet.load(policies, limit=0))
     plan = engine.evaluate(requests)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [__route" in plan and "SortMergeJoin [__rank" in plan
+
+
+def test_routes_by_grams_are_found_without_a_broadcast(spark, sf):
+    """However small the files of a large set are: its patterns have many grams each. The routes are those of a snapshot."""
+    inner = fx.inner_policies(spark, sf)
+    large = PolicySet.load(inner, limit=0)
+    found = large._by_grams(large._without_grams()).select("policy_id", F.array_sort("__routes").alias("r"))
+    rows = found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    small = PolicySet.load(inner, limit=1 << 30)._routes.select("policy_id", F.array_sort("__routes").alias("r")).collect()
+    assert len(rows) > 100 and sorted(map(tuple, rows)) == sorted(map(tuple, small))
